@@ -92,9 +92,11 @@ def window_summaries(windows: DataFrame, length: int = WINDOW_LENGTH, features:
 def fit_neural(train: DataFrame, val: DataFrame, seeds: Sequence[int] = (42,), iterations: int = 50,
                hidden: Sequence[int] = (32, 16)) -> PipelineModel:
     """Feed-forward network on window summaries; the fit with the least validation loss wins."""
-    prepare = lambda w: window_summaries(w).withColumn("features", array_to_vector("summary"))
+    # Written once: the optimiser reads its input in every iteration.
+    prepare = lambda w: settled(window_summaries(w).select("label", "summary")).withColumn(
+        "features", array_to_vector("summary"))
     fitted, data = [], prepare(train)
-    check = prepare(val)
+    check = prepare(val) if len(seeds) > 1 else None
     loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
     for seed in seeds:
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)

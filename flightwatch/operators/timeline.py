@@ -68,6 +68,8 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, carry: Sequence[st
     ``after`` rows following it, however many short or missing chunks lie between.
     """
     rows = with_chunk(df, axis)
+    if before == 0 and after == 0:
+        return rows.withColumn(HALO, F.lit(0))
     kept = list(dict.fromkeys([order, *carry]))
     narrow = rows.select(*dict.fromkeys([*keys, CHUNK, *kept]))
     along = _in_order(keys)

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from flightwatch.plans import row_queries, table_queries  # noqa: F401
+from flightwatch.plans import model_queries, row_queries, score_queries, table_queries  # noqa: F401
