@@ -60,15 +60,15 @@ def balanced_sample(df: DataFrame, label: str = "label", seed: int = 42) -> Data
 
 
 def vectorised(windows: DataFrame) -> DataFrame:
-    return windows.withColumn("features", array_to_vector("vector"))
+    return windows.withColumn("_input", array_to_vector("vector"))
 
 
 def fit_forest(train: DataFrame, trees: int = 100, seed: int = 42, depth: int = 15,
                balanced: bool = True, label: str = "label") -> PipelineModel:
     """Scaler on the flattened window, then a forest; expects ``vector`` and the label."""
     data = vectorised(with_weights(train, label) if balanced else train)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    forest = RandomForestClassifier(featuresCol="scaled", labelCol=label, numTrees=trees, seed=seed,
+    scaler = StandardScaler(inputCol="_input", outputCol="_scaled", withMean=True, withStd=True)
+    forest = RandomForestClassifier(featuresCol="_scaled", labelCol=label, numTrees=trees, seed=seed,
                                     maxDepth=depth, featureSubsetStrategy="sqrt")
     if balanced:
         forest = forest.setWeightCol("weight")
@@ -94,14 +94,14 @@ def fit_neural(train: DataFrame, val: DataFrame, seeds: Sequence[int] = (42,), i
     """Feed-forward network on window summaries; the fit with the least validation loss wins."""
     # Written once: the optimiser reads its input in every iteration.
     prepare = lambda w: settled(window_summaries(w).select("label", "summary")).withColumn(
-        "features", array_to_vector("summary"))
+        "_input", array_to_vector("summary"))
     fitted, data = [], prepare(train)
     check = prepare(val) if len(seeds) > 1 else None
     loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
     for seed in seeds:
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+        scaler = StandardScaler(inputCol="_input", outputCol="_scaled", withMean=True, withStd=True)
         network = MultilayerPerceptronClassifier(
-            featuresCol="scaled", labelCol="label", seed=seed, maxIter=iterations,
+            featuresCol="_scaled", labelCol="label", seed=seed, maxIter=iterations,
             layers=[2 * len(FEATURES), *hidden, 2])
         model = Pipeline(stages=[scaler, network]).fit(data)
         fitted.append((loss.evaluate(model.transform(check)) if len(seeds) > 1 else 0.0, seed, model))
@@ -110,12 +110,12 @@ def fit_neural(train: DataFrame, val: DataFrame, seeds: Sequence[int] = (42,), i
 
 def predicted(model: PipelineModel, windows: DataFrame, neural: bool = False) -> DataFrame:
     """Adds ``anom_proba`` (probability of class 1) and ``prediction``."""
-    data = (window_summaries(windows).withColumn("features", array_to_vector("summary")) if neural
+    data = (window_summaries(windows).withColumn("_input", array_to_vector("summary")) if neural
             else vectorised(windows))
     scored = model.transform(data)
     probability = vector_to_array("probability")
     return (scored.withColumn("anom_proba", F.coalesce(F.get(probability, F.lit(1)), F.lit(0.0)))
-            .drop("features", "scaled", "rawPrediction", "probability", "summary"))
+            .drop("_input", "_scaled", "rawPrediction", "probability", "summary"))
 
 
 def feature_importance(model: PipelineModel, spark, features: Sequence[str] = FEATURES, top: int = 20) -> DataFrame:

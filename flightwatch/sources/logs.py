@@ -1,6 +1,7 @@
 """Readers and writers of logs, labels, segments, reports and scores.
 
-A file is a flight: ``flight_id`` is the file's stem without the stage suffix.
+A file is a flight: ``flight_id`` is the file's stem without the stage suffix, or the value of
+a ``flight_id=`` folder above it, which is how the writers here lay files out.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from flightwatch.schema import (
 STAGE_SUFFIX = "((_cleaned)+|_labels|_auto_segments|_cleaning_report)?\\.(csv|json)$"
 
 
-def flight_of(file_name: Column) -> Column:
-    return F.regexp_replace(file_name, STAGE_SUFFIX, "")
+def flight_of(file_path: Column) -> Column:
+    folder = F.regexp_extract(file_path, "/flight_id=([^/]+)/", 1)
+    stem = F.regexp_replace(F.substring_index(file_path, "/", -1), STAGE_SUFFIX, "")
+    return F.when(folder != "", folder).otherwise(stem)
 
 
 def _text_csv(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
@@ -32,7 +35,6 @@ def _text_csv(spark: SparkSession, path: str, pattern: str, recursive: bool) ->
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = reader.schema(schema).csv(path)
     return rows.select(*[F.col(f"`{n}`").alias(n.strip()) for n in names],
-                       F.col("_metadata.file_name").alias("file_name"),
                        F.col("_metadata.file_path").alias("file_path"),
                        F.col("_metadata.file_block_start").alias("_block"))
 
@@ -49,8 +51,8 @@ def read_logs(spark: SparkSession, path: str, pattern: str = "*.csv", recursive:
     # Rows count up inside a task's input, and a later block of a file starts at a later byte
     # than rows can be counted before it.
     in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    numbered = rows.withColumns({"flight_id": flight_of(F.col("file_name")), "row_no": F.col("_block") + in_task})
-    return strip_text(coerce_numbers(numbered.drop("_block", "file_name", "file_path")))
+    numbered = rows.withColumns({"flight_id": flight_of(F.col("file_path")), "row_no": F.col("_block") + in_task})
+    return strip_text(coerce_numbers(numbered.drop("_block", "file_path")))
 
 
 def read_mixed_logs(spark: SparkSession, path: str, columns: Sequence[str] = tuple(RAW_COLUMNS),
@@ -61,15 +63,14 @@ def read_mixed_logs(spark: SparkSession, path: str, columns: Sequence[str] = tup
     as small as the number of files. Values must not contain quoted commas.
     """
     lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_name").alias("file_name")))
+             .select("value", F.col("_metadata.file_path").alias("file_path")))
     is_header = F.col("value").rlike("^\\s*time_s\\s*,")
     headers = (lines.filter(is_header).groupBy("file_path").agg(F.min("value").alias("_header"))
                .select("file_path", F.transform(F.split("_header", ","), F.trim).alias("_names")))
     rows = lines.filter(~is_header & (F.length(F.trim("value")) > 0)).join(headers, "file_path")
     cells = F.split("value", ",", -1)
     padded = F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.size("_names"))), F.lit(1), F.size("_names"))
-    named = rows.select(flight_of(F.col("file_name")).alias("flight_id"),
+    named = rows.select(flight_of(F.col("file_path")).alias("flight_id"),
                         F.map_from_arrays("_names", padded).alias("_row"))
     text = named.select("flight_id", *[F.nullif(F.trim(F.try_element_at("_row", F.lit(c))), F.lit("")).alias(c)
                                        for c in columns])
@@ -80,21 +81,23 @@ def read_labels(spark: SparkSession, path: str, pattern: str = "*_labels.csv") -
     rows = _text_csv(spark, path, pattern, True)
     extra = [F.trim("log_name").alias("log_name")] if "log_name" in rows.columns else []
     reason = [F.col("anomaly_reason")] if "anomaly_reason" in rows.columns else []
-    return rows.select(flight_of(F.col("file_name")).alias("flight_id"), number(F.col("time_s")).alias("time_s"),
+    return rows.select(flight_of(F.col("file_path")).alias("flight_id"), number(F.col("time_s")).alias("time_s"),
                        F.trim("label").try_cast("int").alias("label"), *reason, *extra)
 
 
-def read_segments(spark: SparkSession, path: str, pattern: str = "*_auto_segments.json") -> DataFrame:
-    """Arrays of segments; the label stays text because it may be a word."""
-    return (spark.read.schema(SEGMENT_SCHEMA).option("multiLine", True).option("pathGlobFilter", pattern)
+def read_segments(spark: SparkSession, path: str, pattern: str = "*_auto_segments.json",
+                  lines: bool = False) -> DataFrame:
+    """Arrays of segments, or one per line; the label stays text because it may be a word."""
+    return (spark.read.schema(SEGMENT_SCHEMA).option("multiLine", not lines).option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", True).json(path)
-            .select(flight_of(F.col("_metadata.file_name")).alias("flight_id"), "start_s", "end_s", "label", "reason"))
+            .select(flight_of(F.col("_metadata.file_path")).alias("flight_id"), "start_s", "end_s", "label", "reason"))
 
 
-def read_cleaning_reports(spark: SparkSession, path: str, pattern: str = "*_cleaning_report.json") -> DataFrame:
-    return (spark.read.schema(CLEANING_REPORT_SCHEMA).option("multiLine", True).option("pathGlobFilter", pattern)
+def read_cleaning_reports(spark: SparkSession, path: str, pattern: str = "*_cleaning_report.json",
+                          lines: bool = False) -> DataFrame:
+    return (spark.read.schema(CLEANING_REPORT_SCHEMA).option("multiLine", not lines).option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", True).json(path)
-            .select(flight_of(F.col("_metadata.file_name")).alias("flight_id"), "*"))
+            .select(flight_of(F.col("_metadata.file_path")).alias("flight_id"), "*"))
 
 
 def report_counts(reports: DataFrame, column: str = "mode_counts") -> DataFrame:
@@ -157,7 +160,7 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     return read_scores(spark, path, pattern="*.csv", numbers=REPLAY_NUMBERS)
 
 
-def write_rows(df: DataFrame, path: str, mode: str = "overwrite", files_per_flight: int = 1) -> None:
+def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by flight, in time order inside every file.
 
     Rows are spread by (flight, chunk), so a long flight is written by many tasks.

@@ -21,11 +21,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightwatch.functions.geo import in_box
 from flightwatch.operators.learning import predicted
-from flightwatch.operators.messages import HELD, POSITION, known_messages, scaled_messages
+from flightwatch.operators.messages import FEATURE_DEFAULTS, HELD, POSITION, known_messages, scaled_messages
 from flightwatch.operators.scoring import alert, ground_gate
-from flightwatch.operators.terrain import route
+from flightwatch.operators.terrain import cell, route, terrain_of
 from flightwatch.schema import (
-    ALERT_THRESHOLD, DEBOUNCE, FEATURES, MESSAGE_SCHEMA, SMOOTHING, WINDOW_LENGTH)
+    ALERT_THRESHOLD, DEBOUNCE, EARTH_RADIUS_M, FEATURES, MESSAGE_SCHEMA, SMOOTHING, WINDOW_LENGTH)
 from flightwatch.sources.logs import log_format
 
 STATE_SCHEMA = "state string"
@@ -40,11 +40,18 @@ def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -
 
 
 def stateful(stream: DataFrame, step: Step, schema: str | T.StructType, order: str = "ts") -> DataFrame:
-    """Run ``step`` over each flight's new rows, oldest first, with its state as a dict."""
+    """Run ``step`` over each flight's new rows, oldest first, with its state as a dict.
+
+    Position messages follow the others of the same instant, so they see their values.
+    """
+    by = [order, "_asks"] if "msg_type" in stream.columns else [order]
+    if len(by) > 1:
+        stream = stream.withColumn("_asks", F.col("msg_type") == POSITION)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
         memory = json.loads(state.get[0]) if state.exists else {}
-        out, memory = step(rows, memory)
+        out, memory = step(rows.drop(columns=by[1:]), memory)
         state.update((json.dumps(memory),))
         yield out
     return stream.groupBy("flight_id").applyInPandasWithState(
@@ -163,35 +170,55 @@ def buffered(stream: DataFrame, column: str = "features", length: int = WINDOW_L
     return stateful(stream, buffer_step(column, length), schema)
 
 
+WINDOW_SCHEMA = T.StructType([
+    T.StructField("flight_id", T.StringType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("lat_deg", T.DoubleType()), T.StructField("lon_deg", T.DoubleType()),
+    T.StructField("terrain", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType())),
+    T.StructField("live_stale", T.IntegerType()), T.StructField("active", T.StringType()),
+    T.StructField("switched", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType())),
+    T.StructField("home_lat", T.DoubleType()), T.StructField("home_lon", T.DoubleType())])
+
+
 def window_step(count: int, default: str, length: int = WINDOW_LENGTH) -> Step:
-    """All per-flight memory of live scoring in one state: stale flag, origin, terrain, buffer."""
-    steps = {"stale": stale_step(), "terrain": debounce_step("terrain", count, default),
+    """All per-flight memory of live scoring in one state: latest values, origin, stale flag,
+    terrain and the rolling buffer (which a terrain switch does not empty)."""
+    parts = {"stale": stale_step(), "terrain": debounce_step("terrain", count, default),
              "buffer": buffer_step("features", length)}
-    x, y, flag = FEATURES.index("x_m"), FEATURES.index("y_m"), FEATURES.index("is_stale_repeat")
 
     def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        home = memory.get("home") or [float(rows["lat_deg"].iloc[0]), float(rows["lon_deg"].iloc[0])]
-        new = {"home": home}
-        rows, new["stale"] = steps["stale"](rows, memory.get("stale", {}))
-        rows, new["terrain"] = steps["terrain"](rows, memory.get("terrain", {}))
-        north = np.radians(rows["lat_deg"] - home[0]) * 6371000.0
-        east = np.radians(rows["lon_deg"] - home[1]) * 6371000.0 * np.cos(np.radians(home[0]))
-        features = [np.array(f, dtype=float) for f in rows["features"]]
-        for i, f in enumerate(features):
-            f[[x, y, flag]] = north.iloc[i], east.iloc[i], rows["live_stale"].iloc[i]
-        rows, new["buffer"] = steps["buffer"](rows.assign(features=features), memory.get("buffer", {}))
-        rows = rows.assign(home_lat=home[0], home_lon=home[1], features=[list(f) for f in rows["features"]])
-        return rows, new
+        held, new_held = hold_step(rows, memory.get("held", {}))
+        fixes = held[held["msg_type"] == POSITION].reset_index(drop=True)
+        if fixes.empty:
+            return fixes.reindex(columns=WINDOW_SCHEMA.names), {**memory, "held": new_held}
+        home = memory.get("home") or [float(fixes["lat_deg"].iloc[0]), float(fixes["lon_deg"].iloc[0])]
+        new = {"held": new_held, "home": home}
+        for name in ("stale", "terrain"):
+            fixes, new[name] = parts[name](fixes, memory.get(name, {}))
+        fixes = fixes.assign(
+            x_m=np.radians(fixes["lat_deg"].astype(float) - home[0]) * EARTH_RADIUS_M,
+            y_m=np.radians(fixes["lon_deg"].astype(float) - home[1]) * EARTH_RADIUS_M * np.cos(np.radians(home[0])),
+            is_stale_repeat=fixes["live_stale"], connection_ok=1.0, home_lat=home[0], home_lon=home[1])
+        cells = fixes.reindex(columns=FEATURES).astype(float).fillna({f: FEATURE_DEFAULTS.get(f, 0.0) for f in FEATURES})
+        fixes, new["buffer"] = parts["buffer"](fixes.assign(features=cells.to_numpy().tolist()), memory.get("buffer", {}))
+        return fixes[WINDOW_SCHEMA.names], new
     return step
 
 
-def live_windows(features: DataFrame, count: int = DEBOUNCE, default: str = "flat") -> DataFrame:
-    """Position rows (ts, lat_deg, lon_deg, terrain, features) -> scoring windows, slide 1."""
-    schema = T.StructType([*features.schema.fields] + [
-        T.StructField("live_stale", T.IntegerType()), T.StructField("active", T.StringType()),
-        T.StructField("switched", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType())),
-        T.StructField("home_lat", T.DoubleType()), T.StructField("home_lon", T.DoubleType())])
-    return stateful(features, window_step(count, default), schema)
+def live_windows(messages: DataFrame, elevations: DataFrame | None = None, count: int = DEBOUNCE,
+                 default: str = "flat") -> DataFrame:
+    """Messages -> one scoring window per position fix, slide 1.
+
+    Ground elevation comes from a join with the static table; without an entry, the altitude.
+    """
+    scaled = scaled_messages(messages)
+    elevation = F.coalesce("alt_m", F.lit(0.0))
+    if elevations is not None:
+        keyed = scaled.withColumns({"lat_key": cell(F.col("lat_deg")), "lon_key": cell(F.col("lon_deg"))})
+        known = elevations.groupBy("lat_key", "lon_key").agg(F.max("elevation").alias("_elevation"))
+        scaled = keyed.join(known, ["lat_key", "lon_key"], "left")
+        elevation = F.coalesce("_elevation", elevation)
+    ready = scaled.withColumn("terrain", terrain_of(elevation))
+    return stateful(ready, window_step(count, default), WINDOW_SCHEMA)
 
 
 def score_batch(windows: DataFrame, models: dict[str, PipelineModel], default: str = "flat",
