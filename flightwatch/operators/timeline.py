@@ -73,20 +73,18 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, carry: Sequence[st
     kept = list(dict.fromkeys([order, *carry]))
     narrow = rows.select(*dict.fromkeys([*keys, CHUNK, *kept]))
     along = _in_order(keys)
-    payload = F.struct(*kept)
     if before <= 1 and after <= 1:
-        ends = narrow.groupBy(*keys, CHUNK).agg(
-            F.max_by(payload, order).alias("_tail"), F.min_by(payload, order).alias("_head"))
-        moves = []
-        if before:
-            moves.append(F.struct(F.lead(CHUNK).over(along).alias("to"), F.col("_tail").alias("row")))
-        if after:
-            moves.append(F.struct(F.lag(CHUNK).over(along).alias("to"), F.col("_head").alias("row")))
-        copies = (ends.select(*keys, F.array(*moves).alias("_moves"))
+        # One value per column keeps this a hash aggregate; ``order`` is unique, so all agree.
+        sides = [(F.max_by, F.lead(CHUNK).over(along), "t")] * before + [
+            (F.min_by, F.lag(CHUNK).over(along), "h")] * after
+        ends = narrow.groupBy(*keys, CHUNK).agg(*[
+            pick(F.col(c), order).alias(f"_{tag}_{c}") for pick, _, tag in sides for c in kept])
+        moves = F.array(*[F.struct(to.alias("to"), *[F.col(f"_{tag}_{c}").alias(c) for c in kept])
+                          for _, to, tag in sides])
+        copies = (ends.select(*keys, moves.alias("_moves"))
                   .select(*keys, F.explode("_moves").alias("_move"))
                   .filter("_move.to IS NOT NULL")
-                  .select(*keys, F.col("_move.to").alias(CHUNK),
-                          *[F.col(f"_move.row.{c}").alias(c) for c in kept]))
+                  .select(*keys, F.col("_move.to").alias(CHUNK), *[F.col(f"_move.{c}").alias(c) for c in kept]))
     else:
         sizes = (narrow.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
                  .withColumn("_until", F.sum("_n").over(along)))
@@ -254,14 +252,14 @@ def with_prefix(df: DataFrame, values: dict[str, Prefix], order: str = "time_s",
 
 
 def shared_folder(df: DataFrame) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder."""
+    """This application's folder for intermediate tables, below the cluster's checkpoint folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "flightwatch-checkpoints")
-    return folder.rstrip("/")
+        folder = os.path.join(tempfile.gettempdir(), "flightwatch")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -274,3 +272,10 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_settled(df: DataFrame) -> None:
+    """Remove this application's intermediate tables; call it when results are written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flightwatch.operators.clean import clean
 from flightwatch.operators.labels import label_rows
-from flightwatch.operators.timeline import CHUNK, settled
+from flightwatch.operators.timeline import settled
 from flightwatch.plans.fixture import TELEMETRY_CTE, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,21 +130,22 @@ def query(name: str, oracle: str | None = None):
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry written once as a table, as logs would lie on disk."""
-    return settled(telemetry(spark, sf_dir))
+    """The telemetry written once as a table, as logs would lie on disk: flights in many files."""
+    return settled(telemetry(spark, sf_dir).repartition("flight_id"))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(clean(raw(spark, sf_dir), tie=["seq"]))
 
 
-def labelled(spark: SparkSession, sf_dir: str, **thresholds) -> DataFrame:
+def labelling(spark: SparkSession, sf_dir: str, **thresholds) -> DataFrame:
     # The vibration rule asks for all three axes to have been logged.
-    return settled(label_rows(cleaned(spark, sf_dir).withColumn("vibration_x", F.lit(0.02)), **thresholds))
+    return label_rows(cleaned(spark, sf_dir).withColumn("vibration_x", F.lit(0.02)), **thresholds)
 
 
-def plain(df: DataFrame) -> DataFrame:
-    return df.drop(CHUNK)
+def labelled(spark: SparkSession, sf_dir: str, **thresholds) -> DataFrame:
+    """Settled, for queries that read the labels more than once."""
+    return settled(labelling(spark, sf_dir, **thresholds))
 
 
 def r6(column: str, name: str | None = None):

@@ -12,7 +12,7 @@ from flightwatch.operators.scoring import alert, ground_gate
 from flightwatch.operators.terrain import terrain_of
 from flightwatch.operators.timeline import lane, with_halo, without_halo
 from flightwatch.operators.windows import to_local
-from flightwatch.plans.catalog import LAGGED, cleaned, labelled, query, r6, raw, sql
+from flightwatch.plans.catalog import LAGGED, cleaned, labelling, query, r6, raw, sql
 from flightwatch.plans.fixture import telemetry
 
 KEY = ["flight_id", "seq"]
@@ -293,7 +293,7 @@ def row_labels(spark, sf):
 @query("a04_reason_counts", sql("labelled", " SELECT reason, count(*) AS n FROM (" + " UNION ALL ".join(
     f"SELECT '{t}' AS reason FROM labelled WHERE r_{t} = 1" for t in _TOKENS) + ") GROUP BY reason", failsafe=True))
 def a04(spark, sf):
-    return L.reason_counts(labelled(spark, sf, failsafe_is_anomaly=True))
+    return L.reason_counts(labelling(spark, sf, failsafe_is_anomaly=True))
 
 
 @query("w29_older_step_rules", sql("labelled", """

@@ -12,7 +12,7 @@ from flightwatch.operators.learning import feature_statistics, scale_rows
 from flightwatch.operators.scoring import last_rows
 from flightwatch.operators.terrain import majority, terrain_of, terrain_shares
 from flightwatch.operators.timeline import settled
-from flightwatch.plans.catalog import cleaned, labelled, query, r6, raw, sql
+from flightwatch.plans.catalog import cleaned, labelled, labelling, query, r6, raw, sql
 from flightwatch.plans.fixture import telemetry
 
 KEY = ["flight_id", "seq"]
@@ -163,7 +163,7 @@ def a02(spark, sf):
  SELECT flight_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS anomalies, ROUND(avg(label) * 100, 6) AS anomaly_pct
  FROM labelled GROUP BY flight_id"""))
 def a03(spark, sf):
-    return R.anomaly_share(labelled(spark, sf)).select("flight_id", "n", "anomalies", r6("anomaly_pct"))
+    return R.anomaly_share(labelling(spark, sf)).select("flight_id", "n", "anomalies", r6("anomaly_pct"))
 
 
 _SPLIT = """
@@ -177,14 +177,14 @@ split AS (SELECT *, CASE WHEN ordinal < FLOOR(0.7e0 * total) THEN 'train'
  SELECT split, count(*) AS n, ROUND(min_by(start_s, ordinal), 6) AS first_start_s, ROUND(max_by(end_s, ordinal), 6) AS last_end_s,
    CAST(count_if(label = 0) AS BIGINT) AS label_0, CAST(count_if(label = 1) AS BIGINT) AS label_1 FROM split GROUP BY split""", extra=_SPLIT))
 def a05(spark, sf):
-    windows = settled(W.window_labels(W.sliding_windows(labelled(spark, sf))))
+    windows = settled(W.window_labels(W.sliding_windows(labelling(spark, sf))))
     return R.dataset_info(W.chronological_split(windows)).select(
         "split", "n", r6("first_start_s"), r6("last_end_s"), "label_0", "label_1")
 
 
 @query("w22_chronological_split", sql("windows", " SELECT flight_id, win, ordinal, split FROM split", extra=_SPLIT))
 def w22(spark, sf):
-    windows = settled(W.window_labels(W.sliding_windows(labelled(spark, sf))))
+    windows = settled(W.window_labels(W.sliding_windows(labelling(spark, sf))))
     return W.chronological_split(windows).select("flight_id", "win", "ordinal", "split")
 
 
@@ -238,7 +238,7 @@ def a10(spark, sf):
  SELECT flight_id, win, ROUND(median(lat_deg), 8) AS lat_med, ROUND(median(lon_deg), 9) AS lon_med, ROUND(median(alt_m), 6) AS alt_med
  FROM members GROUP BY flight_id, win"""))
 def a12(spark, sf):
-    m = W.sliding_windows(labelled(spark, sf))
+    m = W.sliding_windows(labelling(spark, sf))
     return m.groupBy("flight_id", "win").agg(F.round(F.median("lat_deg"), 8).alias("lat_med"),
                                              F.round(F.median("lon_deg"), 9).alias("lon_med"),
                                              F.round(F.median("alt_m"), 6).alias("alt_med"))
@@ -248,7 +248,7 @@ def a12(spark, sf):
  SELECT flight_id, count(*) AS windows, CAST(sum(label) AS BIGINT) AS positive, ROUND(avg(label), 6) AS positive_share
  FROM windows GROUP BY flight_id"""))
 def a13(spark, sf):
-    windows = W.window_labels(W.sliding_windows(labelled(spark, sf)))
+    windows = W.window_labels(W.sliding_windows(labelling(spark, sf)))
     return windows.groupBy("flight_id").agg(
         F.count("*").alias("windows"), F.sum("label").alias("positive"), F.round(F.avg("label"), 6).alias("positive_share"))
 
@@ -259,7 +259,7 @@ def a13(spark, sf):
    CAST(CASE WHEN avg(label) >= 0.5e0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM members GROUP BY flight_id, win""",
                                              stale_run=2, failsafe=True))
 def a14(spark, sf):
-    rows = labelled(spark, sf, stale_run=2, failsafe_is_anomaly=True)
+    rows = labelling(spark, sf, stale_run=2, failsafe_is_anomaly=True)
     return W.window_labels(W.sliding_windows(rows), inclusive=True).select(
         "flight_id", "win", r6("start_s"), r6("end_s"), r6("centre_s"), "label")
 
@@ -282,14 +282,14 @@ def a01_dropped(spark, sf):
 
 @query("w15_window_members", sql("members", " SELECT flight_id, win, pos, seq FROM members"))
 def w15(spark, sf):
-    return W.sliding_windows(labelled(spark, sf)).select("flight_id", "win", "pos", "seq")
+    return W.sliding_windows(labelling(spark, sf)).select("flight_id", "win", "pos", "seq")
 
 
 @query("f04_window_tensor_cells", sql("members", """
  SELECT flight_id, win, CAST(pos * 2 AS BIGINT) AS cell, ROUND(CAST(CAST(score AS FLOAT) AS DOUBLE), 6) AS value FROM members
  UNION ALL SELECT flight_id, win, CAST(pos * 2 + 1 AS BIGINT), 0.0e0 FROM members"""))
 def f04(spark, sf):
-    t = W.window_tensors(W.sliding_windows(labelled(spark, sf)), ["score", "hdg_deg"])
+    t = W.window_tensors(W.sliding_windows(labelling(spark, sf)), ["score", "hdg_deg"])
     return t.select("flight_id", "win", F.posexplode("vector").alias("cell", "value")).select(
         "flight_id", "win", F.col("cell").cast("long").alias("cell"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -320,13 +320,13 @@ def w24(spark, sf):
 
 @query("k01_k02_sorted_windows", sql("windows", " SELECT flight_id, win, ROUND(start_s, 6) AS start_s FROM windows"))
 def k02(spark, sf):
-    return W.window_labels(W.sliding_windows(labelled(spark, sf))).select(
+    return W.window_labels(W.sliding_windows(labelling(spark, sf))).select(
         "flight_id", "win", r6("start_s")).orderBy("start_s", "flight_id")
 
 
 @query("k05_first_positive_flight", sql("windows", " SELECT min(flight_id) AS flight_id FROM windows WHERE label = 1"))
 def k05(spark, sf):
-    windows = W.window_labels(W.sliding_windows(labelled(spark, sf)))
+    windows = W.window_labels(W.sliding_windows(labelling(spark, sf)))
     return windows.filter("label = 1").agg(F.min("flight_id").alias("flight_id"))
 
 
@@ -424,7 +424,7 @@ def q18(spark, sf):
    SELECT unnest(['alt_m', 'vel_m_s', 'eph_m', 'failsafe']) AS feature, unnest([alt_m, vel_m_s, eph_m, CAST(failsafe AS DOUBLE)]) AS v
    FROM members m JOIN split s ON m.flight_id = s.flight_id AND m.win = s.win WHERE s.split = 'train') GROUP BY feature""", extra=_SPLIT))
 def m01(spark, sf):
-    members = settled(W.sliding_windows(labelled(spark, sf)))
+    members = settled(W.sliding_windows(labelling(spark, sf)))
     windows = settled(W.window_labels(members))
     train = W.chronological_split(windows).filter("split = 'train'").select("flight_id", "win")
     return feature_statistics(members.join(train, ["flight_id", "win"], "left_semi"),
