@@ -329,3 +329,13 @@ def f01(spark, sf):
         F.bround(s * 10).cast("long").alias("half_even"),
         F.date_format(F.timestamp_millis(F.lit(base) + F.round(F.col("time_s") * 1000).cast("long")),
                       "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"))
+
+
+@query("f05_f06_maps_json_and_defaults", """
+SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, '{"k":' || regexp_extract(props, '([0-9]+)', 1) || '}' AS again,
+  greatest(coalesce(CASE WHEN event_id % 2 = 0 THEN value END, 100.0e0), 5.0e0) AS floor_value FROM events""")
+def f05(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    fields = F.from_json("props", "map<string, bigint>")
+    return events.select("event_id", F.element_at(fields, "k").alias("k"), F.to_json(fields).alias("again"),
+                         F.greatest(F.coalesce(F.when(F.col("event_id") % 2 == 0, F.col("value")), F.lit(100.0)), F.lit(5.0)).alias("floor_value"))

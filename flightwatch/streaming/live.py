@@ -246,6 +246,8 @@ def score_stream(windows: DataFrame, models: dict[str, PipelineModel], folder: s
     """
     def flush(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # Every model reads the batch; without this each read would repeat the state step.
+        batch.persist()
         scored = score_batch(batch, models, default, area)
         if number > 0:
             past = spark.read.schema("flight_id string, last double").parquet(f"{folder}/state/{number - 1}")
@@ -261,6 +263,7 @@ def score_stream(windows: DataFrame, models: dict[str, PipelineModel], folder: s
         keep = ["flight_id", "ts", "lat_deg", "lon_deg", "model_terrain", "model_type", "switched", "features", "smoothed"]
         seeded.groupBy("flight_id").applyInPandas(run, schema).select(*keep).write.mode("overwrite").parquet(
             f"{folder}/smoothed/{number}")
+        batch.unpersist()
         done = spark.read.parquet(f"{folder}/smoothed/{number}")
         ends = done.groupBy("flight_id").agg(F.max_by("smoothed", "ts").alias("_new"))
         (past.join(ends, "flight_id", "full_outer").select("flight_id", F.coalesce("_new", "last").alias("last"))

@@ -5,6 +5,7 @@ Training queries and streams take longest; set FLIGHTWATCH_ALL=1 to run them her
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -48,3 +49,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 2
+
+
+@pytest.mark.parametrize("name", ["a13_windows_per_flight", "w11_segments", "w13_path_length", "w18_debounced_terrain",
+                                  "w19_smoothed_probability", "p16_fill_forward", "q01_q15_row_checks", "j06_p22_hold_last"])
+def test_rows_are_windowed_per_chunk(spark, name):
+    """A flight with a third of all rows must not meet in one task."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    specs = re.findall(r"windowspecdefinition\(([^()]*)", plan)
+    assert all("_chunk" in s for s in specs)
