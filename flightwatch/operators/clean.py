@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flightwatch.functions.geo import haversine_m
 from flightwatch.functions.modes import normalize_mode, number_of
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, lane, latest, time_axis, with_chunk, with_halo, with_prefix, without_halo)
+    CHUNK, KEYS, join_facts, lane, latest, time_axis, with_chunk, with_halo, with_prefix, without_halo)
 from flightwatch.schema import CRITICAL_COLUMNS, NUMERIC_COLUMNS, TEXT_COLUMNS
 
 
@@ -115,37 +115,32 @@ def fill_forward(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def flight_medians(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
     """Exact median per flight and column, as rows (flight_id, column, median).
 
-    A bounded sketch brackets the middle ranks; only values inside the bracket are counted
-    exactly, already combined per value before the shuffle, so no task holds a flight.
+    A bounded sketch brackets the middle ranks. Values outside the bracket are only counted,
+    those inside are counted per value, both before the shuffle; so what is ordered per
+    flight and column is a few ten-thousandths of its rows.
     """
     # The sketch is off by at most n/accuracy ranks; two such steps on each side cover it.
     slack = 2.0 / accuracy
-    brackets = df.groupBy(*KEYS).agg(*[
-        F.percentile_approx(F.col(c).cast("double"), [max(0.0, 0.5 - slack), 0.5 + slack], accuracy)
-        .alias(c) for c in columns])
-    brackets = brackets.select(*KEYS, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c)[0].alias("_lo"), F.col(c)[1].alias("_hi"))
-        for c in columns])).alias("_b")).select(*KEYS, "_b.*")
-    # Copies of one value collapse here, before anything meets per flight.
-    values = (df.select(*KEYS, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns]))
-        .alias("_x")).select(*KEYS, "_x.*").filter("_v IS NOT NULL")
-        .groupBy(*KEYS, "column", "_v").agg(F.count(F.lit(1)).alias("_n")))
-    marked = values.join(brackets, [*KEYS, "column"])
-    group = [*KEYS, "column"]
-    outside = marked.groupBy(*group).agg(
-        F.sum("_n").alias("_total"),
-        F.coalesce(F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_n"))), F.lit(0)).alias("_below"))
-    w = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (marked.filter("_v BETWEEN _lo AND _hi")
-              .withColumn("_upto", F.sum("_n").over(w))
-              .join(outside, group))
+    numbers = df.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in columns])
+    brackets = numbers.groupBy(*KEYS).agg(*[
+        F.percentile_approx(c, [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy).alias(f"_b_{c}")
+        for c in columns])
+
+    def place(c: str):
+        v, low, high = F.col(c), F.col(f"_b_{c}")[0], F.col(f"_b_{c}")[1]
+        side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
+        return F.struct(F.lit(c).alias("column"), v.isNotNull().alias("_known"), side.alias("_side"),
+                        F.when(side == 0, v).alias("_v"))
+    counts = (join_facts(numbers, brackets)
+              .select(*KEYS, F.explode(F.array(*[place(c) for c in columns])).alias("_p"))
+              .filter("_p._known").select(*KEYS, "_p.column", "_p._side", "_p._v")
+              .groupBy(*KEYS, "column", "_side", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    group = Window.partitionBy(*KEYS, "column")
+    upto = F.sum("_n").over(group.orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_total": F.sum("_n").over(group)})
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    at = F.col("_below") + F.col("_upto")
-    holds = lambda rank: (at >= rank) & (at - F.col("_n") < rank)
-    return inside.groupBy(*group).agg(
-        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2)
-        .alias("median"))
+    at = lambda rank: F.max(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col("_v")))
+    return ranked.groupBy(*KEYS, "column").agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -153,6 +148,6 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
     wide = flight_medians(df, present).groupBy(*KEYS).pivot("column", present).agg(F.first("median"))
     wide = wide.select(*KEYS, *[F.col(c).alias(f"_med_{c}") for c in present])
-    return df.join(wide, list(KEYS), "left").select(*[
+    return join_facts(df, wide).select(*[
         F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")).alias(c) if c in present else F.col(c)
         for c in df.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, lane, time_axis, with_halo, without_halo)
+    CHUNK, KEYS, join_facts, lane, time_axis, with_halo, without_halo)
 
 
 def segments(df: DataFrame, label: str = "label", reason: Column | None = None) -> DataFrame:
@@ -73,9 +73,11 @@ def labels_from_segments(df: DataFrame, segs: DataFrame, closed: str = "left",
     if shared:
         pieces = pieces.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int"))
-    per_cell = pieces.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(
+    # Copies of a segment collapse before anything is gathered.
+    single = pieces.select(*group, F.struct(
         F.col(order).alias("no"), F.col("start_s").alias("a"), F.col("end_s").alias("b"),
-        label_number(F.col("label")).alias("v")))).alias("_segs"))
+        label_number(F.col("label")).alias("v")).alias("_s")).distinct()
+    per_cell = single.groupBy(*group).agg(F.sort_array(F.collect_list("_s")).alias("_segs"))
     t = F.col("time_s")
     holding = F.filter("_segs", lambda s: (t >= s["a"]) & ((t < s["b"]) if closed == "left" else (t <= s["b"])))
     return (rows.join(per_cell, group, "left")
@@ -150,8 +152,7 @@ def resolve_labels(df: DataFrame, label_rows: DataFrame | None = None,
             sources.append((name, F.col("_from_shared")))
             continue
         known = segs.select(*KEYS).distinct().withColumn("_has_own", F.lit(True))
-        rows = (labels_from_segments(rows, segs).withColumnRenamed("label", "_from_segments")
-                .join(known, list(KEYS), "left"))
+        rows = join_facts(labels_from_segments(rows, segs).withColumnRenamed("label", "_from_segments"), known)
         sources.append((name, F.when(F.col("_has_own"), F.col("_from_segments"))))
     label = F.coalesce(*[c.cast("int") for _, c in sources], F.lit(0))
     source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in sources], F.lit("none"))

@@ -251,6 +251,19 @@ def with_prefix(df: DataFrame, values: dict[str, Prefix], order: str = "time_s",
         for n, v in values.items()])
 
 
+def join_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str] = KEYS, how: str = "left",
+               salts: int = 16) -> DataFrame:
+    """Join rows with one-row-per-key facts, spreading the rows of a large key.
+
+    Facts are copied ``salts`` times and rows take a copy by a hash of their content, so a
+    key holding a third of the rows is met in ``salts`` places. Size decides on broadcasting.
+    """
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def shared_folder(df: DataFrame) -> str:
     """This application's folder for intermediate tables, below the cluster's checkpoint folder."""
     spark = df.sparkSession

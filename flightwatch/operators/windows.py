@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, lane, opening, row_count, row_number, running_sum, with_halo, with_prefix, without_halo)
+    CHUNK, KEYS, join_facts, lane, opening, row_count, row_number, running_sum, whole_sum, with_halo,
+    with_prefix, without_halo)
 from flightwatch.functions.geo import local_east_m, local_north_m
 from flightwatch.schema import FEATURES, WINDOW_LENGTH, WINDOW_STRIDE
 
@@ -99,25 +100,17 @@ def chronological_split(windows: DataFrame, train: float = 0.7, val: float = 0.1
 
     ``win`` already numbers windows inside a flight, so a window's global position is the
     number of windows in earlier flights plus ``win``. Only one row per flight is ordered,
-    in ranges of flights; no window runs over the data rows. ``within`` splits per group.
+    in ranges of flights; no window runs over the data rows. ``within`` splits per group,
+    which must be the same for all windows of a flight.
     """
-    # Not every window number need exist per group, so count how far each flight reaches.
     flights = windows.groupBy(*within, *KEYS).agg(F.count(F.lit(1)).alias("_windows"))
     numeric = dict(windows.dtypes)["flight_id"] in ("bigint", "int", "smallint")
     axis = (F.floor(F.col("flight_id") / flights_per_bucket) if numeric
             else F.substring(F.col("flight_id").cast("string"), 1, 12))
-    ranked = with_prefix(flights, {"_earlier": running_sum(F.col("_windows"))},
-                         order="flight_id", axis=axis, keys=within) if within else \
-        with_prefix(flights, {"_earlier": running_sum(F.col("_windows"))},
-                    order="flight_id", axis=axis, keys=())
+    ranked = with_prefix(flights, {"_earlier": running_sum(F.col("_windows")), "_total": whole_sum(F.col("_windows"))},
+                         order="flight_id", axis=axis, keys=within)
     ranked = ranked.withColumn("_earlier", F.col("_earlier") - F.col("_windows")).drop(CHUNK)
-    if within:
-        totals = flights.groupBy(*within).agg(F.sum("_windows").alias("_total"))
-        ranked = ranked.join(totals, list(within))
-    else:
-        ranked = with_prefix(ranked, {"_total": running_total()}, order="flight_id", axis=axis,
-                             keys=()).drop(CHUNK)
-    placed = windows.join(ranked.drop("_windows"), [*within, *KEYS])
+    placed = join_facts(windows, ranked.drop("_windows"), [*within, *KEYS], "inner")
     position = F.col("_earlier") + F.col("win")
     cut = F.floor(F.lit(train) * F.col("_total"))
     cut2 = cut + F.floor(F.lit(val) * F.col("_total"))
@@ -127,11 +120,6 @@ def chronological_split(windows: DataFrame, train: float = 0.7, val: float = 0.1
             .drop("_earlier", "_total"))
 
 
-def running_total():
-    from flightwatch.operators.timeline import whole_sum
-    return whole_sum(F.col("_windows"))
-
-
 def flight_split(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Whole flights to one split, by a hash that never changes."""
     u = F.pmod(F.xxhash64("flight_id"), F.lit(1000000)) / F.lit(1000000.0)
