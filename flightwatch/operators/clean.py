@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flightwatch.functions.geo import haversine_m
 from flightwatch.functions.modes import normalize_mode, number_of
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, join_facts, lane, latest, time_axis, with_chunk, with_halo, with_prefix, without_halo)
+    CHUNK, KEYS, join_facts, lane, latest, with_chunk, with_halo, with_prefix, without_halo)
 from flightwatch.schema import CRITICAL_COLUMNS, NUMERIC_COLUMNS, TEXT_COLUMNS
 
 

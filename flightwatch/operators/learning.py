@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from flightwatch.functions.geo import in_box
 from flightwatch.operators.scoring import alert, ground_gate, smooth
 from flightwatch.operators.terrain import debounce, route, terrain_of, with_elevation
-from flightwatch.operators.timeline import CHUNK, KEYS, row_axis, settled
-from flightwatch.operators.windows import chronological_split, first_flights, numbered, sliding_windows, window_dataset
-from flightwatch.operators.metrics import class_report, confusion
+from flightwatch.operators.timeline import KEYS, row_axis, settled
+from flightwatch.operators.windows import chronological_split, first_flights, window_dataset
+from flightwatch.operators.metrics import confusion
 from flightwatch.operators.reports import training_summary
-from flightwatch.schema import ALERT_THRESHOLD, FEATURES, TERRAINS, WINDOW_LENGTH, WINDOW_STRIDE
+from flightwatch.schema import FEATURES, TERRAINS, WINDOW_LENGTH, WINDOW_STRIDE
 
 MIN_WINDOWS = 10
 MIN_NEURAL_WINDOWS = 30

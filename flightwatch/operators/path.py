@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightwatch.operators.terrain import path_length
-from flightwatch.operators.timeline import CHUNK, KEYS, running_sum, settled, with_chunk, with_prefix
+from flightwatch.operators.timeline import KEYS, running_sum, settled, with_chunk, with_prefix
 
 BLOCK = "_block"
 
@@ -100,7 +100,8 @@ def terrain_segments(df: DataFrame, segment_km: float = 1.0, stretches_per_block
     """Stretches with start, end, length and majority terrain; a cut row belongs to both sides."""
     rows = with_chunk(df.select(*KEYS, "time_s", "lat_deg", "lon_deg", "terrain"))
     measured = settled(path_length(rows))
-    cuts = path_cuts(measured, segment_km, stretches_per_block).withColumn("_cut", F.lit(1))
+    # The few cuts are read by both sides of the prefix below; find them once.
+    cuts = settled(path_cuts(measured, segment_km, stretches_per_block)).withColumn("_cut", F.lit(1))
     marked = measured.join(cuts, [*KEYS, "time_s"], "left")
     placed = with_prefix(marked, {"_seg": running_sum(F.coalesce("_cut", F.lit(0)))})
     last = F.col("_seg") - 1

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from flightwatch.functions.geo import haversine_km
 from flightwatch.operators.clean import fill_forward
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, chunk_seconds, lane, latest, latest_before, running_sum, time_axis, with_halo,
-    with_prefix, without_halo)
+    KEYS, lane, latest, latest_before, running_sum, with_halo, with_prefix, without_halo)
 from flightwatch.schema import DEBOUNCE, TERRAINS
 
 MOUNTAIN_ELEVATION_M = 800.0

@@ -14,7 +14,7 @@ from flightwatch.operators.perturb import perturb
 from flightwatch.operators.reports import training_summary
 from flightwatch.operators.learning import registry_info
 from flightwatch.operators.timeline import settled
-from flightwatch.plans.catalog import cleaned, query, r6, raw, sql
+from flightwatch.plans.catalog import query, r6, raw, sql
 from flightwatch.plans.fixture import telemetry
 
 KEY = ["flight_id", "seq"]

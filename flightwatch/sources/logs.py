@@ -16,7 +16,7 @@ from flightwatch.functions.modes import number
 from flightwatch.operators.clean import coerce_numbers, strip_text
 from flightwatch.operators.timeline import CHUNK, KEYS
 from flightwatch.schema import (
-    CLEANING_REPORT_SCHEMA, NUMERIC_COLUMNS, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
+    CLEANING_REPORT_SCHEMA, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
 
 STAGE_SUFFIX = "((_cleaned)+|_labels|_auto_segments|_cleaning_report)?\\.(csv|json)$"
 

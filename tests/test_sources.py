@@ -4,7 +4,6 @@ import json
 
 from pyspark.sql import functions as F
 
-from flightwatch.functions.modes import normalize_mode
 from flightwatch.operators.learning import fit_forest, predicted
 from flightwatch.operators.terrain import with_elevation
 from flightwatch.sources import logs, models
