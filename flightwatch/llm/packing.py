@@ -20,16 +20,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.llm.registry import query
-from flightwatch.llm.tables import settled, table
+from flightwatch.llm.tables import arrow_schema, settled, slices, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 # The tokenizer's own pre-splitting, written for lower-cased Latin-1 text.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
@@ -85,20 +86,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    schema = arrow_schema(ddl)
+
     def cut(batches):
         encode = encoder(path).encode
-        for batch in batches:
+        for docs, texts in slices(batches, "doc_id", "text"):
             rows = []
-            for doc, text in zip(batch.doc_id, batch.text, strict=True):
+            for doc, text in zip(docs, texts, strict=True):
                 ids = (encode(text) if text else b"") + end
                 rows += [(doc, at // step, at // 4, len(x := ids[at:at + step]) // 4, zlib.crc32(x))
                          for at in range(0, len(ids), step)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out.doc_id.astype("Int64")
-            yield out
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInPandas(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(cut, ddl)
 
 
 class Slots:

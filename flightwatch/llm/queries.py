@@ -1,4 +1,4 @@
 """Importing this module registers the queries of this folder."""
 
-from flightwatch.llm import packing, sharding  # noqa: F401
+from flightwatch.llm import decontamination, neighbours, packing, pii, rollups, sharding  # noqa: F401
 from flightwatch.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -75,9 +75,9 @@ cut AS (SELECT *, CAST(least(floor((2 * start + size) * 16 / (2 * total)), 15) A
 bytes AS (
   -- Table-driven CRC-32 has no SQL function here: the register is folded over the bytes of the text.
   SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen(t)),
-    i -> CAST(('0x' || substr(h, 2 * i::INT + 1, 2)) AS BIGINT))),
-    (c, b) -> list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
-      (x, z) -> CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c
+    lambda i: CAST(('0x' || substr(h, 2 * i::INT + 1, 2)) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c
   FROM (SELECT doc_id, t, hex(encode(t)) AS h FROM sized))
 SELECT cut.doc_id, size, xor(c, 4294967295) AS text_crc32, 'bytes' AS law, shard,
        CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard

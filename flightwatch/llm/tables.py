@@ -35,3 +35,18 @@ def clear_settled(spark: SparkSession) -> None:
     """Remove this application's stage tables, once results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches, *columns: str, rows: int = 256):
+    """Python lists of ``columns``, a bounded number of rows of an Arrow batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield tuple(part.column(c).to_pylist() for c in columns)
+
+
+def arrow_schema(ddl: str):
+    """The Arrow form of a schema given as text."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    return to_arrow_schema(StructType.fromDDL(ddl))
