@@ -334,8 +334,8 @@ grams AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
         FROM doc_words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 matches AS (SELECT doc_id, item_id, i, n FROM grams JOIN windows USING (n, gram)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit
-        FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM (SELECT DISTINCT doc_id, i, n FROM matches)) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM matches)) GROUP BY doc_id),
 hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM matches) GROUP BY doc_id),
 verdict AS (

@@ -204,9 +204,9 @@ def _spans_sql() -> str:
     parts = []
     for at, k in enumerate(KINDS):
         parts.append(f"""
-SELECT doc_id, start, stop, {at} AS at, '{k.name}' AS kind FROM (
+SELECT doc_id, start, stop, {at} AS nth, '{k.name}' AS kind FROM (
   SELECT doc_id, t, m, stop - len(m) AS start, stop FROM (
-    SELECT doc_id, t, hits[i] AS m, list_sum(list_transform(gaps[1:i], lambda p: len(p))) + list_sum(list_transform(hits[1:i], lambda p: len(p))) AS stop
+    SELECT doc_id, t, hits[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda p: len(p))) + list_sum(list_transform(hits[1:i], lambda p: len(p))) AS BIGINT) AS stop
     FROM (SELECT doc_id, t, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
       SELECT doc_id, t, regexp_extract_all(t, '{plain[k.name]}') AS hits, string_split_regex(t, '{plain[k.name]}') AS gaps
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))))
@@ -216,11 +216,11 @@ WHERE {test[k.name]}""")
 
 @query("op6_pii", f"""
 WITH {_spans_sql()}, lines AS (
-  SELECT doc_id, count(*) FILTER (at = 0) AS n_email, count(*) FILTER (at = 1) AS n_ip, count(*) FILTER (at = 2) AS n_card,
-         count(*) FILTER (at = 3) AS n_phone,
-         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, at) FILTER (at < 4) AS base,
-         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, at) AS spans
-  FROM (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, at, kind FROM found) GROUP BY doc_id)
+  SELECT doc_id, count(*) FILTER (nth = 0) AS n_email, count(*) FILTER (nth = 1) AS n_ip, count(*) FILTER (nth = 2) AS n_card,
+         count(*) FILTER (nth = 3) AS n_phone,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) FILTER (nth < 4) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, nth) AS spans
+  FROM (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, nth, kind FROM found) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
        coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN lines USING (doc_id)
