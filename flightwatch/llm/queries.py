@@ -1,4 +1,5 @@
 """Importing this module registers the queries of this folder."""
 
-from flightwatch.llm import decontamination, neighbours, packing, pii, rollups, sharding  # noqa: F401
+from flightwatch.llm import (  # noqa: F401
+    decontamination, language, neighbours, packing, pii, rollups, sharding, toxicity, wrappers)
 from flightwatch.llm.registry import ORACLES, QUERIES  # noqa: F401
