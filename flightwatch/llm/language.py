@@ -177,6 +177,16 @@ def train(passages: list[str], langs: list[str], steps: int = STEPS) -> Network:
     return net
 
 
+def _labels(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    some = [i for i, t in enumerate(texts) if net.languages and t and _LETTER(t)]
+    if some:
+        p = net.documents([texts[i].encode("utf-8", "surrogatepass") for i in some])
+        for i, k, v in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
+            langs[i], scores[i] = net.languages[k], float(v)
+    return langs, scores
+
+
 def predict(docs: DataFrame, net: Network) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row: the likeliest language of the whole text and its probability.
 
@@ -188,18 +198,22 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def label(batches):
         for ids, texts in slices(batches, "doc_id", "text"):
-            langs, scores = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            some = [i for i, t in enumerate(texts) if net.languages and t and _LETTER(t)]
-            if some:
-                p = net.documents([texts[i].encode("utf-8", "surrogatepass") for i in some])
-                for i, k, v in zip(some, p.argmax(axis=1), p.max(axis=1), strict=True):
-                    langs[i], scores[i] = net.languages[k], float(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([ids, langs, scores], schema.types, strict=True)],
-                                             schema=schema)
+            cols = [ids, *_labels(net, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(label, ddl)
 
 
+def recognised(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose ``text`` has a language; those that would be UNKNOWN go."""
+    def keep(batches):
+        for batch in batches:
+            langs = [k for (texts,) in slices([batch], "text") for k in _labels(net, texts)[0]]
+            yield batch.filter(pa.array([k != UNKNOWN for k in langs], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(k: int, rest: int) -> Column:
     """Rows that training never sees: crc32 of the id as text leaves ``rest`` modulo ``k``."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % k == rest, F.lit(False))
