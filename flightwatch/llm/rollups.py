@@ -150,7 +150,8 @@ def op8_token_rollups(spark, sf_dir):
                         F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_tokens"))
     store.commit("load", upserts=rough)
     store.commit("drop_poor", deletes=poor)
-    real = settled(token_counts(docs.join(poor, "doc_id", "left_anti")))
+    # Texts are counted where they lie; only counts meet other tables.
+    real = settled(token_counts(docs)).join(poor, "doc_id", "left_anti")
     store.commit("revise", upserts=real, deletes=real.select("doc_id", F.lit("utf8_bytes").alias("version")))
     store.commit("drop_poor", deletes=poor)
     return store.totals()
