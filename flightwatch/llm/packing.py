@@ -150,7 +150,7 @@ def _smallest(sizes: list[int], n: int, left: dict[int, int], besides: int, abov
 def reduce_sizes(counts: dict[int, int], capacity: int, slots: Slots) -> dict[int, int]:
     """Fix bins that dominate all others for their largest piece; what remains undecided is returned.
 
-    For the largest piece w and the room r beside it:
+    For each piece w, the largest first, with the room r beside it, among all pieces not fixed yet:
     no piece fits: {w}. A piece of exactly r is left: {w, r}, as whatever else fits stacks up into r.
     Two pieces never fit: {w, largest fitting}. Three never fit: {w, b} if the largest fitting b is no
     smaller than the best pair; {w, b, c} with the largest c beside b, if no two pieces larger than c
@@ -158,41 +158,41 @@ def reduce_sizes(counts: dict[int, int], capacity: int, slots: Slots) -> dict[in
     """
     left = {s: n for s, n in counts.items() if n > 0}
     sizes = sorted(left)
-    undecided: dict[int, int] = {}
-    while sizes:
-        w, room = sizes[-1], capacity - sizes[-1]
-        least = _smallest(sizes, 3, left, w)
-        chosen: list[int] | None = None
-        if not least or least[0] > room:
-            chosen = [w]
-        elif left.get(room, 0) > (room == w):
-            chosen = [w, room]
-        else:
-            b = _fitting(sizes, room, left, (w,))
-            c = _fitting(sizes, room - b, left, (w, b))
-            if len(least) < 2 or least[0] + least[1] > room:
-                chosen = [w, b]
-            elif len(least) < 3 or sum(least) > room:
-                pair = max((x + y for x in sizes if left[x] > (x == w) and x < room
-                            for y in [_fitting(sizes, room - x, left, (w, x))] if y), default=0)
-                if b >= pair:
-                    chosen = [w, b]
-                elif c:
-                    over = _smallest(sizes, 2, left, w, above=c)
-                    if len(over) < 2 or sum(over) > room:
-                        chosen = [w, b, c]
-        if chosen is None:
-            undecided[w] = left.pop(w)
-            sizes.pop()
-            continue
-        times = min(left[s] // chosen.count(s) for s in set(chosen))
-        slots.fill(chosen, times)
-        for s in chosen:
-            left[s] -= times
-        for s in {s for s in chosen if not left[s]}:
-            del left[s]
-            sizes.remove(s)
-    return undecided
+    for w in sorted(left, reverse=True):
+        while left.get(w):
+            chosen = _dominating(w, capacity - w, sizes, left)
+            if chosen is None:
+                break
+            times = min(left[s] // chosen.count(s) for s in set(chosen))
+            slots.fill(chosen, times)
+            for s in chosen:
+                left[s] -= times
+            for s in {s for s in chosen if not left[s]}:
+                del left[s]
+                sizes.remove(s)
+    return left
+
+
+def _dominating(w: int, room: int, sizes: list[int], left: dict[int, int]) -> list[int] | None:
+    least = _smallest(sizes, 3, left, w)
+    if not least or least[0] > room:
+        return [w]
+    if left.get(room, 0) > (room == w):
+        return [w, room]
+    b = _fitting(sizes, room, left, (w,))
+    if len(least) < 2 or least[0] + least[1] > room:
+        return [w, b]
+    if len(least) < 3 or sum(least) > room:
+        pair = max((x + y for x in sizes if left[x] > (x == w) and x < room
+                    for y in [_fitting(sizes, room - x, left, (w, x))] if y), default=0)
+        if b >= pair:
+            return [w, b]
+        c = _fitting(sizes, room - b, left, (w, b))
+        if c:
+            over = _smallest(sizes, 2, left, w, above=c)
+            if len(over) < 2 or sum(over) > room:
+                return [w, b, c]
+    return None
 
 
 def best_fit(counts: dict[int, int], capacity: int, slots: Slots) -> None:

@@ -198,7 +198,7 @@ def induce(pages: list[str]) -> dict:
         seen = {t for _, t, _ in blocks}
         nodes = sum(1 for _ in _walk(root))
         # Pages that share most of their text are copies and say nothing about what varies.
-        if nodes <= SAMPLE_NODES and all(2 * len(seen & s) < max(1, len(seen | s)) for s, _, _ in kept):
+        if nodes <= SAMPLE_NODES and all(2 * sum(map(len, seen & s)) < max(1, sum(map(len, seen | s))) for s, _, _ in kept):
             kept.append((seen, root, nodes))
         if len(kept) == USED:
             break
