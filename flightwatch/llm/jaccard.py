@@ -42,6 +42,8 @@ RUN = 2_000_000
 PER_GROUP, GROUPS = 4, 1 << 16
 BUCKET_ROWS = 400_000
 TILE, LEAF = 1024, 32
+#: Numbers of sets (16 bytes each) up to which they are broadcast to find their texts; beyond, texts move to them.
+BROADCAST_SETS = 1_000_000
 #: Pairs that are compared with one set in a task.
 PARTNERS = 256
 
@@ -347,7 +349,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
                                                  schema=schema)
 
     asked = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    wanted = asked.join(points, "sid").select("doc_id", F.col("sid").alias("want"))
+    wanted = settled(asked.join(points, "sid").select("doc_id", F.col("sid").alias("want")))
+    if wanted.count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
     made = settled(docs.join(wanted, "doc_id").select("want", "text").mapInArrow(sets, ddl))
     # A set with many partners is compared in several places.
     degree = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("_places"))
@@ -371,6 +375,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
     return members.unionByName(heads).groupBy("v", "place").applyInPandas(compare, "u long, v long")
 
 
+def _leaf_pairs(rows: DataFrame, keys: int) -> DataFrame:
+    """Pairs ``u, v`` of different components and fitting sizes in blocks of at most LEAF rows: ``rows`` of block,
+    sid, component, n. Such a block is a single leaf; its pairs, mostly met in several blocks, are made distinct
+    before their counts are looked at."""
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        by = np.argsort(group.block.to_numpy(), kind="stable")
+        block, sid, component, n = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "n"))
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, LEAF):
+            i = np.flatnonzero(block[d:] == block[:-d])
+            if not len(i):
+                break
+            j = i + d
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            fits = (component[i] != component[j]) & (DENOMINATOR * low >= NUMERATOR * high)
+            pair = np.stack([sid[i[fits]], sid[j[fits]]], axis=1)
+            found.append(np.unique(np.sort(pair, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return (rows.select(F.pmod("block", F.lit(keys)).alias("_key"), "block", "sid", "component", "n").groupBy("_key")
+            .applyInPandas(search, "u long, v long").distinct())
+
+
 def _search(rows: DataFrame, keys: int) -> DataFrame:
     """Pairs ``u, v`` that the trees let through: ``rows`` of block, sid, component, n, counts, size (rows of the
     block). Blocks of a tile at most share ``keys`` groups."""
@@ -383,16 +411,18 @@ def _search(rows: DataFrame, keys: int) -> DataFrame:
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
-        for _, g in group.groupby("block", sort=False):
-            g = g.drop_duplicates("sid")
-            component = g.component.to_numpy()
+        across = group.x.iloc[0] != group.y.iloc[0]
+        by = np.argsort(group.block.to_numpy(), kind="stable")
+        block, sids, components_, sizes_, mines = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "n", "mine"))
+        blobs = [group["counts"].iloc[i] for i in by]
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for b, e in zip(cuts, cuts[1:]):
+            component, sid, mine = components_[b:e], sids[b:e], mines[b:e]
             if (component == component[0]).all():
                 continue
-            points, sizes = points_of(list(g.counts)), g.n.to_numpy(np.int64)
-            sid, mine = g.sid.to_numpy(), g.mine.to_numpy()
-            across = g.x.iloc[0] != g.y.iloc[0]
+            points, sizes = points_of(blobs[b:e]), sizes_[b:e].astype(np.int64)
             tree = CountTree(points, sizes)
-            for i in range(len(sid)):
+            for i in range(e - b):
                 j = tree.search(points[i], int(sizes[i]))
                 j = j[(sid[j] > sid[i]) & (component[j] != component[i])]
                 if across:
@@ -437,9 +467,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = settled(placed)
     open_blocks = (placed.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b"),
                                                F.count(F.lit(1)).alias("size")).filter("_a <> _b").select("block", "size"))
-    left = placed.join(open_blocks, "block").join(points.select("sid", "n", "counts"), "sid")
     open_rows = open_blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    second = _verified(settled(_search(left, open_rows // (16 * TILE) + 1)), linked, points)
+    keys = open_rows // (64 * TILE) + 1
+    left = placed.join(open_blocks, "block").join(points.select("sid", "n"), "sid")
+    small = _bounded(_leaf_pairs(left.filter(F.col("size") <= LEAF), keys), points)
+    large = _search(left.filter(F.col("size") > LEAF).join(points.select("sid", "counts"), "sid"), keys)
+    second = _verified(settled(small.unionByName(large).distinct()), linked, points)
     links = settled(first.unionByName(second).distinct())
     group = settled(components(links))
 

@@ -197,7 +197,7 @@ def test_toxicity(spark):
     term = max(model.terms, key=model.terms.get).decode().rstrip("*")
     insult = spark.createDataFrame([(1, f"of the and {term} {term} the {term} of")], "doc_id long, text string")
     r = toxicity.passages(insult, model).first()
-    assert r.score > 0.5 and (r.passages[0].begin, r.passages[0].end) == (3, 7)
+    assert r.score > 0.5 and (3, 7) in {(p.begin, p.end) for p in r.passages}
     assert toxicity.passages(odd.none(spark), model).collect() == []
     blank = toxicity.train(odd.documents(spark), labels.limit(0))
     assert {r.score < 0.5 for r in toxicity.passages(odd.documents(spark), blank).collect()} == {True}
