@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, HALO, KEYS, lane, running_sum, with_halo, with_prefix, without_halo)
+    CHUNK, KEYS, join_facts, lane, running_sum, with_chunk, with_halo, with_prefix, without_halo)
 from flightwatch.schema import ALERT_THRESHOLD, GROUND_PROBABILITY, SMOOTHING
 
 
@@ -24,33 +24,60 @@ def alert(probability: Column, threshold: float = ALERT_THRESHOLD, inclusive: bo
     return probability >= threshold if inclusive else probability > threshold
 
 
-def forgetting_rows(decay: float) -> int:
-    """Rows after which a past state weighs less than half a unit in the last place."""
-    return math.ceil(60 * math.log(2) / -math.log(decay))
+def _states(y: np.ndarray, gain: float, start: float | None) -> np.ndarray:
+    """States after each value; the first value itself is the first state if there is none to start from."""
+    if start is None or np.isnan(start):
+        return pd.Series(y).ewm(alpha=gain, adjust=False).mean().to_numpy()
+    # pandas' recursive mean gives the newest value the weight alpha
+    return pd.Series(np.concatenate([[start], y])).ewm(alpha=gain, adjust=False).mean().to_numpy()[1:]
 
 
 def _recurrence(df: DataFrame, column: str, out: str, gain: float, seed: float | None,
                 order: str, axis: Column | None) -> DataFrame:
-    """state = gain * x + (1 - gain) * state, along each flight.
+    """state = gain * x + (1 - gain) * state, along each flight; a null keeps the state as it is.
 
-    The state forgets: what happened ``forgetting_rows`` ago no longer changes a double.
-    So each chunk, preceded by that many rows, is computed on its own, and a flight of any
-    length is spread over tasks. ``seed`` is the state before the first row; None starts
-    from the first value itself.
+    Over a chunk the state is an affine function of the state before it, so a chunk is first reduced to
+    (number of values, state from zero, state from its own first value). These few numbers are followed
+    chunk by chunk, and every chunk then starts from its exact state: results do not depend on the chunk
+    width. ``seed`` is the state before the first row; None starts from the first value itself. Only keys,
+    order and value pass through Python; ``order`` must be unique within a flight.
     """
-    rows = df.withColumn(out, F.lit(None).cast("double"))
-    halo = with_halo(rows, before=forgetting_rows(1 - gain), carry=[order, column], order=order, axis=axis)
+    rows = with_chunk(df, axis)
+    narrow = rows.select(*KEYS, CHUNK, F.col(order).alias("_order"), F.col(column).cast("double").alias("_x"))
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    place = ", ".join(f"{k} {kinds[k]}" for k in (*KEYS, CHUNK))
+
+    def reduce(chunk: pd.DataFrame) -> pd.DataFrame:
+        y = chunk.sort_values("_order", kind="stable")["_x"].dropna().to_numpy()
+        head = chunk[[*KEYS, CHUNK]].head(1)
+        last = lambda s: s[-1] if len(s) else np.nan
+        return head.assign(_n=len(y), _zero=last(_states(y, gain, 0.0)), _own=last(_states(y, gain, None)))
+
+    ends = narrow.groupBy(*KEYS, CHUNK).applyInPandas(reduce, f"{place}, _n long, _zero double, _own double")
+
+    def follow(chunks: pd.DataFrame) -> pd.DataFrame:
+        state, starts = np.nan if seed is None else seed, []
+        chunks = chunks.sort_values(CHUNK)
+        for n, zero, own in zip(chunks["_n"], chunks["_zero"], chunks["_own"], strict=True):
+            starts.append(state)
+            if n:
+                state = own if np.isnan(state) else (1 - gain) ** n * state + zero
+        return chunks[[*KEYS, CHUNK]].assign(_start=starts)
+
+    starts = ends.groupBy(*KEYS).applyInPandas(follow, f"{place}, _start double")
 
     def scan(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(order, kind="stable")
-        x = chunk[column].to_numpy(dtype=float, copy=True)
-        if seed is not None:
-            x[0] = (1 - gain) * seed + gain * x[0]
-        # pandas' recursive mean gives the newest value the weight alpha
-        chunk[out] = pd.Series(x).ewm(alpha=gain, adjust=False).mean().to_numpy()
-        return chunk[chunk[HALO] == 0]
+        chunk = chunk.sort_values("_order", kind="stable")
+        known = chunk["_x"].notna().to_numpy()
+        start = chunk["_start"].iloc[0]
+        state = np.full(len(chunk), np.nan)
+        state[known] = _states(chunk["_x"].to_numpy()[known], gain, start)
+        return chunk[[*KEYS, CHUNK, "_order"]].assign(_state=pd.Series(state, chunk.index).ffill().fillna(start))
 
-    return halo.groupBy(*KEYS, CHUNK).applyInPandas(scan, halo.schema).drop(HALO, CHUNK)
+    states = narrow.join(starts.hint("shuffle_hash"), [*KEYS, CHUNK]).groupBy(*KEYS, CHUNK).applyInPandas(
+        scan, f"{place}, _order {kinds['_order']}, _state double")
+    states = states.select(*KEYS, CHUNK, F.col("_order").alias(order), F.nanvl("_state", F.lit(None)).alias(out))
+    return rows.join(states, [*KEYS, CHUNK, order], "left").drop(CHUNK).select(*df.drop(CHUNK).columns, out)
 
 
 def smooth(df: DataFrame, column: str, alpha: float = SMOOTHING, out: str = "smoothed",
@@ -145,7 +172,7 @@ def detection_delay(scores: DataFrame, threshold: float = ALERT_THRESHOLD, proba
     onset = F.min(F.when(F.col(truth) == 1, F.col("time_s")))
     starts = scores.groupBy(*KEYS).agg(onset.alias("attack_start_s")).filter("attack_start_s IS NOT NULL")
     fired = scores.filter(alert(F.col(probability), threshold, inclusive)).select(*KEYS, "time_s")
-    first = (fired.join(starts, list(KEYS)).filter("time_s >= attack_start_s")
+    first = (join_facts(fired, starts, how="inner").filter("time_s >= attack_start_s")
              .groupBy(*KEYS).agg(F.min("time_s").alias("first_alert_s")))
     return (starts.join(first, list(KEYS), "left")
             .withColumn("delay_s", F.col("first_alert_s") - F.col("attack_start_s")))

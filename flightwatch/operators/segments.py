@@ -85,7 +85,7 @@ def labels_from_segments(df: DataFrame, segs: DataFrame, closed: str = "left",
             .drop("_segs", "_cell", "_salt"))
 
 
-def windows_with_rows(windows: DataFrame, rows: DataFrame, cell_s: float = 60.0) -> DataFrame:
+def windows_with_rows(windows: DataFrame, rows: DataFrame, cell_s: float = 4.0) -> DataFrame:
     """Per window: dominant mode, max failsafe and armed over rows in [start, end]; else null."""
     w = windows.select(*KEYS, "win", "start_s", "end_s",
                        F.explode(_cells(F.col("start_s"), F.col("end_s"), cell_s)).alias("_cell"))
@@ -99,7 +99,7 @@ def windows_with_rows(windows: DataFrame, rows: DataFrame, cell_s: float = 60.0)
 
 def labelled_flights(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Only flights that have labels at all."""
-    return df.join(labels.select(*KEYS).distinct(), list(KEYS), "left_semi")
+    return join_facts(df, labels.select(*KEYS).distinct(), how="left_semi")
 
 
 def flights_without(flights: DataFrame, partner: DataFrame) -> DataFrame:

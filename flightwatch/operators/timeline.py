@@ -15,6 +15,8 @@ Only the one-row-per-chunk table is ever windowed by flight.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -30,9 +32,22 @@ KEYS = ("flight_id",)
 DEFAULT_CHUNK_SECONDS = 3600.0
 
 
+_WIDTH: contextvars.ContextVar[float | None] = contextvars.ContextVar("chunk_width", default=None)
+
+
+@contextlib.contextmanager
+def chunk_width(seconds: float):
+    """Operators called inside cut chunks of this width, whatever the session says."""
+    token = _WIDTH.set(seconds)
+    try:
+        yield
+    finally:
+        _WIDTH.reset(token)
+
+
 def chunk_seconds(df: DataFrame) -> float:
-    """Width of a chunk; ``flightwatch.chunk.seconds`` of the session overrides it."""
-    return float(df.sparkSession.conf.get("flightwatch.chunk.seconds", str(DEFAULT_CHUNK_SECONDS)))
+    """Width of a chunk: of ``chunk_width``, else ``flightwatch.chunk.seconds`` of the session, else the default."""
+    return _WIDTH.get() or float(df.sparkSession.conf.get("flightwatch.chunk.seconds", str(DEFAULT_CHUNK_SECONDS)))
 
 
 def time_axis(df: DataFrame, time: str = "time_s") -> Column:
@@ -50,13 +65,13 @@ def with_chunk(df: DataFrame, axis: Column | None = None) -> DataFrame:
     return df.withColumn(CHUNK, time_axis(df) if axis is None else axis)
 
 
-def lane(order: str = "time_s", keys: Sequence[str] = KEYS) -> WindowSpec:
+def lane(order: str = "time_s", keys: Sequence[str] = KEYS, backwards: bool = False) -> WindowSpec:
     """The window spec that all ordered expressions share: one exchange, one sort."""
-    return Window.partitionBy(*keys, CHUNK).orderBy(order)
+    return Window.partitionBy(*keys, CHUNK).orderBy(F.col(order).desc() if backwards else F.col(order))
 
 
-def _in_order(keys: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(CHUNK)
+def _in_order(keys: Sequence[str], backwards: bool = False) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc() if backwards else F.col(CHUNK))
 
 
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, carry: Sequence[str] = (),
@@ -143,6 +158,8 @@ class Prefix:
     carry: Callable[[Column, WindowSpec], Column]
     local: Callable[[WindowSpec], Column] | None = None
     merge: Callable[[Column | None, Column], Column] = lambda local, carry: carry
+    #: Frames run from the end of the flight: "before" is then what comes later.
+    backwards: bool = False
 
 
 def _ahead(w: WindowSpec) -> WindowSpec:
@@ -216,14 +233,15 @@ def latest_before(e: Column) -> Prefix:
 
 
 def upcoming(e: Column) -> Prefix:
-    """First non-null value strictly after the row."""
+    """First non-null value strictly after the row: the latest one before it, seen from the end.
+
+    A frame that only grows costs one step a row; one that shrinks would be read anew for each.
+    """
     return Prefix(
         part=lambda order: F.min_by(e, F.when(e.isNotNull(), F.col(order))),
-        carry=lambda p, w: F.first(p, ignorenulls=True).over(
-            w.rowsBetween(1, Window.unboundedFollowing)),
-        local=lambda w: F.first(e, ignorenulls=True).over(
-            w.rowsBetween(1, Window.unboundedFollowing)),
-        merge=lambda loc, car: F.coalesce(loc, car))
+        carry=lambda p, w: F.last(p, ignorenulls=True).over(_ahead(w)),
+        local=lambda w: F.last(e, ignorenulls=True).over(_ahead(w)),
+        merge=lambda loc, car: F.coalesce(loc, car), backwards=True)
 
 
 def with_prefix(df: DataFrame, values: dict[str, Prefix], order: str = "time_s",
@@ -236,12 +254,10 @@ def with_prefix(df: DataFrame, values: dict[str, Prefix], order: str = "time_s",
     rows = with_chunk(df, axis)
     parts = rows.groupBy(*keys, CHUNK).agg(
         *[v.part(order).alias(f"_part_{name}") for name, v in values.items()])
-    along = _in_order(keys)
     carried = parts.select(
-        *keys, CHUNK, *[v.carry(F.col(f"_part_{n}"), along).alias(f"_carry_{n}")
+        *keys, CHUNK, *[v.carry(F.col(f"_part_{n}"), _in_order(keys, v.backwards)).alias(f"_carry_{n}")
                         for n, v in values.items()])
-    w = lane(order, keys)
-    local = rows.select("*", *[v.local(w).alias(f"_local_{n}")
+    local = rows.select("*", *[v.local(lane(order, keys, v.backwards)).alias(f"_local_{n}")
                                for n, v in values.items() if v.local is not None])
     joined = local.join(carried.hint("shuffle_hash"), [*keys, CHUNK], "left")
     base = [c for c in rows.columns if c not in values]
@@ -252,14 +268,16 @@ def with_prefix(df: DataFrame, values: dict[str, Prefix], order: str = "time_s",
 
 
 def join_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str] = KEYS, how: str = "left",
-               salts: int = 16) -> DataFrame:
+               salts: int = 16, spread: str | None = None) -> DataFrame:
     """Join rows with one-row-per-key facts, spreading the rows of a large key.
 
-    Facts are copied ``salts`` times and rows take a copy by a hash of their content, so a
-    key holding a third of the rows is met in ``salts`` places. Size decides on broadcasting.
+    Facts are copied ``salts`` times and rows take a copy by a hash of ``spread`` (by default the time or
+    the window number, else all plain columns), so a key holding a third of the rows is met in ``salts``
+    places. Adaptive execution splits what is still large; size decides on broadcasting.
     """
-    plain = [c for c, t in df.dtypes if not t.startswith("map")]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spread = spread or next((c for c in ("time_s", "win", "seq") if c in df.columns), None)
+    by = [spread] if spread else [c for c, t in df.dtypes if not t.startswith("map")]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, join_facts, lane, opening, row_count, row_number, running_sum, whole_sum, with_halo,
+    CHUNK, KEYS, join_facts, lane, opening, row_count, row_number, running_sum, settled, whole_sum, with_halo,
     with_prefix, without_halo)
 from flightwatch.functions.geo import local_east_m, local_north_m
 from flightwatch.schema import FEATURES, WINDOW_LENGTH, WINDOW_STRIDE
@@ -95,20 +95,19 @@ def rolling_buffer(df: DataFrame, column: str, length: int = WINDOW_LENGTH) -> D
 
 
 def chronological_split(windows: DataFrame, train: float = 0.7, val: float = 0.15,
-                        within: Sequence[str] = (), flights_per_bucket: int = 100000) -> DataFrame:
+                        within: Sequence[str] = ()) -> DataFrame:
     """Cut all windows, in (flight, window) order, into train / val / test.
 
     ``win`` already numbers windows inside a flight, so a window's global position is the
-    number of windows in earlier flights plus ``win``. Only one row per flight is ordered,
-    in ranges of flights; no window runs over the data rows. ``within`` splits per group,
+    number of windows in earlier flights plus ``win``. Only one row per flight is ordered: flights are
+    range-partitioned by id, summed per partition, and the sums of earlier partitions added; no window
+    runs over the data rows, and no range depends on what ids look like. ``within`` splits per group,
     which must be the same for all windows of a flight.
     """
     flights = windows.groupBy(*within, *KEYS).agg(F.count(F.lit(1)).alias("_windows"))
-    numeric = dict(windows.dtypes)["flight_id"] in ("bigint", "int", "smallint")
-    axis = (F.floor(F.col("flight_id") / flights_per_bucket) if numeric
-            else F.substring(F.col("flight_id").cast("string"), 1, 12))
-    ranked = with_prefix(flights, {"_earlier": running_sum(F.col("_windows")), "_total": whole_sum(F.col("_windows"))},
-                         order="flight_id", axis=axis, keys=within)
+    ranged = settled(flights.repartitionByRange(*within, "flight_id").withColumn("_range", F.spark_partition_id()))
+    ranked = with_prefix(ranged, {"_earlier": running_sum(F.col("_windows")), "_total": whole_sum(F.col("_windows"))},
+                         order="flight_id", axis=F.col("_range").cast("long"), keys=within).drop("_range")
     ranked = ranked.withColumn("_earlier", F.col("_earlier") - F.col("_windows")).drop(CHUNK)
     placed = join_facts(windows, ranked.drop("_windows"), [*within, *KEYS], "inner")
     position = F.col("_earlier") + F.col("win")

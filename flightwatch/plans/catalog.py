@@ -130,8 +130,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry written once as a table, as logs would lie on disk: flights in many files."""
-    return settled(telemetry(spark, sf_dir).repartition("flight_id"))
+    """The telemetry written once as a table; no flight is gathered for it."""
+    return settled(telemetry(spark, sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

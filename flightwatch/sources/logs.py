@@ -6,7 +6,9 @@ a ``flight_id=`` folder above it, which is how the writers here lay files out.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from flightwatch.functions.modes import number
 from flightwatch.operators.clean import coerce_numbers, strip_text
 from flightwatch.operators.timeline import CHUNK, KEYS
 from flightwatch.schema import (
-    CLEANING_REPORT_SCHEMA, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
+    CLEANING_REPORT_SCHEMA, NUMERIC_COLUMNS, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
 
 STAGE_SUFFIX = "((_cleaned)+|_labels|_auto_segments|_cleaning_report)?\\.(csv|json)$"
 
@@ -27,21 +29,41 @@ def flight_of(file_path: Column) -> Column:
     return F.when(folder != "", folder).otherwise(stem)
 
 
+def _layouts(spark: SparkSession, path: str, pattern: str, recursive: bool) -> dict[str, list[str]]:
+    """Files by their header line; as many entries as files, like Spark's own file index."""
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_at")))
+    heads = (lines.filter("_block = 0").groupBy("file_path").agg(F.min_by("value", "_at").alias("head"))
+             .filter(F.length(F.trim("head")) > 0).collect())
+    out: dict[str, list[str]] = {}
+    for r in heads:
+        out.setdefault(r["head"].lstrip("\ufeff"), []).append(r["file_path"])
+    return out
+
+
 def _text_csv(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
-    """All columns as text, names trimmed; only a header line is read to learn the names."""
-    reader = (spark.read.option("header", True).option("pathGlobFilter", pattern)
-              .option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE"))
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = reader.schema(schema).csv(path)
-    return rows.select(*[F.col(f"`{n}`").alias(n.strip()) for n in names],
-                       F.col("_metadata.file_path").alias("file_path"),
-                       F.col("_metadata.file_block_start").alias("_block"))
+    """All columns as text, names trimmed, matched by name: files of one header are read together, and a
+    column that a file does not have is null there. Empty files give no rows."""
+    found = None
+    for head, files in sorted(_layouts(spark, path, pattern, recursive).items()):
+        names = [n.strip() for n in next(csv.reader([head]))]
+        names = [n or f"_c{i}" for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        # Folder names are no columns here: flights are told by the file's path.
+        rows = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+                .schema(schema).csv([unquote(f) for f in files]))
+        rows = rows.select(*names, F.col("_metadata.file_path").alias("file_path"),
+                           F.col("_metadata.file_block_start").alias("_block"))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    if found is None:
+        raise ValueError(f"no files {pattern} with a header in {path}")
+    return found
 
 
 def read_logs(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = True,
               skip: str | None = None) -> DataFrame:
-    """Telemetry of equal layout: numbers coerced, text stripped, ``row_no`` in file order.
+    """Telemetry of any layouts, by column name: numbers coerced, text stripped, ``row_no`` in file order.
 
     ``skip`` leaves out files whose path contains the text.
     """
@@ -57,27 +79,16 @@ def read_logs(spark: SparkSession, path: str, pattern: str = "*.csv", recursive:
 
 def read_mixed_logs(spark: SparkSession, path: str, columns: Sequence[str] = tuple(RAW_COLUMNS),
                     pattern: str = "*.csv") -> DataFrame:
-    """Files of differing layout, matched by column name; absent columns are null.
-
-    Every file's header line becomes one row that its data rows are joined with. The join is
-    as small as the number of files. Values must not contain quoted commas.
-    """
-    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
-             .select("value", F.col("_metadata.file_path").alias("file_path")))
-    is_header = F.col("value").rlike("^\\s*time_s\\s*,")
-    headers = (lines.filter(is_header).groupBy("file_path").agg(F.min("value").alias("_header"))
-               .select("file_path", F.transform(F.split("_header", ","), F.trim).alias("_names")))
-    rows = lines.filter(~is_header & (F.length(F.trim("value")) > 0)).join(headers, "file_path")
-    cells = F.split("value", ",", -1)
-    padded = F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.size("_names"))), F.lit(1), F.size("_names"))
-    named = rows.select(flight_of(F.col("file_path")).alias("flight_id"),
-                        F.map_from_arrays("_names", padded).alias("_row"))
-    text = named.select("flight_id", *[F.nullif(F.trim(F.try_element_at("_row", F.lit(c))), F.lit("")).alias(c)
-                                       for c in columns])
-    return coerce_numbers(text)
+    """Exactly ``columns`` of files of differing layout; absent ones are null."""
+    rows = read_logs(spark, path, pattern)
+    numeric = set(RAW_COLUMNS) & set(NUMERIC_COLUMNS)
+    return rows.select("flight_id", "row_no", *[
+        F.col(c) if c in rows.columns else F.lit(None).cast("double" if c in numeric else "string").alias(c) for c in columns])
 
 
 def read_labels(spark: SparkSession, path: str, pattern: str = "*_labels.csv") -> DataFrame:
+    """Label files of flights. A file named SHARED_LABELS stands for the flights of its folder that have none
+    of their own: its rows carry no flight but ``folder``, see ``labels_with_fallback``."""
     rows = _text_csv(spark, path, pattern, True)
     extra = [F.trim("log_name").alias("log_name")] if "log_name" in rows.columns else []
     reason = [F.col("anomaly_reason")] if "anomaly_reason" in rows.columns else []
@@ -85,12 +96,40 @@ def read_labels(spark: SparkSession, path: str, pattern: str = "*_labels.csv") -
                        F.trim("label").try_cast("int").alias("label"), *reason, *extra)
 
 
+# Fixed value: the name of a label file without a flight in it.
+SHARED_LABELS = "row_labels_auto.csv"
+
+
+def labels_with_fallback(spark: SparkSession, logs_path: str, pattern: str = "*_cleaned.csv") -> DataFrame:
+    """Labels of every log in a tree: its own label file, else the shared one in its folder, else none.
+
+    Returns ``flight_id, time_s, label, label_file``; flights without either are left out.
+    """
+    folder = F.regexp_replace("file_path", "/[^/]*$", "")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .load(logs_path).select(F.col("path").alias("file_path")))
+    flights = (files.filter(F.substring_index("file_path", "/", -1).rlike(pattern.replace(".", "\\.").replace("*", ".*") + "$"))
+               .select(flight_of(F.col("file_path")).alias("flight_id"), folder.alias("folder")).distinct())
+    name = F.substring_index("file_path", "/", -1)
+    own = (files.filter(name.endswith("_labels.csv")).select(flight_of(F.col("file_path")).alias("flight_id"),
+                                                            folder.alias("folder"), F.lit(True).alias("_own")).distinct())
+    rows = (_text_csv(spark, logs_path, "*label*.csv", True)
+            .select("file_path", folder.alias("folder"), name.alias("label_file"), number(F.col("time_s")).alias("time_s"),
+                    F.trim("label").try_cast("int").alias("label")))
+    mine = (rows.filter(F.col("label_file").endswith("_labels.csv"))
+            .select(flight_of(F.col("file_path")).alias("flight_id"), "time_s", "label", "label_file"))
+    needy = flights.join(own, ["flight_id", "folder"], "left").filter("_own IS NULL").select("flight_id", "folder")
+    shared = rows.filter(F.col("label_file") == SHARED_LABELS).join(needy, "folder")
+    return mine.unionByName(shared.select("flight_id", "time_s", "label", "label_file"))
+
+
 def read_segments(spark: SparkSession, path: str, pattern: str = "*_auto_segments.json",
                   lines: bool = False) -> DataFrame:
     """Arrays of segments, or one per line; the label stays text because it may be a word."""
     return (spark.read.schema(SEGMENT_SCHEMA).option("multiLine", not lines).option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", True).json(path)
-            .select(flight_of(F.col("_metadata.file_path")).alias("flight_id"), "start_s", "end_s", "label", "reason"))
+            .select(flight_of(F.col("_metadata.file_path")).alias("flight_id"), "start_s", "end_s", "label", "reason",
+                    (F.lower(F.trim(F.col("label").cast("string"))) == "ignore").alias("ignored")))
 
 
 def read_cleaning_reports(spark: SparkSession, path: str, pattern: str = "*_cleaning_report.json",
@@ -141,12 +180,19 @@ def read_scores(spark: SparkSession, path: str, latest_only: bool = False, patte
     ``latest_only`` keeps the file with the greatest name.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in SCORE_LOG_COLUMNS])
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return _typed_scores(spark.createDataFrame([], T.StructType([*schema, T.StructField("file_name", T.StringType())])), numbers)
     rows = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
             .option("pathGlobFilter", pattern).csv(path)
             .select("*", F.col("_metadata.file_name").alias("file_name")))
     if latest_only:
         newest = rows.agg(F.max("file_name").alias("file_name"))
         rows = rows.join(F.broadcast(newest), "file_name", "left_semi")
+    return _typed_scores(rows, numbers)
+
+
+def _typed_scores(rows: DataFrame, numbers: Sequence[str]) -> DataFrame:
     text = ("timestamp", "terrain", "model_type", "file_name")
     return rows.select(*[
         F.try_to_timestamp(F.col(c)).alias(c) if c == "timestamp" else
