@@ -420,15 +420,21 @@ def _search(rows: DataFrame, keys: int) -> DataFrame:
             component, sid, mine = components_[b:e], sids[b:e], mines[b:e]
             if (component == component[0]).all():
                 continue
-            points, sizes = points_of(blobs[b:e]), sizes_[b:e].astype(np.int64)
-            tree = CountTree(points, sizes)
-            for i in range(e - b):
-                j = tree.search(points[i], int(sizes[i]))
-                j = j[(sid[j] > sid[i]) & (component[j] != component[i])]
-                if across:
-                    j = j[mine[j] != mine[i]]
-                us += [sid[i]] * len(j)
-                vs += sid[j].tolist()
+            sizes = sizes_[b:e].astype(np.int64)
+            width = np.asarray([len(x) for x in blobs[b:e]])
+            # Sets that can reach the threshold have as many groups or half as many: a tree for each number of groups.
+            for w in np.unique(width).tolist():
+                inside = np.flatnonzero((width == w) | (width == 2 * w))
+                points = points_of([blobs[b + i] for i in inside])
+                tree = CountTree(points, sizes[inside])
+                for k in np.flatnonzero(width[inside] == w).tolist():
+                    i = inside[k]
+                    j = inside[tree.search(points[k], int(sizes[i]))]
+                    j = j[((width[j] > w) | (sid[j] > sid[i])) & (component[j] != component[i])]
+                    if across:
+                        j = j[mine[j] != mine[i]]
+                    us += np.minimum(sid[i], sid[j]).tolist()
+                    vs += np.maximum(sid[i], sid[j]).tolist()
         return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)}).drop_duplicates()
 
     return (dealt.select("key", "x", "y", "block", "sid", "component", "n", "counts", "mine").groupBy("key", "x", "y")
