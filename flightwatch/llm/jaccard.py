@@ -38,8 +38,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: They only decide the order of shingles: any order gives the same result.
 FREQUENT, FREQUENT_KNOWN = 8, 100_000
 RUN = 2_000_000
-#: Mean count of a group; largest number of groups.
-PER_GROUP, GROUPS = 4, 1 << 16
+#: Groups for each shingle of a set, at least; logarithms of the least and largest number of groups.
+GROUPS_EACH, LEAST_LOG, MOST_LOG = 2, 3, 17
+#: Groups of a point that one group of a box stands for; cells of a tree's points.
+COARSER, CELLS = 8, 1 << 25
 BUCKET_ROWS = 400_000
 TILE, LEAF = 1024, 32
 #: Numbers of sets (16 bytes each) up to which they are broadcast to find their texts; beyond, texts move to them.
@@ -111,22 +113,24 @@ def set_id(s: np.ndarray) -> int:
     return int((x[:1] * np.uint64(3) + x[1:]).astype(np.int64)[0])
 
 
-def levels(n: int) -> int:
-    """Logarithm of the number of groups for a set of ``n``."""
-    return max(2, min(GROUPS.bit_length() - 1, (max(1, n // PER_GROUP)).bit_length()))
+_FOUR = np.stack([(np.arange(256) >> k) & 3 for k in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
 
 def counts_of(s: np.ndarray) -> bytes:
-    """Counts of the groups, one byte each, never more than 255."""
-    k = levels(len(s))
-    return np.minimum(np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+    """Counts of the groups, two bits each, never more than 3: what is cut off is the size less their sum."""
+    k = max(LEAST_LOG, min(MOST_LOG, (GROUPS_EACH * len(s) - 1).bit_length()))
+    counts = np.minimum(np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 3).astype(np.uint8)
+    return (counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
 
 
-def points_of(blobs: list[bytes]) -> np.ndarray:
-    """Counts as rows of one matrix, the finer ones added up to the coarsest."""
-    rows = [np.frombuffer(b, np.uint8) for b in blobs]
-    width = min(map(len, rows))
-    return np.stack([r.reshape(width, -1).sum(axis=1, dtype=np.int32) for r in rows]).astype(np.int32)
+def points_of(blobs: list[bytes], width: int | None = None) -> np.ndarray:
+    """Counts as rows of one matrix, the finer ones added up to ``width``, or else to the coarsest."""
+    width = width or 4 * min(map(len, blobs))
+    out = np.empty((len(blobs), width), np.uint8)
+    for i, b in enumerate(blobs):
+        row = _FOUR[np.frombuffer(b, np.uint8)].ravel()
+        out[i] = row if len(row) == width else np.minimum(row.reshape(width, -1).sum(axis=1), 255)
+    return out
 
 
 def needed(a, b):
@@ -135,58 +139,61 @@ def needed(a, b):
 
 
 class CountTree:
-    """An R-tree over points: leaves of up to LEAF points in order of size and of their heaviest half, boxes above."""
+    """An R-tree over points: leaves of up to LEAF points in order of size and of their heaviest half, boxes above.
+
+    Boxes hold the largest counts of coarser groups; single points are compared in full.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
-        # What is cut off at 255 may all be shared.
-        self.over = sizes - points.sum(axis=1)
-        half = points[:, :points.shape[1] // 2].sum(axis=1)
+        # What the counts leave out may all be shared.
+        self.over = sizes - points.sum(axis=1, dtype=np.int64)
+        self.coarse = self.coarser(points)
+        half = points[:, :points.shape[1] // 2].sum(axis=1, dtype=np.int64)
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (4 * LEAF)
-        self.order = np.lexsort((half, slab))
-        self.levels = []
-        members = [self.order[i:i + LEAF] for i in range(0, len(sizes), LEAF)]
-        top = np.stack([points[m].max(axis=0) for m in members])
-        low = np.asarray([sizes[m].min() for m in members])
-        high = np.asarray([sizes[m].max() for m in members])
-        over = np.asarray([self.over[m].max() for m in members])
-        self.leaves = members
-        self.levels.append((top, low, high, over))
-        while len(top) > 8:
-            runs = range(0, len(top), 8)
-            top, low, high, over = (np.stack([top[i:i + 8].max(axis=0) for i in runs]), np.asarray([low[i:i + 8].min() for i in runs]),
-                                    np.asarray([high[i:i + 8].max() for i in runs]), np.asarray([over[i:i + 8].max() for i in runs]))
-            self.levels.append((top, low, high, over))
+        order = np.lexsort((half, slab))
+        self.leaves = [order[i:i + LEAF] for i in range(0, len(sizes), LEAF)]
+        level = (np.stack([self.coarse[m].max(axis=0) for m in self.leaves]), np.asarray([sizes[m].min() for m in self.leaves]),
+                 np.asarray([sizes[m].max() for m in self.leaves]), np.asarray([self.over[m].max() for m in self.leaves]))
+        self.levels = [level]
+        while len(level[0]) > 8:
+            runs, (top, low, high, over) = range(0, len(level[0]), 8), level
+            level = (np.stack([top[i:i + 8].max(axis=0) for i in runs]), np.asarray([low[i:i + 8].min() for i in runs]),
+                     np.asarray([high[i:i + 8].max() for i in runs]), np.asarray([over[i:i + 8].max() for i in runs]))
+            self.levels.append(level)
 
     @staticmethod
-    def _may(point, size, top, low, high, over) -> np.ndarray:
-        fits = (DENOMINATOR * high >= NUMERATOR * size) & (NUMERATOR * low <= DENOMINATOR * size)
-        least = np.maximum(low, -(-NUMERATOR * size // DENOMINATOR))
-        out = np.flatnonzero(fits)
+    def coarser(points: np.ndarray) -> np.ndarray:
+        return points.reshape(*points.shape[:-1], -1, COARSER).sum(axis=-1, dtype=np.int16)
+
+    @staticmethod
+    def _may(point, size, spare, top, low, high, over) -> np.ndarray:
+        out = np.flatnonzero((DENOMINATOR * high >= NUMERATOR * size) & (NUMERATOR * low <= DENOMINATOR * size))
         if len(out):
-            bound = np.minimum(top[out], point).sum(axis=1) + over[out]
-            out = out[bound >= needed(size, least[out])]
+            least = np.maximum(low[out], -(-NUMERATOR * size // DENOMINATOR))
+            bound = np.minimum(top[out], point).sum(axis=1, dtype=np.int64) + over[out] + spare
+            out = out[bound >= needed(size, least)]
         return out
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the points whose sets may reach the threshold with a set of this point and size."""
-        spare = size - int(point.sum())
-        k = len(self.levels) - 1
-        boxes = np.arange(len(self.levels[k][0]))
-        while True:
-            part = [x[boxes] for x in self.levels[k]]
-            part[3] = part[3] + spare
-            boxes = boxes[self._may(point, size, *part)]
-            if not len(boxes) or k == 0:
+    def search(self, k: int) -> np.ndarray:
+        """Numbers of the points whose sets may reach the threshold with the set of point ``k``."""
+        point, size, spare = self.coarse[k], int(self.sizes[k]), int(self.over[k])
+        at = len(self.levels) - 1
+        boxes = np.arange(len(self.levels[at][0]))
+        while len(boxes):
+            boxes = boxes[self._may(point, size, spare, *[x[boxes] for x in self.levels[at]])]
+            if at == 0:
                 break
+            at -= 1
             boxes = (boxes[:, None] * 8 + np.arange(8)).ravel()
-            k -= 1
-            boxes = boxes[boxes < len(self.levels[k][0])]
+            boxes = boxes[boxes < len(self.levels[at][0])]
         if not len(boxes):
             return boxes
         inside = np.concatenate([self.leaves[b] for b in boxes])
+        # Coarse counts first: they leave out most at little cost.
+        inside = inside[self._may(point, size, spare, self.coarse[inside], self.sizes[inside], self.sizes[inside], self.over[inside])]
         n = self.sizes[inside]
-        return inside[self._may(point, size, self.points[inside], n, n, self.over[inside] + spare)]
+        return inside[self._may(self.points[k], size, spare, self.points[inside], n, n, self.over[inside])]
 
 
 def _described(docs: DataFrame) -> DataFrame:
@@ -324,7 +331,8 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             kept = []
             for i in range(len(us)):
                 p = points_of([a[i], b[i]])
-                most = int(np.minimum(p[0], p[1]).sum()) + min(na[i] - int(p[0].sum()), nb[i] - int(p[1].sum()))
+                most = int(np.minimum(p[0], p[1]).sum(dtype=np.int64)) + min(
+                    na[i] - int(p[0].sum(dtype=np.int64)), nb[i] - int(p[1].sum(dtype=np.int64)))
                 if most >= needed(na[i], nb[i]):
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (us, vs)], schema=schema)
@@ -401,7 +409,8 @@ def _leaf_pairs(rows: DataFrame, keys: int) -> DataFrame:
 
 def _search(rows: DataFrame, keys: int) -> DataFrame:
     """Pairs ``u, v`` that the trees let through: ``rows`` of block, sid, component, n, counts, size (rows of the
-    block). Blocks of a tile at most share ``keys`` groups."""
+    block) and blocks (all blocks of the set in ``rows``, packed). Blocks of a tile at most share ``keys`` groups.
+    A pair that has several blocks in common is given by the first of them alone."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")
     dealt = (rows.withColumn("tiles", tiles).withColumn("mine", mine)
@@ -415,9 +424,10 @@ def _search(rows: DataFrame, keys: int) -> DataFrame:
         by = np.argsort(group.block.to_numpy(), kind="stable")
         block, sids, components_, sizes_, mines = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "n", "mine"))
         blobs = [group["counts"].iloc[i] for i in by]
+        lists = [frozenset(x) for x in group["blocks"].iloc[by]]
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
         for b, e in zip(cuts, cuts[1:]):
-            component, sid, mine = components_[b:e], sids[b:e], mines[b:e]
+            component, sid, mine, here = components_[b:e], sids[b:e], mines[b:e], int(block[b])
             if (component == component[0]).all():
                 continue
             sizes = sizes_[b:e].astype(np.int64)
@@ -425,20 +435,24 @@ def _search(rows: DataFrame, keys: int) -> DataFrame:
             # Sets that can reach the threshold have as many groups or half as many: a tree for each number of groups.
             for w in np.unique(width).tolist():
                 inside = np.flatnonzero((width == w) | (width == 2 * w))
-                points = points_of([blobs[b + i] for i in inside])
-                tree = CountTree(points, sizes[inside])
+                cells = 4 * w
+                while cells > 64 and len(inside) * cells > CELLS:
+                    cells //= 2
+                tree = CountTree(points_of([blobs[b + i] for i in inside], cells), sizes[inside])
                 for k in np.flatnonzero(width[inside] == w).tolist():
                     i = inside[k]
-                    j = inside[tree.search(points[k], int(sizes[i]))]
+                    j = inside[tree.search(k)]
                     j = j[((width[j] > w) | (sid[j] > sid[i])) & (component[j] != component[i])]
                     if across:
                         j = j[mine[j] != mine[i]]
-                    us += np.minimum(sid[i], sid[j]).tolist()
-                    vs += np.maximum(sid[i], sid[j]).tolist()
-        return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)}).drop_duplicates()
+                    for m in j.tolist():
+                        if min(lists[b + i] & lists[b + m]) == here:
+                            us.append(min(sid[i], sid[m]))
+                            vs.append(max(sid[i], sid[m]))
+        return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)})
 
-    return (dealt.select("key", "x", "y", "block", "sid", "component", "n", "counts", "mine").groupBy("key", "x", "y")
-            .applyInPandas(search, "u long, v long").distinct())
+    return (dealt.select("key", "x", "y", "block", "blocks", "sid", "component", "n", "counts", "mine").groupBy("key", "x", "y")
+            .applyInPandas(search, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -477,7 +491,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = open_rows // (64 * TILE) + 1
     left = placed.join(open_blocks, "block").join(points.select("sid", "n"), "sid")
     small = _bounded(_leaf_pairs(left.filter(F.col("size") <= LEAF), keys), points)
-    large = _search(left.filter(F.col("size") > LEAF).join(points.select("sid", "counts"), "sid"), keys)
+    wide = left.filter(F.col("size") > LEAF)
+    # A set has at most as many blocks as its prefix has shingles.
+    every = wide.groupBy("sid").agg(F.collect_list("block").alias("blocks"))
+    large = _search(wide.join(every, "sid").join(points.select("sid", "counts"), "sid"), keys)
     second = _verified(settled(small.unionByName(large).distinct()), linked, points)
     links = settled(first.unionByName(second).distinct())
     group = settled(components(links))
