@@ -91,12 +91,14 @@ def window_summaries(windows: DataFrame, length: int = WINDOW_LENGTH, features:
 
 def fit_neural(train: DataFrame, val: DataFrame, seeds: Sequence[int] = (42,), iterations: int = 50,
                hidden: Sequence[int] = (32, 16)) -> PipelineModel:
-    """Feed-forward network on window summaries; the fit with the least validation loss wins."""
+    """Feed-forward network on window summaries; the fit with the least loss on ``val`` wins (the first one if
+    ``val`` has no rows)."""
     # Written once: the optimiser reads its input in every iteration.
     prepare = lambda w: settled(window_summaries(w).select("label", "summary")).withColumn(
         "_input", array_to_vector("summary"))
     fitted, data = [], prepare(train)
-    check = prepare(val) if len(seeds) > 1 else None
+    check = prepare(val)
+    measured = bool(check.take(1))
     loss = MulticlassClassificationEvaluator(metricName="logLoss", labelCol="label")
     for seed in seeds:
         scaler = StandardScaler(inputCol="_input", outputCol="_scaled", withMean=True, withStd=True)
@@ -104,7 +106,7 @@ def fit_neural(train: DataFrame, val: DataFrame, seeds: Sequence[int] = (42,), i
             featuresCol="_scaled", labelCol="label", seed=seed, maxIter=iterations,
             layers=[2 * len(FEATURES), *hidden, 2])
         model = Pipeline(stages=[scaler, network]).fit(data)
-        fitted.append((loss.evaluate(model.transform(check)) if len(seeds) > 1 else 0.0, seed, model))
+        fitted.append((loss.evaluate(model.transform(check)) if measured else 0.0, len(fitted), model))
     return min(fitted, key=lambda f: f[:2])[2]
 
 
@@ -141,7 +143,8 @@ def train_by_terrain(windows: DataFrame, trees: int = 100, depth: int = 15, neur
                      seed: int = 42) -> tuple[dict[str, PipelineModel], DataFrame]:
     """A forest per terrain (and a network from 30 windows on) and the training summary.
 
-    ``windows`` has terrain, label, vector. Three fits, each distributed over its rows.
+    ``windows`` has terrain, label, vector. The models are named by terrain, networks with NEURAL behind it.
+    At most six fits, each distributed over its rows.
     """
     spark = windows.sparkSession
     ready = settled(chronological_split(windows, within=["terrain"]))
@@ -158,7 +161,7 @@ def train_by_terrain(windows: DataFrame, trees: int = 100, depth: int = 15, neur
         forest_f1 = class_one(confusion(predicted(models[terrain], val)))["f1"]
         network_f1 = None
         if neural and n >= MIN_NEURAL_WINDOWS:
-            network = fit_neural(train, val)
+            network = models[terrain + NEURAL] = fit_neural(train, val)
             network_f1 = class_one(confusion(predicted(network, val, neural=True)))["f1"]
         summary.append((terrain, n, forest_f1, network_f1, "trained" if network_f1 is not None else "rf_only"))
     table = spark.createDataFrame(
@@ -213,30 +216,60 @@ def scoring_windows(df: DataFrame, features: Sequence[str] = FEATURES, extra: Se
         F.median("alt_m").alias("alt_med"), at_end("armed"), at_end("rel_alt_m"), at_end("vel_m_s"), *extra))
 
 
+NEURAL = ":nn"
+
+
+def model_registry(spark, models: dict[str, PipelineModel]) -> DataFrame:
+    """The fitted models as rows for routing: terrain, model_type (rf or nn), available."""
+    rows = [(name.removesuffix(NEURAL), "nn" if name.endswith(NEURAL) else "rf", True) for name in models]
+    return spark.createDataFrame(rows, "terrain string, model_type string, available boolean")
+
+
+def by_routed_model(rows: DataFrame, models: dict[str, PipelineModel], default: str, at_home: Column,
+                    area: PipelineModel | None, preferred: str = "rf") -> DataFrame:
+    """Predictions of the model that each row's ``active`` terrain is routed to, or of the area model at home.
+
+    A row that no model fits keeps a null probability and a null ``model``; without any model this fails at once.
+    """
+    if not models and area is None:
+        raise ValueError("no fitted model to score with")
+    routes = route(model_registry(rows.sparkSession, models), default, preferred)
+    routed = rows.join(F.broadcast(routes), "active", "left")
+    name = F.concat("model_terrain", F.when(F.col("model_type") == "nn", NEURAL).otherwise(""))
+    routed = routed.withColumn("model", F.when(at_home, F.lit("area")).otherwise(name) if area else name)
+    parts = routed.filter("model IS NULL").withColumns({"anom_proba": F.lit(None).cast("double"),
+                                                        "prediction": F.lit(None).cast("double")})
+    for name, model in [*models.items(), *([("area", area)] if area else [])]:
+        part = predicted(model, routed.filter(F.col("model") == name), name.endswith(NEURAL))
+        parts = parts.unionByName(part.select(parts.columns))
+    return parts
+
+
 def score_flights(df: DataFrame, models: dict[str, PipelineModel], elevations: DataFrame,
                   default: str = "flat", threshold: float = 0.5,
                   area: tuple[PipelineModel, tuple[float, float, float, float]] | None = None,
-                  smoothing: float = 0.3) -> DataFrame:
-    """Windows scored by the model of the debounced terrain, gated and smoothed per flight."""
+                  smoothing: float = 0.3, preferred: str = "rf", use_home: bool = False) -> DataFrame:
+    """Windows scored by the model of the debounced terrain, gated and smoothed per flight.
+
+    ``area`` is a model and its box; a window belongs to it by its median position, or, with ``use_home``, by
+    the place where its flight begins. Windows that no model fits stay, with a null probability.
+    """
     windows = scoring_windows(df)
     spots = windows.withColumns({"lat_deg": F.col("lat_med"), "lon_deg": F.col("lon_med"),
                                  "alt_m": F.col("alt_med"), "time_s": F.col("start_s")})
     placed = with_elevation(spots, elevations).withColumn("terrain", terrain_of(F.col("elevation")))
     axis = row_axis(placed, "win")
     active = settled(debounce(placed, "terrain", default=default, order="win", axis=axis))
-    registry = df.sparkSession.createDataFrame([(t, "rf", True) for t in models],
-                                               "terrain string, model_type string, available boolean")
-    routed = active.join(F.broadcast(route(registry, default)), "active", "left")
-    here = in_box(F.col("lat_med"), F.col("lon_med"), *area[1]) if area else F.lit(False)
-    routed = routed.withColumn("_use", F.when(here, F.lit("area")).otherwise(F.col("model_terrain")))
-    parts = None
-    for name, model in [*models.items(), *([("area", area[0])] if area else [])]:
-        part = predicted(model, routed.filter(F.col("_use") == name))
-        parts = part if parts is None else parts.unionByName(part)
+    if use_home and area:
+        w0 = active.filter("win = 0").select(*KEYS, F.col("lat_med").alias("_lat"), F.col("lon_med").alias("_lon"))
+        active = join_facts(active, w0)
+    place = ("_lat", "_lon") if use_home and area else ("lat_med", "lon_med")
+    here = F.coalesce(in_box(F.col(place[0]), F.col(place[1]), *area[1]), F.lit(False)) if area else F.lit(False)
+    parts = by_routed_model(active, models, default, here, area[0] if area else None, preferred)
     gated = parts.withColumn("raw_proba", ground_gate(F.col("last_armed"), F.col("last_rel_alt_m"),
                                                       F.col("last_vel_m_s"), F.col("anom_proba")))
     slim = gated.select(*KEYS, "win", F.col("model_terrain").alias("terrain"),
-                        F.col("_use").alias("model"), "model_type", "raw_proba", "switched", "label")
+                        "model", "model_type", "raw_proba", "switched", "label")
     smoothed = smooth(slim, "raw_proba", smoothing, out="anom_proba", order="win", axis=row_axis(slim, "win"))
     return smoothed.select(
         *KEYS, F.col("win").alias("window_idx"), (F.col("win") * WINDOW_STRIDE).alias("start_row"),
@@ -245,9 +278,9 @@ def score_flights(df: DataFrame, models: dict[str, PipelineModel], elevations: D
         (F.col("switched") == 1).alias("switched_terrain"), "label")
 
 
-def registry_info(registry: DataFrame, default: str = "flat") -> DataFrame:
+def registry_info(registry: DataFrame, default: str = "flat", preferred: str = "rf") -> DataFrame:
     """Per active terrain: the model used, its scores, and whether it is a stand-in."""
-    chosen = route(registry, default)
-    facts = registry.select(F.col("terrain").alias("model_terrain"), "rf_val_f1", "cnn_val_f1",
+    chosen = route(registry, default, preferred)
+    facts = registry.select(F.col("terrain").alias("model_terrain"), "model_type", "rf_val_f1", "cnn_val_f1",
                             F.col("n_train").alias("n_training_windows"))
-    return chosen.join(facts, "model_terrain", "left")
+    return chosen.join(facts, ["model_terrain", "model_type"], "left")

@@ -95,9 +95,10 @@ def debounce(df: DataFrame, column: str = "terrain", count: int = DEBOUNCE,
             .drop("_sure", "_now", "_was"))
 
 
-def route(registry: DataFrame, default: str = "flat") -> DataFrame:
+def route(registry: DataFrame, default: str = "flat", preferred: str = "rf") -> DataFrame:
     """Model of every terrain: its own, else the default's, else flat/mountain/sea, else global.
 
+    Of a terrain with models of several types, the ``preferred`` type is taken, else the first by name.
     ``registry`` has rows (terrain, model_type, available); the result has one row per
     terrain and is bounded by that, whatever the data size.
     """
@@ -110,7 +111,8 @@ def route(registry: DataFrame, default: str = "flat") -> DataFrame:
     ranked = spark.createDataFrame(candidates, "active string, terrain string, rank int")
     usable = registry.filter("available").select("terrain", "model_type")
     best = (ranked.join(usable, "terrain").groupBy("active")
-            .agg(F.min_by(F.struct(F.col("terrain").alias("model_terrain"), "model_type"), "rank").alias("_m"))
+            .agg(F.min_by(F.struct(F.col("terrain").alias("model_terrain"), "model_type"),
+                          F.struct("rank", F.col("model_type") != preferred, "model_type")).alias("_m"))
             .select("active", "_m.*"))
     return wanted.join(best, "active", "left").withColumn(
         "is_fallback", (F.col("model_terrain") != F.col("active")).cast("int"))

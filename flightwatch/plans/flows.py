@@ -44,27 +44,48 @@ def dataset(rows: DataFrame, out: str, train: float = 0.7, val: float = 0.15) ->
 
 
 def train_terrain_models(rows: DataFrame, elevations: DataFrame, out: str, trees: int = 100, depth: int = 15,
-                         neural: bool = True) -> DataFrame:
-    """A model per terrain (the flight's majority decides) and the registry; returns the latter."""
+                         neural: bool = True, area: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A model per terrain (the flight's majority decides), one over all of them to fall back on, one for ``area``
+    if a box is given, and the registry; returns the latter."""
+    spark = rows.sparkSession
     classed = settled(classify_terrain(rows, elevations))
-    windows = learning.window_dataset(classed, inclusive=True)
+    windows = learning.window_dataset(classed, inclusive=True, extra=(
+        F.median("lat_deg").alias("lat_med"), F.median("lon_deg").alias("lon_med")))
     windows = settled(join_facts(windows, majority(classed, "terrain"), how="inner"))
     fitted, summary = learning.train_by_terrain(windows, trees, depth, neural)
-    stored.save_models(fitted, f"{out}/models")
-    registry = summary.select("terrain", F.lit("rf").alias("model_type"), (F.col("status") != "skip").alias("available"),
-                              "rf_val_f1", "cnn_val_f1", F.col("n_windows").alias("n_train"), "status", "is_default")
+    n = windows.count()
+    if n:
+        fitted["global_fallback"] = learning.fit_forest(windows, trees, depth=depth)
+    facts = summary.select("terrain", "rf_val_f1", "cnn_val_f1", F.col("n_windows").alias("n_train"), "status", "is_default")
+    known = learning.model_registry(spark, fitted).unionByName(
+        facts.filter("status = 'skip'").select("terrain", F.lit("rf").alias("model_type"), F.lit(False).alias("available")))
+    registry = known.join(facts, "terrain", "left").withColumns({
+        "n_train": F.coalesce("n_train", F.lit(n)), "bbox": F.lit(None).cast(stored.BOX), "accuracy": F.lit(None).cast("double")})
+    if area:
+        inside = windows.filter(learning.in_box(F.col("lat_med"), F.col("lon_med"), *area))
+        if inside.take(1):
+            fitted["area"] = model = learning.train_area(windows, area, trees, depth)
+            accuracy = learning.class_one(learning.confusion(learning.predicted(model, inside)))["accuracy"]
+            registry = registry.unionByName(stored.area_entry(spark, "area", area, inside.count(), accuracy)
+                                            .withColumn("available", F.lit(True)), allowMissingColumns=True)
+    stored.save_models({k.replace(":", "-"): m for k, m in fitted.items()}, f"{out}/models")
     stored.save_registry(registry, f"{out}/models")
-    return stored.load_registry(rows.sparkSession, f"{out}/models")
+    return stored.load_registry(spark, f"{out}/models")
 
 
-def score(rows: DataFrame, elevations: DataFrame, out: str, threshold: float = 0.5) -> DataFrame:
-    """Scores of all windows by the stored models; writes and returns them."""
+def score(rows: DataFrame, elevations: DataFrame, out: str, threshold: float = 0.5, preferred: str = "rf",
+          use_home: bool = False) -> DataFrame:
+    """Scores of all windows by the stored models, the area model among them; writes and returns them."""
     spark = rows.sparkSession
-    registry = stored.load_registry(spark, f"{out}/models")
-    # One row per terrain.
-    known = registry.filter("available").select("terrain", "is_default").collect()
+    # One row per model.
+    known = stored.load_registry(spark, f"{out}/models").filter("available").collect()
     default = next((r["terrain"] for r in known if r["is_default"]), "flat")
-    fitted = stored.load_models(f"{out}/models", [r["terrain"] for r in known])
-    scored = learning.score_flights(rows, fitted, elevations, default=default, threshold=threshold)
+    names = [r["terrain"] + (learning.NEURAL if r["model_type"] == "nn" else "") for r in known]
+    loaded = stored.load_models(f"{out}/models", [n.replace(":", "-") for n in names])
+    fitted = {n: loaded[n.replace(":", "-")] for n in names}
+    box = next((tuple(r["bbox"]) for r in known if r["bbox"]), None)
+    area = (fitted.pop("area"), box) if box else None
+    scored = learning.score_flights(rows, fitted, elevations, default=default, threshold=threshold, area=area,
+                                    preferred=preferred, use_home=use_home)
     scored.write.mode("overwrite").partitionBy("flight_id").parquet(f"{out}/scores")
     return spark.read.parquet(f"{out}/scores")

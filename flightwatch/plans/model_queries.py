@@ -1,17 +1,25 @@
-"""Training and scoring queries; forests are compared by row counts and schema only."""
+"""Training and scoring queries.
+
+Predictions of forests and networks have no SQL form; what is compared is which windows are predicted, with
+which label, and that every one has a probability.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flightwatch.operators import learning as L
 from flightwatch.operators import metrics as E
 from flightwatch.operators.terrain import cell, majority, terrain_of
-from flightwatch.operators.timeline import settled
+from flightwatch.operators.timeline import settled, shared_folder
 from flightwatch.plans.catalog import labelled, query, r6, sql
+from flightwatch.sources import models
 
-TREES = 10
-DEPTH = 5
+# The defaults of the operators.
+TREES = 100
+DEPTH = 15
 
 
 def _windows(spark, sf):
@@ -22,31 +30,49 @@ def _windows(spark, sf):
     return settled(windows.join(terrain, "flight_id"))
 
 
-@query("m02_m03_forest_split_report")
+_TRUE = """
+true_windows AS (
+  SELECT *, row_number() OVER (ORDER BY flight_id, win) - 1 AS ordinal, count(*) OVER () AS n,
+         CASE flight_id % 3 WHEN 0 THEN 'flat' WHEN 1 THEN 'mountain' ELSE 'sea' END AS terrain
+  FROM (SELECT flight_id, win, CAST(CASE WHEN avg(truth) > 0.5e0 THEN 1 ELSE 0 END AS INTEGER) AS label FROM members GROUP BY flight_id, win))
+"""
+_VALID = "coalesce(anom_proba BETWEEN 0 AND 1, false) AS valid"
+
+
+def _true(body: str) -> str:
+    return sql("members", body, extra=_TRUE)
+
+
+@query("m02_m03_forest_split_report", _true("""
+ SELECT label AS class, count(*) AS support FROM true_windows WHERE ordinal >= floor(0.7e0 * n) GROUP BY label"""))
 def m03(spark, sf):
     split = settled(L.chronological_split(_windows(spark, sf)))
     model = L.fit_forest(split.filter("split = 'train'"), TREES, depth=DEPTH)
-    return E.class_report(E.confusion(L.predicted(model, split.filter("split <> 'train'"))))
+    report = E.class_report(E.confusion(L.predicted(model, split.filter("split <> 'train'"))))
+    return report.filter("support > 0 AND f1 BETWEEN 0 AND 1").select("class", "support")
 
 
-@query("m04_network_predictions")
+@query("m04_network_predictions", _true("""
+ SELECT flight_id, win, label, true AS valid FROM true_windows WHERE ordinal >= floor(0.7e0 * n) + floor(0.15e0 * n)"""))
 def m04(spark, sf):
     split = settled(L.chronological_split(_windows(spark, sf)))
-    model = L.fit_neural(split.filter("split = 'train'"), split.filter("split = 'val'"), iterations=20)
-    return L.predicted(model, split.filter("split = 'test'"), neural=True).select("flight_id", "win", "label", "anom_proba")
+    model = L.fit_neural(split.filter("split = 'train'"), split.filter("split = 'val'"))
+    return L.predicted(model, split.filter("split = 'test'"), neural=True).selectExpr("flight_id", "win", "label", _VALID)
 
 
-@query("m05_a15_training_summary")
+@query("m05_a15_training_summary", _true("""
+ SELECT t.terrain, count(w.win) AS n_windows, CASE WHEN count(w.win) < 10 THEN 'skip' WHEN count(w.win) < 30 THEN 'rf_only' ELSE 'trained' END AS status
+ FROM (SELECT unnest(['flat', 'mountain', 'sea']) AS terrain) t LEFT JOIN true_windows w USING (terrain) GROUP BY t.terrain"""))
 def m05(spark, sf):
-    return L.train_by_terrain(_windows(spark, sf), TREES, DEPTH, neural=False)[1]
+    return L.train_by_terrain(_windows(spark, sf), TREES, DEPTH)[1].select("terrain", "n_windows", "status")
 
 
-@query("m06_area_model")
+@query("m06_area_model", _true(" SELECT flight_id, win, label, true AS valid FROM true_windows"))
 def m06(spark, sf):
     windows = _windows(spark, sf)
     box = (47.0, 48.0, 8.0, 9.0)
     model = L.train_area(windows, box, TREES, DEPTH)
-    return L.predicted(model, windows).select("flight_id", "win", "label", "anom_proba")
+    return L.predicted(model, windows).selectExpr("flight_id", "win", "label", _VALID)
 
 
 @query("m07_terrain_identifier")
@@ -55,28 +81,34 @@ def m07(spark, sf):
     return E.class_report(E.confusion(predictions))
 
 
-@query("m08_leave_one_flight_out")
+@query("m08_leave_one_flight_out", _true("""
+ SELECT flight_id, win, label, true AS valid FROM true_windows JOIN (
+   SELECT flight_id FROM (SELECT flight_id, row_number() OVER (PARTITION BY flight_id % 3 ORDER BY flight_id) AS nth
+     FROM (SELECT DISTINCT flight_id FROM true_windows)) WHERE nth <= 5) USING (flight_id)"""))
 def m08(spark, sf):
-    pooled = L.leave_one_flight_out(_windows(spark, sf), per_terrain=2, trees=5, depth=DEPTH)
-    return pooled.select("flight_id", "win", "label", "prediction", "anom_proba")
+    pooled = L.leave_one_flight_out(_windows(spark, sf), trees=TREES, depth=DEPTH)
+    return pooled.selectExpr("flight_id", "win", "label", _VALID)
 
 
-@query("m09_scored_flights")
+@query("m09_scored_flights", _true("""
+ SELECT flight_id, win AS window_idx, win * 15 AS start_row, win * 15 + 29 AS end_row, label, true AS valid FROM true_windows"""))
 def m09(spark, sf):
     rows = labelled(spark, sf).withColumn("label", F.col("truth"))
     windows = _windows(spark, sf)
-    models = {t: L.fit_forest(windows.filter(F.col("terrain") == t), TREES, depth=DEPTH)
+    forests = {t: L.fit_forest(windows.filter(F.col("terrain") == t), TREES, depth=DEPTH)
               for t in sorted(r["terrain"] for r in windows.select("terrain").distinct().collect())}
-    elevations = (rows.filter("seq % 10 = 0").groupBy(cell(F.col("lat_deg")).alias("lat_key"), cell(F.col("lon_deg")).alias("lon_key"))
+    elevations = (rows.groupBy(cell(F.col("lat_deg")).alias("lat_key"), cell(F.col("lon_deg")).alias("lon_key"))
                   .agg(F.max("alt_m").alias("elevation")))
-    return L.score_flights(rows, models, elevations, default=sorted(models)[0])
+    return L.score_flights(rows, forests, elevations, default=sorted(forests)[0]).selectExpr(
+        "flight_id", "window_idx", "start_row", "end_row", "label", _VALID)
 
 
-@query("m10_probability_trace")
+@query("m10_probability_trace", _true("""
+ SELECT flight_id, win, label, true AS valid FROM true_windows WHERE flight_id = (SELECT min(flight_id) FROM true_windows WHERE label = 1)"""))
 def m10(spark, sf):
     windows = _windows(spark, sf)
     flight = windows.filter("label = 1").agg(F.min("flight_id").alias("f")).first()["f"]
-    return L.probability_trace(windows, flight, TREES, DEPTH)
+    return L.probability_trace(windows, flight, TREES, DEPTH).selectExpr("flight_id", "win", "label", _VALID)
 
 
 @query("m11_class_weights", sql("windows", """
@@ -108,3 +140,21 @@ def m04_summary(spark, sf):
     return L.window_summaries(_windows(spark, sf)).select(
         "flight_id", "win", F.round(F.element_at("summary", at + 1), 6).alias("mean_vel"),
         F.round(F.element_at("summary", at + 1 + len(L.FEATURES)), 4).alias("std_vel"))
+
+
+@query("s15_s16_stored_models", _true("""
+ SELECT flight_id, win, label, true AS valid, lat_med BETWEEN 47.0e0 AND 48.0e0 AND lon_med BETWEEN 8.0e0 AND 9.0e0 AS at_home
+ FROM true_windows JOIN (SELECT flight_id, win, median(lat_deg) AS lat_med, median(lon_deg) AS lon_med FROM members GROUP BY flight_id, win)
+ USING (flight_id, win)"""))
+def s15(spark, sf):
+    """An area model and its registry entry are stored, read again, and used where the entry's box says."""
+    windows = _windows(spark, sf)
+    box = (47.0, 48.0, 8.0, 9.0)
+    folder = f"{shared_folder(windows)}/models-{uuid.uuid4().hex}"
+    models.save_models({"area": L.train_area(windows, box, TREES, DEPTH)}, folder)
+    models.save_registry(models.area_entry(spark, "area", box, windows.count(), 0.0), folder)
+    entry = models.load_registry(spark, folder).first()
+    model = models.load_models(folder, [entry["terrain"]])["area"]
+    here = L.in_box(F.col("lat_med"), F.col("lon_med"), *entry["bbox"])
+    scored = L.by_routed_model(windows.withColumn("active", F.col("terrain")), {"flat": model}, "flat", here, model)
+    return scored.selectExpr("flight_id", "win", "label", _VALID, "model = 'area' AS at_home")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from flightwatch.operators import reports as R
 from flightwatch.operators import segments as S
 from flightwatch.operators import windows as W
-from flightwatch.operators.timeline import settled, shared_folder
+from flightwatch.operators.labels import require_columns
+from flightwatch.operators.quality import check_columns
+from flightwatch.operators.timeline import KEYS, settled, shared_folder
 from flightwatch.plans.catalog import ORACLES, cleaned, labelled, query, r6, raw, sql
+from flightwatch.schema import LABELLED_COLUMNS
 from flightwatch.sources import logs
 
 
@@ -96,3 +99,70 @@ def s11(spark, sf):
     path = _folder(windows, "dataset")
     logs.write_windows(W.chronological_split(windows), path)
     return spark.read.parquet(path).select("flight_id", "win", "label")
+
+
+@query("s01_u02_mixed_layouts", sql(None, """
+ SELECT CAST(flight_id AS VARCHAR) AS flight_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY seq) AS INTEGER) AS nth,
+   ROUND(time_s, 6) AS time_s, ROUND(lat_deg, 6) AS lat_deg, CASE WHEN flight_id % 2 = 0 THEN ROUND(vel_m_s, 6) END AS vel_m_s,
+   CASE WHEN flight_id % 2 = 1 THEN ROUND(eph_m, 6) END AS eph_m, trim(mode) AS mode FROM telemetry"""))
+def s01_mixed(spark, sf):
+    """Two layouts in one folder: other columns, in another order."""
+    t = raw(spark, sf)
+    path = _folder(t, "mixed")
+    for rest, names in ((0, ["time_s", "lat_deg", "vel_m_s", "mode"]), (1, ["time_s", "eph_m", "mode", "lat_deg"])):
+        (t.filter(F.col("flight_id") % 2 == rest).repartition("flight_id").sortWithinPartitions("flight_id", "seq")
+         .select("flight_id", *names).write.mode("append").partitionBy("flight_id").option("header", True).csv(path))
+    w = Window.partitionBy("flight_id").orderBy("row_no")
+    read = logs.read_mixed_logs(spark, path, ["time_s", "lat_deg", "vel_m_s", "eph_m", "mode"])
+    return read.select("flight_id", F.row_number().over(w).alias("nth"), r6("time_s"), r6("lat_deg"), r6("vel_m_s"), r6("eph_m"), "mode")
+
+
+@query("s06_elevation_cache", sql(None, """
+ SELECT CAST(round_even(round_even(lat_deg, 2) * 10000, 0) AS BIGINT) AS lat_key, CAST(round_even(round_even(lon_deg, 3) * 10000, 0) AS BIGINT) AS lon_key,
+   max(flight_id % 3 * 100.0e0) AS elevation FROM telemetry GROUP BY 1, 2"""))
+def s06(spark, sf):
+    t = raw(spark, sf)
+    path = _folder(t, "elevations")
+    cells = (t.groupBy(F.bround("lat_deg", 2).alias("lat"), F.bround("lon_deg", 3).alias("lon"))
+             .agg(F.max(F.col("flight_id") % 3 * 100.0).alias("elevation")))
+    # The cache is one JSON object by its format.
+    entry = F.struct(F.format_string("%.4f_%.4f", "lat", "lon"), "elevation")
+    cells.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(path)
+    return logs.read_elevations(spark, path)
+
+
+@query("s08_replay", sql(None, """
+ SELECT flight_id % 3 AS switched, ROUND(score, 6) AS anom_proba, ROUND(alt_m, 3) AS alt_m, ROUND(vel_m_s, 3) AS vel_m_s FROM telemetry"""))
+def s08(spark, sf):
+    t = raw(spark, sf)
+    ts = F.timestamp_millis(F.lit(1777593600000) + F.round(F.col("time_s") * 1000).cast("long"))
+    null = F.lit(0.0)
+    scores = t.withColumns({"timestamp": F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "unix_time": F.unix_millis(ts) / 1000.0,
+                            "anom_proba": F.col("score"), "rel_alt_m": F.coalesce("rel_alt_m", null),
+                            **{c: null for c in ("roll_deg", "pitch_deg", "yaw_deg", "rollspeed", "pitchspeed", "yawspeed")},
+                            "terrain": F.lit("flat"), "model_type": F.lit("rf"), "switched_terrain": F.col("flight_id") % 3})
+    path = _folder(t, "replay")
+    logs.log_format(scores).write.option("header", True).csv(path)
+    return logs.read_replay(spark, path).select(
+        F.col("switched_terrain").cast("long").alias("switched"), r6("anom_proba"), F.round("alt_m", 3).alias("alt_m"), F.round("vel_m_s", 3).alias("vel_m_s"))
+
+
+@query("q11_column_check", sql("labelled", " SELECT 'missing vibration_y' AS issue, count(*) AS n_rows FROM labelled"))
+def q11(spark, sf):
+    """The columns of a labelled table are compared with the expected names; of two absent ones, one is put back."""
+    rows = labelled(spark, sf)
+    absent = [c for c in LABELLED_COLUMNS if c not in rows.columns and c != "vibration_y"]
+    table = rows.withColumns({c: F.lit(0.0) for c in absent}).select(*KEYS, *[c for c in LABELLED_COLUMNS if c != "vibration_y"])
+    issues = check_columns(table)
+    return table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*[F.lit(i) for i in issues])).alias("issue"), "n_rows")
+
+
+@query("p11_required_columns", sql(None, " SELECT 'missing required columns: alt_m, vel_m_s' AS refusal, count(*) AS n_rows FROM telemetry"))
+def p11(spark, sf):
+    t = require_columns(raw(spark, sf))
+    try:
+        refusal = ""
+        require_columns(t.drop("vel_m_s", "alt_m"))
+    except ValueError as e:
+        refusal = str(e)
+    return t.agg(F.lit(refusal).alias("refusal"), F.count(F.lit(1)).alias("n_rows"))

@@ -188,10 +188,11 @@ def w22(spark, sf):
     return W.chronological_split(windows).select("flight_id", "win", "ordinal", "split")
 
 
-@query("w23_flight_isolated_split")
+@query("w23_flight_isolated_split", sql(None, """
+ SELECT DISTINCT flight_id, CAST(1 AS BIGINT) AS splits, true AS known FROM telemetry"""))
 def w23(spark, sf):
     return W.flight_split(telemetry(spark, sf)).groupBy("flight_id").agg(
-        F.min("split").alias("split"), F.countDistinct("split").alias("splits"))
+        F.countDistinct("split").alias("splits"), F.min("split").isin("train", "val", "test").alias("known"))
 
 
 _TERRAIN = "CASE WHEN alt_m > 800 THEN 'mountain' WHEN alt_m > 0 THEN 'flat' ELSE 'sea' END"
@@ -312,10 +313,9 @@ def w21(spark, sf):
 
 @query("w24_first_flights_per_terrain", sql(None, f"""
  SELECT terrain, flight_id FROM (SELECT terrain, flight_id, row_number() OVER (PARTITION BY terrain ORDER BY flight_id) AS nth
-   FROM (SELECT DISTINCT flight_id, {_TERRAIN} AS terrain FROM telemetry WHERE seq = 0)) WHERE nth <= 5"""))
+   FROM (SELECT DISTINCT flight_id, {_TERRAIN} AS terrain FROM telemetry)) WHERE nth <= 5"""))
 def w24(spark, sf):
-    flights = _terrain_rows(spark, sf).filter("seq = 0").select("terrain", "flight_id").distinct()
-    return W.first_flights(flights)
+    return W.first_flights(majority(_terrain_rows(spark, sf), "terrain"))
 
 
 @query("k01_k02_sorted_windows", sql("windows", " SELECT flight_id, win, ROUND(start_s, 6) AS start_s FROM windows"))

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BOX = "struct<lat_min: double, lat_max: double, lon_min: double, lon_max: double>"
+
+
 def save_models(models: dict[str, PipelineModel], path: str) -> None:
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")

@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightwatch.functions.geo import in_box
-from flightwatch.operators.learning import predicted
+from flightwatch.operators.learning import by_routed_model
 from flightwatch.operators.messages import FEATURE_DEFAULTS, HELD, POSITION, known_messages, scaled_messages
 from flightwatch.operators.scoring import alert, ground_gate
-from flightwatch.operators.terrain import cell, route, terrain_of
+from flightwatch.operators.terrain import cell, terrain_of
 from flightwatch.schema import (
     ALERT_THRESHOLD, DEBOUNCE, EARTH_RADIUS_M, FEATURES, MESSAGE_SCHEMA, SMOOTHING, WINDOW_LENGTH)
 from flightwatch.sources.logs import log_format
@@ -224,15 +224,8 @@ def live_windows(messages: DataFrame, elevations: DataFrame | None = None, count
 def score_batch(windows: DataFrame, models: dict[str, PipelineModel], default: str = "flat",
                 area: tuple[PipelineModel, tuple[float, float, float, float]] | None = None) -> DataFrame:
     """Gate, area model at home, else the active terrain's model; before smoothing."""
-    registry = windows.sparkSession.createDataFrame([(t, "rf", True) for t in models],
-                                                    "terrain string, model_type string, available boolean")
-    routed = windows.join(F.broadcast(route(registry, default)), "active", "left")
-    home = in_box(F.col("home_lat"), F.col("home_lon"), *area[1]) if area else F.lit(False)
-    routed = routed.withColumn("_use", F.when(home, "area").otherwise(F.col("model_terrain")))
-    parts = None
-    for name, model in [*models.items(), *([("area", area[0])] if area else [])]:
-        part = predicted(model, routed.filter(F.col("_use") == name))
-        parts = part if parts is None else parts.unionByName(part)
+    home = F.coalesce(in_box(F.col("home_lat"), F.col("home_lon"), *area[1]), F.lit(False)) if area else F.lit(False)
+    parts = by_routed_model(windows, models, default, home, area[0] if area else None)
     at = lambda f: F.element_at("features", FEATURES.index(f) + 1)
     return parts.withColumn("raw_proba", ground_gate(at("armed"), at("rel_alt_m"), at("vel_m_s"), F.col("anom_proba")))
 

@@ -20,9 +20,35 @@ def test_logs_to_scores(spark, tmp_path):
     assert flows.dataset(rows, out).groupBy("split").count().count() == 3
     elevations = t.groupBy(cell(F.col("lat_deg")).alias("lat_key"), cell(F.col("lon_deg")).alias("lon_key")).agg(
         F.max("alt_m").alias("elevation"))
-    registry = {r["terrain"]: r for r in flows.train_terrain_models(rows, elevations, out, trees=3, depth=4, neural=False).collect()}
+    box = (47.0, 48.0, 8.0, 9.0)
+    stored = flows.train_terrain_models(rows, elevations, out, trees=3, depth=4, neural=True, area=box).collect()
+    registry = {r["terrain"]: r for r in stored if r["model_type"] != "nn"}
+    assert registry["global_fallback"]["available"] and tuple(registry["area"]["bbox"]) == box
     assert registry["flat"]["available"] and registry["mountain"]["available"] and not registry["sea"]["available"]
     scores = flows.score(rows, elevations, out)
     assert scores.count() == 60
     assert scores.filter("anom_proba < 0 OR anom_proba > 1").count() == 0
     assert {r[0] for r in scores.select("terrain").distinct().collect()} == {"flat", "mountain"}
+    assert {r[0] for r in scores.select("model").distinct().collect()} >= {"area", "mountain"}
+    neural = [r["terrain"] for r in stored if r["model_type"] == "nn"]
+    if neural:
+        used = flows.score(rows, elevations, out, preferred="nn").select("terrain", "model_type", "model").distinct().collect()
+        assert all(r["model_type"] == "nn" for r in used if r["terrain"] in neural and r["model"] != "area")
+
+
+def test_windows_without_a_model_stay(spark):
+    from flightwatch.operators.learning import by_routed_model
+    import pytest
+    rows = spark.createDataFrame([("f", 1, "flat", [1.0]), ("g", 2, "sea", [1.0])], "flight_id string, win int, active string, vector array<double>")
+    with pytest.raises(ValueError):
+        by_routed_model(rows, {}, "flat", F.lit(False), None)
+    left = by_routed_model(rows, {}, "flat", F.lit(False), _Nothing()).collect()
+    assert sorted(r["flight_id"] for r in left) == ["f", "g"] and all(r["anom_proba"] is None for r in left)
+
+
+class _Nothing:
+    """Stands for an area model that no row is at home in."""
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5)))).withColumn("prediction", F.lit(0.0))

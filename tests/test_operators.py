@@ -51,7 +51,7 @@ def test_published_counts_of_the_fixture(spark):
 @pytest.mark.parametrize("n,train,val,test", [(419, 293, 62, 64), (297, 207, 44, 46), (795, 556, 119, 120), (11551, 8085, 1732, 1734)])
 def test_split_sizes(spark, n, train, val, test):
     windows = spark.range(n).select((F.col("id") % 7).alias("flight_id"), F.floor(F.col("id") / 7).alias("win"))
-    got = {r["split"]: r["n"] for r in W.chronological_split(windows, flights_per_bucket=2).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    got = {r["split"]: r["n"] for r in W.chronological_split(windows).groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert got == {"train": train, "val": val, "test": test}
 
 

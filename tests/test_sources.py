@@ -74,3 +74,32 @@ def test_models_survive_saving(spark, tmp_path):
     assert predicted(loaded, data).filter("prediction <> label").count() == 0
     models.save_registry(models.area_entry(spark, "area", (1.0, 2.0, 3.0, 4.0), 392, 0.99), str(tmp_path))
     assert models.load_registry(spark, str(tmp_path)).first()["bbox"]["lat_max"] == 2.0
+
+
+def test_label_fallback(spark, tmp_path):
+    for name, text in {"a/x_cleaned.csv": "time_s\n1", "a/x_labels.csv": "time_s,label\n1,1", "a/y_cleaned.csv": "time_s\n2",
+                       "a/row_labels_auto.csv": "time_s,label\n5,0\n6,1", "b/z_cleaned.csv": "time_s\n3"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text + "\n")
+    got = logs.labels_with_fallback(spark, str(tmp_path))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [("x", 1.0, 1), ("y", 5.0, 0), ("y", 6.0, 1)]
+
+
+def test_absent_score_folder_has_no_rows(spark, tmp_path):
+    rows = logs.read_scores(spark, str(tmp_path / "nothing"))
+    assert rows.collect() == [] and dict(rows.dtypes)["anom_proba"] == "double"
+
+
+def test_files_of_two_layouts(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("time_s, lat_deg ,mode\n1,2.5,A\n2,3.5,\"B, b\"\n")
+    (tmp_path / "two.csv").write_text("mode,ax_mps2,time_s\nC,9,3\n")
+    (tmp_path / "none.csv").write_text("")
+    rows = {(r["flight_id"], r["time_s"]): r for r in logs.read_logs(spark, str(tmp_path)).collect()}
+    assert rows["one", 2.0]["lat_deg"] == 3.5 and rows["one", 2.0]["mode"] == "B, b" and rows["one", 1.0]["ax_mps2"] is None
+    assert rows["two", 3.0]["ax_mps2"] == 9.0 and rows["two", 3.0]["lat_deg"] is None and rows["two", 3.0]["mode"] == "C"
+
+
+def test_ignored_segments(spark, tmp_path):
+    (tmp_path / "f_auto_segments.json").write_text('[{"start_s": 1, "end_s": 2, "label": "ignore"}, {"start_s": 3, "end_s": 4, "label": 1}]')
+    got = logs.read_segments(spark, str(tmp_path)).orderBy("start_s").collect()
+    assert [r["ignored"] for r in got] == [True, False]

@@ -84,3 +84,32 @@ def test_settled_tables_can_be_cleared(spark):
     assert os.path.isdir(folder)
     TL.clear_settled(df)
     assert not os.path.exists(folder)
+
+
+def test_smoothing_does_not_depend_on_the_chunk_width(spark):
+    from flightwatch.operators.scoring import smooth, trust_smooth
+    from flightwatch.operators.timeline import chunk_width
+    values = [None] * 5 + [float(i % 7) for i in range(60)] + [None] * 200 + [3.0] + [None] * 40 + [1.5]
+    rows = [(f, float(i), v) for f in (1, 2) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "flight_id long, time_s double, x double")
+    state, want = None, []
+    for v in values:
+        state = v if state is None else state if v is None else 0.3 * v + 0.7 * state
+        want.append(state)
+    seen = []
+    for width in (3.0, 50.0, 3600.0):
+        with chunk_width(width):
+            got = {(r[0], r[1]): r[2] for r in smooth(df, "x", 0.3).select("flight_id", "time_s", "smoothed").collect()}
+            seen.append(sorted(tuple(r) for r in trust_smooth(df, "x", 2.0, 1.0).select("flight_id", "time_s", "trust").collect()))
+        for i, w in enumerate(want):
+            assert got[1, float(i)] is None if w is None else abs(got[2, float(i)] - w) < 1e-12
+    for other in seen[1:]:
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-12 for a, b in zip(seen[0], other))
+
+
+def test_split_of_flights_with_like_names(spark):
+    from flightwatch.operators.windows import chronological_split
+    rows = [(f"gps_log_20260402_{i:06d}", w) for i in range(50) for w in range(i % 4 + 1)]
+    got = chronological_split(spark.createDataFrame(rows, "flight_id string, win long")).collect()
+    assert [(r["flight_id"], r["win"]) for r in sorted(got, key=lambda r: r["ordinal"])] == sorted(rows)
+    assert sorted(r["ordinal"] for r in got) == list(range(len(rows)))
