@@ -16,6 +16,7 @@ other, so neither side has to fit into memory as a whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from flightwatch.llm.tables import arrow_schema, settled, slices, table
 
 WINDOW = 13
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Words of test sets that are broadcast at a time.
 BLOCK_WORDS = 1 << 16
 #: Words of a test text in one piece; longer texts are cut with an overlap of a window less one word.
@@ -229,6 +230,9 @@ def _windows(pieces, window: int) -> dict[tuple[bytes, ...], list[int]]:
 
 def _hits(index: DataFrame, asked: dict[tuple[bytes, ...], list[int]], part: int) -> DataFrame:
     """For each document of each shard: runs of hit words and the items found, for one block of windows."""
+    ddl = ("shard long, nth int, part int, doc_id long, n_words long, runs array<struct<b:long,e:long>>, items array<long>")
+    schema = arrow_schema(ddl)
+
     def look(batches):
         names: dict[bytes, int] = {}
         by_length: dict[int, list[tuple[bytes, ...]]] = {}
@@ -238,7 +242,8 @@ def _hits(index: DataFrame, asked: dict[tuple[bytes, ...], list[int]], part: int
                 names.setdefault(t, len(names))
         tables = [(n, ws, np.asarray([[names[t] for t in w] for w in ws])) for n, ws in by_length.items()]
         for batch in batches:
-            for row in batch.itertuples():
+            for at in range(batch.num_rows):  # a row is a whole shard
+                row = SimpleNamespace(**{k: v[0] for k, v in batch.slice(at, 1).to_pydict().items()})
                 shard = Shard(row)
                 there = np.zeros(len(names), bool)
                 there[[names[t] for t in shard.lists if t in names]] = True
@@ -260,14 +265,12 @@ def _hits(index: DataFrame, asked: dict[tuple[bytes, ...], list[int]], part: int
                 for d, b, e in zip(owner, begins - shard.starts[owner], ends - shard.starts[owner], strict=True):
                     runs.setdefault(int(d), []).append((int(b), int(e)))
                 n = len(shard.doc_ids)
-                yield pd.DataFrame({
-                    "shard": row.shard, "nth": range(n), "part": part,
-                    "doc_id": pd.array(shard.doc_ids, "Int64"), "n_words": shard.n_words,
-                    "runs": [[{"b": b, "e": e} for b, e in runs.get(d, [])] for d in range(n)],
-                    "items": [sorted(items.get(d, ())) for d in range(n)]})
-
-    return index.mapInPandas(look, "shard long, nth int, part int, doc_id long, n_words long, "
-                                   "runs array<struct<b:long,e:long>>, items array<long>")
+                cols = [[row.shard] * n, list(range(n)), [part] * n, shard.doc_ids, shard.n_words.tolist(),
+                        [[{"b": b, "e": e} for b, e in runs.get(d, [])] for d in range(n)],
+                        [sorted(items.get(d, ())) for d in range(n)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    return index.mapInArrow(look, ddl)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:

@@ -37,7 +37,9 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles that count as frequent when seen in so many of a run of texts, and how many of them are known at most.
 #: They only decide the order of shingles: any order gives the same result.
 FREQUENT, FREQUENT_KNOWN = 8, 100_000
-RUN = 2_000_000
+RUN = 1_000_000
+#: Bytes of text that are hashed at a time; a longer text is alone.
+HASHED_BYTES = 1 << 19
 #: Groups for each shingle of a set, at least; logarithms of the least and largest number of groups.
 GROUPS_EACH, LEAST_LOG, MOST_LOG = 2, 3, 17
 #: Groups of a point that one group of a box stands for; cells of a tree's points.
@@ -79,10 +81,19 @@ class Hasher:
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array per text; a text of fewer than WORDS words has one shingle, an empty one none."""
-        raw = [t.encode("utf-8", "surrogatepass").translate(_FOLD) if t else b"" for t in texts]
+        out, raw, size = [], [], 0
+        for t in texts:
+            raw.append(t.encode("utf-8", "surrogatepass").translate(_FOLD) if t else b"")
+            size += len(raw[-1])
+            if size >= HASHED_BYTES:
+                out += self._sets(raw)
+                raw, size = [], 0
+        return out + self._sets(raw) if raw else out
+
+    def _sets(self, raw: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         if len(data) > len(self.up):
-            self.up, self.down = _powers(_BASE, 2 * len(data)), _powers(_BACK, 2 * len(data))
+            self.up, self.down = _powers(_BASE, len(data)), _powers(_BACK, len(data))
         space = _SPACE[data]
         edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
         begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -292,7 +303,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
                 if len(s) and (i := set_id(s)) not in run:
                     run[i] = prefix(s)
                     held += len(run[i])
-            if held > RUN // 2:
+            if held > RUN:
                 yield from emit(run)
                 run, held = {}, 0
         if run:
@@ -488,7 +499,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_blocks = (placed.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b"),
                                                F.count(F.lit(1)).alias("size")).filter("_a <> _b").select("block", "size"))
     open_rows = open_blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    keys = open_rows // (64 * TILE) + 1
+    keys = open_rows // (16 * TILE) + 1
     left = placed.join(open_blocks, "block").join(points.select("sid", "n"), "sid")
     small = _bounded(_leaf_pairs(left.filter(F.col("size") <= LEAF), keys), points)
     wide = left.filter(F.col("size") > LEAF)
