@@ -146,12 +146,13 @@ def motion_consistency(df: DataFrame, rows: int = 10, limit_m: float = 8.0,
     dv = {f"_dv_{a}": F.coalesce((F.col(a) + F.lag(a).over(w)) / 2 * dt,
                                  F.when(dt.isNull() & F.col(a).isNotNull(), F.lit(0.0))) for a in accel}
     stepped = without_halo(halo.withColumns({**dv, "_dt": dt}))
-    speed = with_prefix(stepped, {f"_v_{a}": running_sum(F.col(f"_dv_{a}")) for a in accel})
-    halo2 = with_halo(speed, before=1, carry=["time_s", *[f"_v_{a}" for a in accel]])
-    ds = {f"_ds_{a}": F.coalesce((F.col(f"_v_{a}") + F.lag(f"_v_{a}").over(w)) / 2 * F.col("_dt"), F.lit(0.0))
-          for a in accel}
-    moved = with_prefix(without_halo(halo2.withColumns(ds)),
-                        {f"_s_{a}": running_sum(F.col(f"_ds_{a}")) for a in accel})
+    some = {a: F.col(f"_dv_{a}").isNotNull().cast("int") for a in accel}
+    speed = with_prefix(stepped, {**{f"_v_{a}": running_sum(F.col(f"_dv_{a}")) for a in accel},
+                                  **{f"_k_{a}": running_sum(some[a]) for a in accel}})
+    # The velocity one row earlier is this one less its own step: no second look at the previous row.
+    earlier = {a: F.when(F.col(f"_k_{a}") > some[a], F.col(f"_v_{a}") - F.coalesce(f"_dv_{a}", F.lit(0.0))) for a in accel}
+    ds = {f"_ds_{a}": F.coalesce((F.col(f"_v_{a}") + earlier[a]) / 2 * F.col("_dt"), F.lit(0.0)) for a in accel}
+    moved = with_prefix(speed.withColumns(ds), {f"_s_{a}": running_sum(F.col(f"_ds_{a}")) for a in accel})
     halo3 = with_halo(moved, before=rows, carry=["time_s", *places, *[f"_s_{a}" for a in accel]])
     total = F.lit(0.0)
     for a, p in axes:
@@ -163,7 +164,7 @@ def motion_consistency(df: DataFrame, rows: int = 10, limit_m: float = 8.0,
         known = known & F.col(a).isNotNull()
     out = without_halo(halo3.withColumn("mismatch_m", F.when(known, F.sqrt(total))), drop_chunk=True)
     return (out.withColumn("inconsistent", (F.col("mismatch_m") > limit_m).cast("int"))
-            .drop("_dt", *[f"_{k}_{a}" for a in accel for k in ("dv", "v", "ds", "s")]))
+            .drop("_dt", *[f"_{k}_{a}" for a in accel for k in ("dv", "v", "k", "ds", "s")]))
 
 
 def detection_delay(scores: DataFrame, threshold: float = ALERT_THRESHOLD, probability: str = "smoothed",
