@@ -1,6 +1,6 @@
 """Toxic passages as maximal scoring segments of token log-odds.
 
-Learning counts tokens of labelled toxic and clean texts and takes their log-odds under an informative
+Learning counts the labelled toxic and clean texts that have a token and takes its log-odds under an informative
 Dirichlet prior, which draws rare tokens to the common distribution. A passage model that mixes in a share
 of toxic language turns them into scores of tokens: log-likelihood ratios, negative for ordinary words.
 All maximal scoring segments of a text are found in one scan (Ruzzo and Tompa). Scores of this kind have
@@ -25,8 +25,8 @@ from flightwatch.llm.tables import arrow_schema, settled, slices, table
 
 #: Bound of the labelled sample (rows by a hash of the id) and of the table of toxic tokens.
 SAMPLE_ROWS, TERMS = 20_000, 50_000
-#: Weight of the prior as a share of all tokens counted; least z of a toxic token.
-PRIOR, LEAST_Z = 0.02, 1.96
+#: Weight of the prior as a share of all tokens counted; least z and log-odds of a toxic token.
+PRIOR, LEAST_Z, LEAST_DELTA = 0.02, 1.96, 1.5
 #: Share of toxic language in a toxic passage.
 DENSITY = 0.1
 #: Beginnings of words, in bytes, that stand for words not seen often enough.
@@ -110,9 +110,8 @@ def token_log_odds(labelled: DataFrame) -> DataFrame:
 
         for texts, toxic in slices(batches, "text", "toxic"):
             for text, y in zip(texts, toxic, strict=True):
-                for w, n in Counter(words(text)).items():
-                    for f in features(w):
-                        each[y][f] += n
+                # A text counts a token once: one that repeats it a hundred times is one witness.
+                each[y].update({f for w in set(words(text)) for f in features(w)})
             if len(each[0]) + len(each[1]) > 500_000:
                 yield from flush()
         yield from flush()
@@ -138,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS))
     labelled = docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
-    terms = token_log_odds(labelled).filter(f"z >= {LEAST_Z} AND delta > 0").orderBy(F.desc("z"), "term").limit(TERMS).collect()
+    terms = token_log_odds(labelled).filter(f"z >= {LEAST_Z} AND delta >= {LEAST_DELTA}").orderBy(F.desc("z"), "term").limit(TERMS).collect()
     model = Model({bytes(r["term"]): math.log(1 - DENSITY + DENSITY * math.exp(min(r["delta"], 12.0))) for r in terms},
                   math.log(1 - DENSITY))
     measured = settled(_scan(labelled, model, "toxic int").select("toxic", "n", F.transform("found", lambda s: s["score"]).alias("s")))
