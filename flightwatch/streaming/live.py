@@ -42,7 +42,10 @@ def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -
 def stateful(stream: DataFrame, step: Step, schema: str | T.StructType, order: str = "ts") -> DataFrame:
     """Run ``step`` over each flight's new rows, oldest first, with its state as a dict.
 
-    Position messages follow the others of the same instant, so they see their values.
+    Position messages follow the others of the same instant, so they see their values. Rows older than what
+    the flight's state has seen in an earlier batch are late: they are dropped, so they never overwrite newer
+    values, and counted in the state. State has no timeout: one by processing time would keep a run over
+    available data from ending, one by event time would need a watermark on every input.
     """
     by = [order, "_asks"] if "msg_type" in stream.columns else [order]
     if len(by) > 1:
@@ -51,9 +54,16 @@ def stateful(stream: DataFrame, step: Step, schema: str | T.StructType, order: s
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
         memory = json.loads(state.get[0]) if state.exists else {}
-        out, memory = step(rows.drop(columns=by[1:]), memory)
-        state.update((json.dumps(memory),))
-        yield out
+        told = {"seen": memory.pop("_seen", None), "late": memory.pop("_late", 0)}
+        if told["seen"] is not None:
+            on_time = (rows[order] >= pd.Timestamp(told["seen"])).to_numpy()
+            told["late"] += int((~on_time).sum())
+            rows = rows[on_time].reset_index(drop=True)
+        if len(rows):
+            told["seen"] = rows[order].iloc[-1].isoformat()
+            out, memory = step(rows.drop(columns=by[1:]), memory)
+            yield out
+        state.update((json.dumps({**memory, "_seen": told["seen"], "_late": told["late"]}),))
     return stream.groupBy("flight_id").applyInPandasWithState(
         run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
@@ -120,15 +130,15 @@ def smoothed(stream: DataFrame, column: str, alpha: float = SMOOTHING) -> DataFr
 
 def debounce_step(column: str, count: int, default: str) -> Step:
     def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        recent, active = memory.get("recent", []), memory.get("active", default)
-        actives, switched = [], []
-        for value in rows[column]:
-            recent = [*recent, value][-count:]
-            sure = len(recent) == count and len(set(recent)) == 1
-            switched.append(int(sure and value != active))
-            active = value if sure else active
-            actives.append(active)
-        return rows.assign(active=actives, switched=switched), {"recent": recent, "active": active}
+        recent, before = memory.get("recent", []), memory.get("active", default)
+        values = pd.Series([*recent, *rows[column]], dtype=object)
+        sure = np.arange(len(values)) >= count - 1
+        for i in range(1, count):
+            sure &= (values == values.shift(i)).to_numpy()
+        active = values.where(sure).iloc[len(recent):].ffill().fillna(before)
+        switched = (active != active.shift(1, fill_value=before)).astype("int32")
+        out = rows.assign(active=active.to_numpy(), switched=switched.to_numpy())
+        return out, {"recent": values.tolist()[-count:], "active": active.iloc[-1]}
     return step
 
 
