@@ -348,10 +348,12 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (us, vs)], schema=schema)
 
-    left = points.select(F.col("sid").alias("u"), F.col("n").alias("na"), F.col("counts").alias("a"))
-    right = points.select(F.col("sid").alias("v"), F.col("n").alias("nb"), F.col("counts").alias("b"))
     fits = (F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
-    return pairs.join(left, "u").join(right, "v").filter(fits).mapInArrow(bound, ddl)
+    # Sizes alone leave out most pairs; only the rest is joined with counts.
+    sized = (pairs.join(points.select(F.col("sid").alias("u"), F.col("n").alias("na")), "u")
+             .join(points.select(F.col("sid").alias("v"), F.col("n").alias("nb")), "v").filter(fits))
+    return (sized.join(points.select(F.col("sid").alias("u"), F.col("counts").alias("a")), "u")
+            .join(points.select(F.col("sid").alias("v"), F.col("counts").alias("b")), "v").mapInArrow(bound, ddl))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
@@ -371,13 +373,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
     wanted = settled(asked.join(points, "sid").select("doc_id", F.col("sid").alias("want")))
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
-    made = settled(docs.join(wanted, "doc_id").select("want", "text").mapInArrow(sets, ddl))
+    made = docs.join(wanted, "doc_id").select("want", "text").mapInArrow(sets, ddl)
     # A set with many partners is compared in several places.
     degree = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("_places"))
     dealt = (pairs.join(degree, "v").withColumn("place", F.pmod(F.xxhash64("u"), F.col("_places")).cast("long")))
-    members = dealt.join(made.withColumnRenamed("sid", "u"), "u").select("v", "place", "u", "items")
-    heads = (dealt.select("v", "place").distinct().join(made.withColumnRenamed("sid", "v"), "v")
-             .select("v", "place", F.col("v").alias("u"), "items"))
+    members = dealt.select(F.col("u").alias("sid"), "v", "place", "u")
+    heads = dealt.select("v", "place").distinct().select(F.col("v").alias("sid"), "v", "place", F.col("v").alias("u"))
+    # Sets are made and moved once, for both parts they play.
+    needed_sets = members.unionByName(heads).join(made, "sid").select("v", "place", "u", "items")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         v = group.v.iloc[0]
@@ -391,7 +394,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
                 kept.append(u)
         return pd.DataFrame({"u": np.asarray(kept, np.int64), "v": np.full(len(kept), v, np.int64)})
 
-    return members.unionByName(heads).groupBy("v", "place").applyInPandas(compare, "u long, v long")
+    return needed_sets.groupBy("v", "place").applyInPandas(compare, "u long, v long")
 
 
 def _leaf_pairs(rows: DataFrame, keys: int) -> DataFrame:

@@ -44,7 +44,7 @@ def test_run_of_odd_rows(spark, tmp_path):
     odd.documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "never seen")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).filter("piece = 0").collect())
-    assert got == [0, 1, 3, 8, 9, 10, 11, 13]
+    assert got == [0, 1, 8, 9, 10, 11, 13]  # 3 is a near duplicate of 1
 
 
 def test_run_of_empty_tables(spark, tmp_path):
