@@ -193,7 +193,7 @@ def test_toxicity(spark):
     assert len(found) > 500 and ((found.score >= 0.5) == found.toxic).mean() > 0.96
     rows = toxicity.passages(odd.documents(spark), model).collect()
     assert len(rows) == len(odd.ROWS) and all(0 <= r.score <= 0.5 for r in rows)
-    term = max(model.terms, key=model.terms.get).decode().rstrip("*")
+    term = max((t for t in model.terms if not t.endswith(b"*")), key=model.terms.get).decode()  # a whole word
     insult = spark.createDataFrame([(1, f"of the and {term} {term} the {term} of")], "doc_id long, text string")
     r = toxicity.passages(insult, model).first()
     assert r.score > 0.5 and (3, 7) in {(p.begin, p.end) for p in r.passages}
