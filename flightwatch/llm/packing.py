@@ -53,20 +53,21 @@ class Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self._ids([text])[0]
-        words = self.split(text.lower())
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; a null text has none. Words that are not remembered are encoded once for all texts given."""
+        split = [self.split(t.lower()) if t and "<|" not in t and self.plain(t) else None for t in texts]
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in known})
+        new = list({w for words in split if words for w in words if w not in known})
         found = dict(zip(new, self._ids(new), strict=True))
         if len(known) < REMEMBERED:
             known.update(found)
-            return b"".join([known[w] for w in words])
-        return b"".join([known.get(w) or found[w] for w in words])
+        out = []
+        for t, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self._ids([t])[0] if t else b"")
+            else:
+                out.append(b"".join([known[w] if w in known else found[w] for w in words]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -93,8 +94,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         encode = encoder(path).encode
         for docs, texts in slices(batches, "doc_id", "text"):
             rows = []
-            for doc, text in zip(docs, texts, strict=True):
-                ids = (encode(text) if text else b"") + end
+            for doc, ids in zip(docs, encode(texts), strict=True):
+                ids += end
                 rows += [(doc, at // step, at // 4, len(x := ids[at:at + step]) // 4, zlib.crc32(x))
                          for at in range(0, len(ids), step)]
             if rows:

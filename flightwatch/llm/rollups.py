@@ -35,7 +35,7 @@ def token_counts(docs: DataFrame, version: str = "word_bpe_49k", path: str | Non
     def count(batches):
         encode = encoder(path).encode
         for *plain, texts in slices(batches, "doc_id", "source", "lang", "text"):
-            n = [len(encode(t)) // 4 if t else 0 for t in texts]
+            n = [len(ids) // 4 for ids in encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip([*plain, n], schema.types, strict=True)], schema=schema)
 
