@@ -333,7 +333,11 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
 
 
 def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose sizes and counts allow the threshold."""
+    """The pairs ``u, v`` whose sizes and counts allow the threshold.
+
+    Finer counts added up are cut off at 3 again, as the coarser ones are: then both sides leave out exactly what a
+    group holds beyond 3, and no pair shares more of that than either side left out.
+    """
     ddl = "u long, v long"
     schema = arrow_schema(ddl)
 
@@ -341,7 +345,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
         for us, vs, a, b, na, nb in slices(batches, "u", "v", "a", "b", "na", "nb", rows=4096):
             kept = []
             for i in range(len(us)):
-                p = points_of([a[i], b[i]])
+                p = np.minimum(points_of([a[i], b[i]]), 3)
                 most = int(np.minimum(p[0], p[1]).sum(dtype=np.int64)) + min(
                     na[i] - int(p[0].sum(dtype=np.int64)), nb[i] - int(p[1].sum(dtype=np.int64)))
                 if most >= needed(na[i], nb[i]):

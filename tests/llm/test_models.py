@@ -245,3 +245,31 @@ def test_rollup_query(spark):
     got = entry.queries()["op8_token_rollups"](spark, SF).toPandas()
     assert set(got.version) == {"word_bpe_49k"}
     assert sorted(map(tuple, got[["source", "lang", "n_docs", "n_tokens"]].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def pairs_at_the_threshold(n, seed=0):
+    """Pairs of random sets of 57 / 76 = 75/100, of 64 and 69 shingles: the second has twice the groups."""
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        x = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(x)
+        yield np.sort(x[:64]), np.sort(np.concatenate([x[:57], x[64:76]]))
+
+
+def test_bound_keeps_pairs_with_different_numbers_of_groups(spark):
+    sets = [s for pair in pairs_at_the_threshold(3000) for s in pair]
+    assert {len(jaccard.counts_of(s)) for s in sets} == {32, 64}
+    points = spark.createDataFrame([(i, len(s), jaccard.counts_of(s)) for i, s in enumerate(sets)], "sid long, n long, counts binary")
+    pairs = spark.range(0, len(sets), 2).selectExpr("id AS u", "id + 1 AS v")
+    pairs = pairs.unionByName(pairs.selectExpr("v AS u", "u AS v"))
+    assert jaccard._bounded(pairs, points).count() == pairs.count()
+
+
+def test_near_duplicates_at_the_threshold_across_numbers_of_groups(spark):
+    rows = []
+    for k in range(3000):
+        shared = [f"s{k}x{i}" for i in range(61)]
+        rows.append((2 * k, " ".join(shared + [f"a{k}x{i}" for i in range(7)])))
+        rows.append((2 * k + 1, " ".join(shared + [f"b{k}x{i}" for i in range(12)])))
+    found = near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(found) == sorted((i, 64 if i % 2 == 0 else 69, i - i % 2) for i, _ in rows)
