@@ -261,3 +261,18 @@ def test_tree_matching_is_the_best_one():
         for b in trees:
             size, pairs = wrappers.match_trees(a, b)
             assert size == best(a, b) == len(pairs)
+
+
+TEASED = ("<html><body><div class=story><h1>Title %d</h1>%s</div><div class=cards><article><p>Teaser %d</p></article>"
+          "<article><p>Other %d</p></article></div></body></html>")
+
+
+def test_wrapper_decides_over_article_tags(spark):
+    """The body text stands in a div, and teaser cards beside it are articles."""
+    body = ["".join(f"<p>page {k} says {i} {'xyz' * (k % 5 + 9)}</p>" for i in range(6)) for k in range(12)]
+    rows = [(k, f"https://t.example/{k}", TEASED % (k, body[k], k, k)) for k in range(12)]
+    rows.append((50, "https://t.example/other", "<html><body><article><p>another layout</p></article></body></html>"))
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == f"Title {k} " + " ".join(f"page {k} says {i} {'xyz' * (k % 5 + 9)}" for i in range(6))
+    assert got[50] == "another layout"
