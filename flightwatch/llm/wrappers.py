@@ -237,16 +237,15 @@ def induce(pages: list[str]) -> dict:
 
 def main_text(html: str | None, wrapper: dict | None = None) -> str:
     """The text of a page: blocks in the wrapper's place, or, where there is no such place, in its articles, or else
-    anywhere, that are not set apart, not template, and, outside an article, not mostly links."""
+    anywhere where they are not mostly links; those that are not set apart and not template."""
     if not html:
         return ""
     blocks = [b for b in read_page(html) if not b[0].apart]
     root = wrapper["root"] if wrapper else None
     steady = wrapper["steady"] if wrapper else ()
     inside = [b for b in blocks if root and (b[0].path == root or b[0].path.startswith(root + "/"))]
-    in_article = lambda b: re.search(r"/(?:article|main)(?=[./]|$)", b[0].path)
-    blocks = inside or [b for b in blocks if in_article(b)] or blocks
-    blocks = [b for b in blocks if in_article(b) or b[2] < 0.5]
+    articles = [b for b in blocks if re.search(r"/(?:article|main)(?=[./]|$)", b[0].path)]
+    blocks = inside or articles or [b for b in blocks if b[2] < 0.5]
     return " ".join(t for e, t, _ in blocks if (e.path, t) not in steady)
 
 

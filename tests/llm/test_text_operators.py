@@ -276,3 +276,14 @@ def test_wrapper_decides_over_article_tags(spark):
     for k in range(12):
         assert got[k] == f"Title {k} " + " ".join(f"page {k} says {i} {'xyz' * (k % 5 + 9)}" for i in range(6))
     assert got[50] == "another layout"
+
+
+def test_linked_text_in_the_place_stays(spark):
+    body = ["".join(f"<p>page {k} says {i} {'xyz' * (k % 5 + 9)}</p>" for i in range(6)) for k in range(12)]
+    rows = [(k, f"https://l.example/{k}", f"<html><body><div class=story><h2><a href=/{k}>Linked head {k}</a></h2>{body[k]}"
+             f"<ul><li><a href=/r>Reference {k}</a></ul></div><div class=foot><a href='/x'>Other {k}</a></div></body></html>") for k in range(12)]
+    rows.append((60, "https://none.example/", "<html><body><p>plain</p><p><a href='/x'>only a link</a></p></body></html>"))
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == f"Linked head {k} " + " ".join(f"page {k} says {i} {'xyz' * (k % 5 + 9)}" for i in range(6)) + f" Reference {k}"
+    assert got[60] == "plain"
