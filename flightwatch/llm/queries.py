@@ -1,5 +1,6 @@
 """Importing this module registers the queries of this folder."""
 
 from flightwatch.llm import (  # noqa: F401
-    decontamination, jaccard, language, neighbours, packing, pii, rollups, sharding, toxicity, wrappers)
+    decontamination, jaccard, language, manifest, mixing, negatives, neighbours, packing, pii, rollups, sharding, toxicity,
+    wrappers)
 from flightwatch.llm.registry import ORACLES, QUERIES  # noqa: F401

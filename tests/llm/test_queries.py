@@ -20,8 +20,11 @@ COLUMNS = {
     "op7_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_ngram_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op10_html_text": "page_id bigint, url string, text string, n_chars bigint",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op13_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
 }
-ROWS = {"op2_neighbours": 50, "op10_html_text": 50}
+ROWS = {"op2_neighbours": 50, "op10_html_text": 50, "op11_hard_negatives": 121}
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -47,5 +50,5 @@ def test_query(spark, name):
 
 
 def test_pipeline_query_is_registered():
-    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 11)} == {
+    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 14)} == {
         n.split("_")[0] for n in entry.queries() if n.startswith("op")}
