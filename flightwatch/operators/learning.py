@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flightwatch.functions.geo import in_box
 from flightwatch.operators.scoring import alert, ground_gate, smooth
 from flightwatch.operators.terrain import debounce, route, terrain_of, with_elevation
-from flightwatch.operators.timeline import KEYS, row_axis, settled
+from flightwatch.operators.timeline import KEYS, join_facts, row_axis, settled
 from flightwatch.operators.windows import chronological_split, first_flights, window_dataset
 from flightwatch.operators.metrics import confusion
 from flightwatch.operators.reports import training_summary
@@ -225,18 +225,25 @@ def model_registry(spark, models: dict[str, PipelineModel]) -> DataFrame:
     return spark.createDataFrame(rows, "terrain string, model_type string, available boolean")
 
 
+def routed_model(rows: DataFrame, models: dict[str, PipelineModel], default: str, at_home: Column | None = None,
+                 preferred: str = "rf") -> DataFrame:
+    """Which model each row's ``active`` terrain is routed to: ``model`` is a name of ``models``, ``area`` at home, or
+    null. Without any model this fails at once."""
+    if not models and at_home is None:
+        raise ValueError("no fitted model to score with")
+    routes = route(model_registry(rows.sparkSession, models), default, preferred)
+    routed = rows.join(F.broadcast(routes), "active", "left")
+    name = F.concat("model_terrain", F.when(F.col("model_type") == "nn", NEURAL).otherwise(""))
+    return routed.withColumn("model", name if at_home is None else F.when(at_home, F.lit("area")).otherwise(name))
+
+
 def by_routed_model(rows: DataFrame, models: dict[str, PipelineModel], default: str, at_home: Column,
                     area: PipelineModel | None, preferred: str = "rf") -> DataFrame:
     """Predictions of the model that each row's ``active`` terrain is routed to, or of the area model at home.
 
     A row that no model fits keeps a null probability and a null ``model``; without any model this fails at once.
     """
-    if not models and area is None:
-        raise ValueError("no fitted model to score with")
-    routes = route(model_registry(rows.sparkSession, models), default, preferred)
-    routed = rows.join(F.broadcast(routes), "active", "left")
-    name = F.concat("model_terrain", F.when(F.col("model_type") == "nn", NEURAL).otherwise(""))
-    routed = routed.withColumn("model", F.when(at_home, F.lit("area")).otherwise(name) if area else name)
+    routed = routed_model(rows, models, default, at_home if area else None, preferred)
     parts = routed.filter("model IS NULL").withColumns({"anom_proba": F.lit(None).cast("double"),
                                                         "prediction": F.lit(None).cast("double")})
     for name, model in [*models.items(), *([("area", area)] if area else [])]:

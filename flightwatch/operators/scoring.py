@@ -24,7 +24,7 @@ def alert(probability: Column, threshold: float = ALERT_THRESHOLD, inclusive: bo
     return probability >= threshold if inclusive else probability > threshold
 
 
-def _states(y: np.ndarray, gain: float, start: float | None) -> np.ndarray:
+def states_after(y: np.ndarray, gain: float, start: float | None) -> np.ndarray:
     """States after each value; the first value itself is the first state if there is none to start from."""
     if start is None or np.isnan(start):
         return pd.Series(y).ewm(alpha=gain, adjust=False).mean().to_numpy()
@@ -51,7 +51,7 @@ def _recurrence(df: DataFrame, column: str, out: str, gain: float, seed: float |
         y = chunk.sort_values("_order", kind="stable")["_x"].dropna().to_numpy()
         head = chunk[[*KEYS, CHUNK]].head(1)
         last = lambda s: s[-1] if len(s) else np.nan
-        return head.assign(_n=len(y), _zero=last(_states(y, gain, 0.0)), _own=last(_states(y, gain, None)))
+        return head.assign(_n=len(y), _zero=last(states_after(y, gain, 0.0)), _own=last(states_after(y, gain, None)))
 
     ends = narrow.groupBy(*KEYS, CHUNK).applyInPandas(reduce, f"{place}, _n long, _zero double, _own double")
 
@@ -71,7 +71,7 @@ def _recurrence(df: DataFrame, column: str, out: str, gain: float, seed: float |
         known = chunk["_x"].notna().to_numpy()
         start = chunk["_start"].iloc[0]
         state = np.full(len(chunk), np.nan)
-        state[known] = _states(chunk["_x"].to_numpy()[known], gain, start)
+        state[known] = states_after(chunk["_x"].to_numpy()[known], gain, start)
         return chunk[[*KEYS, CHUNK, "_order"]].assign(_state=pd.Series(state, chunk.index).ffill().fillna(start))
 
     states = narrow.join(starts.hint("shuffle_hash"), [*KEYS, CHUNK]).groupBy(*KEYS, CHUNK).applyInPandas(

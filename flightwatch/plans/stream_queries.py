@@ -5,31 +5,47 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightwatch.operators import learning as L
 from flightwatch.operators.terrain import terrain_of
-from flightwatch.operators.timeline import settled, shared_folder
+from flightwatch.operators.timeline import CHUNK, join_facts, settled, shared_folder, with_halo, without_halo
 from flightwatch.plans.catalog import ORACLES, query, r6, raw, sql
 from flightwatch.plans.score_queries import _CALLS, _MESSAGES_SQL, _messages
 from flightwatch.plans.model_queries import DEPTH, TREES, _windows
 from flightwatch.streaming import live
 
+#: The span of time is cut into so many arrivals at least, each of so many files; a file has so many rows at most.
 SLICES = 3
+FILES = 4
+FILE_ROWS = 50_000
+#: Rows are up to so many seconds late; streams hold them back for longer.
+JITTER_S = 1.0
 
 
-def _arrive(df: DataFrame) -> DataFrame:
-    """The rows as files that arrive in time order, read back as a stream."""
+def _arrive(df: DataFrame, jitter_s: float = JITTER_S, slices: int = SLICES, closing: bool = True) -> DataFrame:
+    """The rows as a stream of files, each row up to ``jitter_s`` later than its instant, in no order within a file.
+
+    With ``closing`` the last file holds one row of no flight, a day later: it moves the watermark past all others.
+    """
     folder = f"{shared_folder(df)}/arrivals-{uuid.uuid4().hex}"
     df = settled(df)
-    span = df.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
-    width = (span["b"] - span["a"]) // SLICES + 1
-    part = F.floor((F.unix_micros("ts") - span["a"]) / width)
-    for i in range(SLICES):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-        time.sleep(0.01)
-    return (df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    span = df.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if span["n"]:
+        slices = max(slices, -(-span["n"] // (FILES * FILE_ROWS)))
+        late = F.pmod(F.xxhash64(*df.columns), F.lit(round(jitter_s * 1e6) + 1))
+        width = (span["b"] + round(jitter_s * 1e6) - span["a"]) // slices + 1
+        arrived = settled(df.withColumn("_slice", F.floor((F.unix_micros("ts") + late - span["a"]) / width)))
+        for i in range(slices):
+            arrived.filter(F.col("_slice") == i).drop("_slice").repartition(FILES).write.mode("append").parquet(folder)
+            time.sleep(0.01)
+        end = df.limit(1).select(*[F.timestamp_micros(F.lit(span["b"] + 86_400_000_000)).alias(c) if c == "ts"
+                                   else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+        if closing:
+            end.write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 def _finish(stream: DataFrame) -> DataFrame:
@@ -54,9 +70,62 @@ def t01(spark, sf):
         r6("rollspeed_radps"), "armed", r6("hdg_deg"))
 
 
-@query("t02_resampled_stream")
+@query("t02_resampled_stream", ORACLES["t02_t11_resampled_rows"])
 def t02(spark, sf):
-    return _finish(live.resampled(_arrive(_messages(spark, sf)))).select("flight_id", "tick", "lat_deg", "armed")
+    rows = settled(_finish(live.resampled(_arrive(_messages(spark, sf)), hz=4.0, max_age_s=0.05, idle_s=5.0)))
+    # The grid of the batch twin ends with a flight's last message, the stream's when the flight is idle.
+    ends = rows.groupBy("flight_id").agg(F.max("seen_ts").alias("_end"))
+    return join_facts(rows, ends).filter("ts <= _end").select(
+        "flight_id", "time_s", F.round("lat_deg", 7).alias("lat_deg"), r6("rollspeed_radps"), "stale")
+
+
+@query("t12_late_rows", sql(None, """
+ SELECT flight_id, seq, CAST(seq % 97 = 50 AND seq > 97 AS INTEGER) AS late, CASE WHEN NOT (seq % 97 = 50 AND seq > 97) THEN
+   ROUND(sum(CASE WHEN seq % 97 = 50 AND seq > 97 THEN 0 ELSE score END) OVER (PARTITION BY flight_id ORDER BY seq), 6) END AS total FROM telemetry"""))
+def t12(spark, sf):
+    """Every 97th row arrives thirty seconds after its time: flagged, and without effect on the running total."""
+    rows = _timed(spark, sf).select("flight_id", "seq", "ts", "score")
+    straggles = (F.col("seq") % 97 == 50) & (F.col("seq") > 97)
+    arrivals = _arrive(rows.withColumn("_due", F.col("ts")).withColumn(
+        "ts", F.when(straggles, F.col("ts") + F.expr("INTERVAL 30 SECONDS")).otherwise(F.col("ts"))), slices=8)
+    # The instant that counts is the one a row was made at; the end of input keeps its own.
+    return _finish(live.ordered(arrivals.withColumn("ts", F.coalesce("_due", "ts")).drop("_due"), _TOTAL, "2 seconds")).select(
+        "flight_id", "seq", "late", r6("total"))
+
+
+def _sum_up(rows, memory):
+    total = (memory.get("total") or 0.0) + rows["score"].cumsum()
+    return rows.assign(total=total), {"total": float(total.iloc[-1])}
+
+
+_TOTAL = live.Step(_sum_up, [T.StructField("total", T.DoubleType())], T.StructType([T.StructField("total", T.DoubleType())]))
+
+
+@query("s14_message_lines", sql(None, """
+ SELECT flight_id, CAST(epoch_ms(ts) AS BIGINT) AS ms, CASE WHEN reason IS NULL THEN msg_type ELSE 'STATUSTEXT' END AS msg_type, CASE WHEN reason IS NULL THEN lat END AS lat, reason FROM (
+   SELECT *, row_number() OVER (PARTITION BY flight_id, msg_type ORDER BY ts) AS nth FROM msgs) m, LATERAL (SELECT CASE
+     WHEN nth % 31 = 3 THEN 'unknown type' WHEN nth % 31 = 5 THEN 'bad line' WHEN nth % 31 = 7 THEN 'no instant' END AS reason)
+ WHERE reason IS NULL OR reason = 'unknown type'
+ UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), reason, CAST(count(*) AS DOUBLE), reason FROM (
+   SELECT CASE WHEN nth % 31 = 5 THEN 'bad line' WHEN nth % 31 = 7 THEN 'no instant' END AS reason
+   FROM (SELECT row_number() OVER (PARTITION BY flight_id, msg_type ORDER BY ts) AS nth FROM msgs)) WHERE reason IS NOT NULL GROUP BY reason""", extra=_MESSAGES_SQL))
+def s14(spark, sf):
+    """Messages as lines of text, some of them broken: the good ones are read, the others kept with the reason."""
+    m = settled(_messages(spark, sf)).withColumn("nth", F.row_number().over(Window.partitionBy("flight_id", "msg_type").orderBy("ts")) % 31)
+    spoilt = m.withColumns({"msg_type": F.when(F.col("nth") == 3, "STATUSTEXT").otherwise(F.col("msg_type")),
+                            "flight_id": F.col("flight_id").cast("string")})
+    line = F.to_json(F.struct(*[c for c in spoilt.columns if c != "nth"]))
+    folder = f"{shared_folder(m)}/lines-{uuid.uuid4().hex}"
+    (spoilt.select(F.when(F.col("nth") == 5, F.substring(line, 1, 20))
+                   .when(F.col("nth") == 7, F.regexp_replace(line, '"ts":"[^"]*",', "")).otherwise(line).alias("value")).write.text(folder))
+    good = _finish(live.read_messages(spark, folder))
+    bad = settled(_finish(live.rejected_messages(spark, folder)))
+    own = bad.filter("reason = 'unknown type'").select(
+        "flight_id", "ts", "msg_type", F.lit(None).cast("double").alias("lat"), "reason")
+    counts = bad.filter("reason <> 'unknown type'").groupBy("reason").agg(F.count(F.lit(1)).cast("double").alias("lat")).select(
+        F.lit(None).cast("string").alias("flight_id"), F.lit(None).cast("timestamp").alias("ts"), F.col("reason").alias("msg_type"), "lat", "reason")
+    rows = good.select("flight_id", "ts", "msg_type", "lat", F.lit(None).cast("string").alias("reason")).unionByName(own).unionByName(counts)
+    return rows.select(F.col("flight_id").cast("long").alias("flight_id"), F.unix_millis("ts").alias("ms"), "msg_type", "lat", "reason")
 
 
 @query("t04_debounced_stream", ORACLES["w18_debounced_terrain"])
@@ -92,20 +161,40 @@ def t03(spark, sf):
  FROM msgs WHERE time_bucket(INTERVAL 5 SECONDS, ts) + INTERVAL 5 SECONDS <= (SELECT max(ts) FROM msgs) - INTERVAL 5 SECONDS GROUP BY 1, 2""",
                                             extra=_MESSAGES_SQL))
 def t09(spark, sf):
-    return _finish(live.message_counts(_arrive(_messages(spark, sf)))).select(
+    return _finish(live.message_counts(_arrive(_messages(spark, sf), closing=False))).select(
         F.unix_millis("window_start").alias("ms"), "msg_type", "n")
 
 
-@query("t07_t08_s13_live_scores")
+@query("t07_t08_s13_live_scores", sql(None, """
+ SELECT flight_id, CAST(epoch_ms(ts) AS BIGINT) AS ms, CAST(vx < 300 AND coalesce(rel_alt, 0) < 5 AS INTEGER) AS gated,
+   true AS smooth_ok, true AS alert_ok, true AS logged FROM (
+   SELECT flight_id, seq, TIMESTAMP '2026-05-01 00:00:00' + to_milliseconds(seq * 100) AS ts, ROUND(rel_alt_m * 1000) / 1000.0e0 AS rel_alt,
+          CASE WHEN seq % 3 = 0 THEN 200 ELSE ROUND(vel_m_s * 100) END AS vx FROM telemetry) WHERE seq >= 29"""))
 def t07(spark, sf):
+    """Which windows come out, which of them the gate decides, that smoothing follows from one row to the next, and
+    that alerts and log have exactly the rows they should."""
     windows = _windows(spark, sf)
     models = {t: L.fit_forest(windows.filter(F.col("terrain") == t), TREES, depth=DEPTH)
               for t in sorted(r["terrain"] for r in windows.select("terrain").distinct().collect())}
-    messages = _messages(spark, sf).withColumn("flight_id", F.col("flight_id").cast("string"))
+    slow = F.unix_millis("ts") % 300 == F.lit(1777593600000 % 300)
+    messages = _messages(spark, sf).withColumn("vx", F.when(slow & F.col("vx").isNotNull(), 200.0).otherwise(F.col("vx")))
     folder = f"{shared_folder(messages)}/scores-{uuid.uuid4().hex}"
     stream = live.live_windows(_arrive(messages), default=sorted(models)[0])
     live.score_stream(stream, models, folder, default=sorted(models)[0]).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("header", True).csv(f"{folder}/scores").drop("batch")
+    done = settled(spark.read.parquet(f"{folder}/windows").drop("batch"))
+    alerts = spark.read.parquet(f"{folder}/alerts").select("flight_id", "ts", F.lit(True).alias("_alert"))
+    logged = spark.read.option("header", True).csv(f"{folder}/scores").select(
+        (F.col("unix_time").cast("double") * 1000).cast("long").alias("_ms"), F.col("anom_proba").cast("double").alias("_logged")).distinct()
+    before = Window.partitionBy("flight_id", CHUNK).orderBy("ts")
+    rows = with_halo(done.withColumn("time_s", F.unix_micros("ts") / 1e6), before=1, carry=["time_s", "smoothed", "ts"])
+    rows = without_halo(rows.withColumn("_past", F.lag("smoothed").over(before)), drop_chunk=True)
+    smooth = F.coalesce(0.3 * F.col("raw_proba") + 0.7 * F.col("_past"), F.col("raw_proba"))
+    rows = rows.withColumn("ms", F.unix_millis("ts")).join(alerts, ["flight_id", "ts"], "left")
+    rows = rows.join(logged, (F.col("ms") == F.col("_ms")) & (F.abs(F.col("_logged") - F.col("smoothed")) <= 1e-6), "left_outer")
+    return rows.groupBy(F.col("flight_id").cast("long").alias("flight_id"), "ms").agg(
+        F.max((F.col("raw_proba") == 0.01).cast("int")).alias("gated"), F.bool_and(F.abs(smooth - F.col("smoothed")) < 1e-9).alias("smooth_ok"),
+        F.bool_and((F.col("smoothed") >= 0.6) == F.coalesce("_alert", F.lit(False))).alias("alert_ok"),
+        F.bool_or(F.col("_logged").isNotNull()).alias("logged"))
 
 
 @query("t10_dashboard_totals", sql(None, """
@@ -115,7 +204,7 @@ def t10(spark, sf):
     rows = _timed(spark, sf).select("ts", terrain_of(F.col("alt_m")).alias("terrain"), F.col("score").alias("anom_proba"))
     folder = f"{shared_folder(rows)}/dashboard-{uuid.uuid4().hex}"
     flush = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/{number:09d}")
-    (live.dashboard(_arrive(rows)).writeStream.outputMode("complete").foreachBatch(flush)
+    (live.dashboard(_arrive(rows, closing=False)).writeStream.outputMode("complete").foreachBatch(flush)
      .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination())
     newest = spark.read.parquet(f"{folder}/*").select("*", F.col("_metadata.file_path").alias("_file"))
     last = newest.groupBy("terrain").agg(F.max_by(F.struct("rows", "mean_anom_proba"), "_file").alias("r"))

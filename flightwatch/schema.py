@@ -17,13 +17,39 @@ NUMERIC_COLUMNS = [
     "battery_voltage", "battery_remaining_pct",
     "armed", "failsafe", "connection_ok",
 ]
+# Sensor columns that only logs of the old layout have.
+OLD_SENSOR_COLUMNS = ["ax_mps2", "ay_mps2", "az_mps2", "gx_radps", "gy_radps", "gz_radps"]
 TEXT_COLUMNS = ["mode", "last_update_iso"]
-RAW_COLUMNS = NUMERIC_COLUMNS[:32] + ["mode", "failsafe", "connection_ok", "last_update_iso"]
+# The columns of a raw log, in order.
+RAW_COLUMNS = [
+    "time_s", "lat_deg", "lon_deg", "alt_m", "rel_alt_m", "vel_m_s", "hdg_deg",
+    "fix_type", "satellites_visible", "eph_m", "epv_m",
+    "roll_deg", "pitch_deg", "yaw_deg",
+    "rollspeed_radps", "pitchspeed_radps", "yawspeed_radps",
+    "vibration_x", "vibration_y", "vibration_z",
+    "clipping_0", "clipping_1", "clipping_2",
+    "vel_ratio", "pos_horiz_ratio", "pos_vert_ratio",
+    "vel_innov", "pos_horiz_innov", "pos_vert_innov",
+    "battery_voltage", "battery_remaining_pct",
+    "armed", "mode", "failsafe", "connection_ok", "last_update_iso",
+]
 CLEANED_COLUMNS = RAW_COLUMNS + ["is_stale_repeat", "dt"]
 LABELLED_COLUMNS = CLEANED_COLUMNS + ["label"]
-FEATURES = (["x_m", "y_m"] + NUMERIC_COLUMNS[3:32]
-            + ["failsafe", "connection_ok", "is_stale_repeat"])
+# The features of a model, in order.
+FEATURES = [
+    "x_m", "y_m", "alt_m", "rel_alt_m", "vel_m_s", "hdg_deg",
+    "fix_type", "satellites_visible", "eph_m", "epv_m",
+    "roll_deg", "pitch_deg", "yaw_deg",
+    "rollspeed_radps", "pitchspeed_radps", "yawspeed_radps",
+    "vibration_x", "vibration_y", "vibration_z",
+    "clipping_0", "clipping_1", "clipping_2",
+    "vel_ratio", "pos_horiz_ratio", "pos_vert_ratio",
+    "vel_innov", "pos_horiz_innov", "pos_vert_innov",
+    "battery_voltage", "battery_remaining_pct",
+    "armed", "failsafe", "connection_ok", "is_stale_repeat",
+]
 
+# Columns of whole numbers, of magnitudes, and what is needed or assumed.
 INTEGER_COLUMNS = [
     "fix_type", "satellites_visible", "clipping_0", "clipping_1", "clipping_2",
     "armed", "failsafe", "connection_ok", "is_stale_repeat",
@@ -53,6 +79,7 @@ TERRAIN_LIMITS = [
     ("sea", 43.47, 43.73, 7.17, 7.53, 0.5, 120.0),
 ]
 
+# Thresholds of the labelling rules.
 RULE_DEFAULTS = {
     "max_speed_ms": 30.0, "max_speed_change_ms": 10.0, "max_accel_ms2": 15.0,
     "min_satellites": 6, "max_eph_m": 5.0, "max_epv_m": 10.0,

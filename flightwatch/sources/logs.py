@@ -18,7 +18,7 @@ from flightwatch.functions.modes import number
 from flightwatch.operators.clean import coerce_numbers, strip_text
 from flightwatch.operators.timeline import CHUNK, KEYS
 from flightwatch.schema import (
-    CLEANING_REPORT_SCHEMA, NUMERIC_COLUMNS, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
+    CLEANING_REPORT_SCHEMA, NUMERIC_COLUMNS, OLD_SENSOR_COLUMNS, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
 
 STAGE_SUFFIX = "((_cleaned)+|_labels|_auto_segments|_cleaning_report)?\\.(csv|json)$"
 
@@ -74,14 +74,14 @@ def read_logs(spark: SparkSession, path: str, pattern: str = "*.csv", recursive:
     # than rows can be counted before it.
     in_task = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     numbered = rows.withColumns({"flight_id": flight_of(F.col("file_path")), "row_no": F.col("_block") + in_task})
-    return strip_text(coerce_numbers(numbered.drop("_block", "file_path")))
+    return strip_text(coerce_numbers(numbered.drop("_block", "file_path"), [*NUMERIC_COLUMNS, *OLD_SENSOR_COLUMNS]))
 
 
 def read_mixed_logs(spark: SparkSession, path: str, columns: Sequence[str] = tuple(RAW_COLUMNS),
                     pattern: str = "*.csv") -> DataFrame:
     """Exactly ``columns`` of files of differing layout; absent ones are null."""
     rows = read_logs(spark, path, pattern)
-    numeric = set(RAW_COLUMNS) & set(NUMERIC_COLUMNS)
+    numeric = {*NUMERIC_COLUMNS, *OLD_SENSOR_COLUMNS}
     return rows.select("flight_id", "row_no", *[
         F.col(c) if c in rows.columns else F.lit(None).cast("double" if c in numeric else "string").alias(c) for c in columns])
 

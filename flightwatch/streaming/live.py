@@ -1,112 +1,139 @@
 """Live detection as Structured Streaming queries.
 
-State is kept per flight and each step is a small function of the batch's rows in time
-order and the flight's state; everything else is ordinary column work. A vehicle reports
-at up to some tens of messages per second, so one flight's share of a micro-batch stays
-small however long the flight is.
+State is kept per flight and typed (see ``state``): rows wait for the watermark, are stepped in order of time,
+and late ones leave flagged. Every step works on whole columns of a flight's released rows; everything else is
+ordinary column work on the stream.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightwatch.functions.geo import in_box
-from flightwatch.operators.learning import by_routed_model
-from flightwatch.operators.messages import FEATURE_DEFAULTS, HELD, POSITION, known_messages, scaled_messages
-from flightwatch.operators.scoring import alert, ground_gate
-from flightwatch.operators.terrain import cell, terrain_of
+from flightwatch.operators.learning import model_registry, predicted, routed_model
+from flightwatch.operators.messages import (
+    FEATURE_DEFAULTS, HELD, MAX_AGE_S, MOTION_FIELDS, POSITION, known_messages, scaled_messages)
+from flightwatch.operators.scoring import alert, ground_gate, states_after
+from flightwatch.operators.terrain import cell, route, terrain_of
 from flightwatch.schema import (
-    ALERT_THRESHOLD, DEBOUNCE, EARTH_RADIUS_M, FEATURES, MESSAGE_SCHEMA, SMOOTHING, WINDOW_LENGTH)
+    ALERT_THRESHOLD, DEBOUNCE, EARTH_RADIUS_M, FEATURES, MESSAGE_SCHEMA, MESSAGE_TYPES, SMOOTHING, WINDOW_LENGTH)
 from flightwatch.sources.logs import log_format
+from flightwatch.streaming.state import DELAY, IDLE_S, LATE, TICK, Memory, Step, ordered
 
-STATE_SCHEMA = "state string"
-Step = Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
+BAD_LINE = "_bad_line"
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Decoded messages arriving as JSON-lines files; unknown types and bad lines drop out."""
-    rows = (spark.readStream.schema(MESSAGE_SCHEMA).option("mode", "DROPMALFORMED")
+    """Decoded messages arriving as JSON-lines files; what ``rejected_messages`` keeps is left out here."""
+    return _lines(spark, path, files_per_batch).filter(_reason().isNull()).drop(BAD_LINE)
+
+
+def rejected_messages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The dead-letter side of the same files: ``reason`` (bad line, no instant, no flight, unknown type), the line
+    if it could not be read, and the message's type, flight and file."""
+    rows = _lines(spark, path, files_per_batch)
+    return rows.withColumn("reason", _reason()).filter("reason IS NOT NULL").select(
+        "reason", F.col(BAD_LINE).alias("line"), "msg_type", "flight_id", "ts", F.col("_metadata.file_path").alias("file_path"))
+
+
+def _lines(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+    schema = T.StructType([*MESSAGE_SCHEMA.fields, T.StructField(BAD_LINE, T.StringType())])
+    return (spark.readStream.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
             .option("maxFilesPerTrigger", files_per_batch).json(path))
-    return known_messages(rows).filter("ts IS NOT NULL AND flight_id IS NOT NULL")
 
 
-def stateful(stream: DataFrame, step: Step, schema: str | T.StructType, order: str = "ts") -> DataFrame:
-    """Run ``step`` over each flight's new rows, oldest first, with its state as a dict.
+def _reason():
+    return (F.when(F.col(BAD_LINE).isNotNull(), "bad line").when(F.col("ts").isNull(), "no instant")
+            .when(F.col("flight_id").isNull(), "no flight")
+            .when(~F.coalesce(F.col("msg_type").isin(MESSAGE_TYPES), F.lit(False)), "unknown type"))
+
+
+def _fields(schema: T.StructType, names) -> list[T.StructField]:
+    return [T.StructField(n, schema[n].dataType) for n in names]
+
 
-    Position messages follow the others of the same instant, so they see their values. Rows older than what
-    the flight's state has seen in an earlier batch are late: they are dropped, so they never overwrite newer
-    values, and counted in the state. State has no timeout: one by processing time would keep a run over
-    available data from ending, one by event time would need a watermark on every input.
+_DOUBLES = ["vel_m_s", "alt_m", "hdg_deg"]
+_HUD = {"vel_m_s": "hud_speed", "alt_m": "hud_alt"}
+
+
+def _following(values: pd.Series, before) -> np.ndarray:
+    """The last known value up to each row, ``before`` the first."""
+    return pd.concat([pd.Series([before], dtype=float), values.astype(float)]).ffill().to_numpy()[1:]
+
+
+def _held(rows: pd.DataFrame, memory: Memory) -> tuple[pd.DataFrame, Memory]:
+    """Newest values of every message type at each row.
+
+    A message replaces all fields of its type, also by nothing. Speed, altitude and heading stay until a new one is
+    known; those of the instrument message serve until a position message has brought its own, its heading always.
     """
-    by = [order, "_asks"] if "msg_type" in stream.columns else [order]
-    if len(by) > 1:
-        stream = stream.withColumn("_asks", F.col("msg_type") == POSITION)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
-        memory = json.loads(state.get[0]) if state.exists else {}
-        told = {"seen": memory.pop("_seen", None), "late": memory.pop("_late", 0)}
-        if told["seen"] is not None:
-            on_time = (rows[order] >= pd.Timestamp(told["seen"])).to_numpy()
-            told["late"] += int((~on_time).sum())
-            rows = rows[on_time].reset_index(drop=True)
-        if len(rows):
-            told["seen"] = rows[order].iloc[-1].isoformat()
-            out, memory = step(rows.drop(columns=by[1:]), memory)
-            yield out
-        state.update((json.dumps({**memory, "_seen": told["seen"], "_late": told["late"]}),))
-    return stream.groupBy("flight_id").applyInPandasWithState(
-        run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def _plain(value):
-    """A JSON-friendly copy of one cell."""
-    if value is None or (isinstance(value, float) and np.isnan(value)) or value is pd.NaT:
-        return None
-    return value.item() if isinstance(value, np.generic) else value
-
-
-def hold_step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-    """Newest values of every message type at each row."""
-    out = rows.copy()
+    out, memory, n = rows.copy(), dict(memory), len(rows)
+    kinds = rows["msg_type"].to_numpy(object)
     for kind, fields in HELD.items():
-        fields = [*fields, *(["alt_m"] if kind == POSITION else [])]
-        seen = pd.Series(np.where(rows["msg_type"] == kind, np.arange(len(rows)), np.nan)).ffill()
-        at = seen.fillna(-1).astype(int).to_numpy()
+        newest = np.maximum.accumulate(np.where(kinds == kind, np.arange(1, n + 1), 0))
         for f in fields:
-            held = memory.get(f)
-            values = rows[f].to_numpy(dtype=object)
-            out[f] = [held if i < 0 else _plain(values[i]) for i in at]
-            memory[f] = _plain(out[f].iloc[-1])
-    for f in ("vel_m_s", "hdg_deg"):
-        known = rows[f].where(rows[f].notna(), rows["hud_heading"]) if f == "hdg_deg" else rows[f]
-        out[f] = pd.concat([pd.Series([memory.get(f)], dtype=float), known.astype(float)]).ffill().to_numpy()[1:]
-        memory[f] = _plain(out[f].iloc[-1])
+            out[f] = np.concatenate([np.array([memory.get(f)], object), rows[f].to_numpy(object)])[newest]
+            memory[f] = out[f].iloc[-1]
+    for f, of_position in (("vel_m_s", "vel_m_s"), ("alt_m", "alt_m"), ("hdg_deg", None)):
+        known = rows[f] if of_position else rows[f].astype(float).where(rows[f].notna(), rows["hud_heading"].astype(float))
+        values = _following(known, memory.get(f))
+        memory[f] = values[-1]
+        if f in _HUD:
+            own = pd.concat([pd.Series([memory.get(_HUD[f])], dtype=float), rows[_HUD[f]].astype(float)]).bfill().ffill()
+            seen = pd.concat([pd.Series([memory.get(_HUD[f])], dtype=float), rows[_HUD[f]].astype(float)]).notna().cummax()
+            first = np.where(seen, own.iloc[0], np.nan)[1:]
+            memory[_HUD[f]] = first[-1]
+            values = np.where(np.isnan(values), first, values)
+        out[f] = values
     return out, memory
 
 
-def held_values(messages: DataFrame) -> DataFrame:
+def _hold_memory(schema: T.StructType) -> list[T.StructField]:
+    names = [f for fields in HELD.values() for f in fields] + [*_DOUBLES, *_HUD.values()]
+    return _fields(schema, dict.fromkeys(names))
+
+
+def held_values(messages: DataFrame, delay: str = DELAY, idle_s: float = IDLE_S) -> DataFrame:
     """Latest-value state: every message with all fields known at its time."""
     scaled = scaled_messages(messages)
-    return stateful(scaled, hold_step, scaled.schema)
+    return ordered(scaled, Step(_held, memory=T.StructType(_hold_memory(scaled.schema))), delay, idle_s, asks=POSITION)
+
 
+def resampled(messages: DataFrame, hz: float = 10.0, max_age_s: float = MAX_AGE_S, delay: str = DELAY,
+              idle_s: float = IDLE_S) -> DataFrame:
+    """Latest values at a fixed rate, driven by timers: a tick comes whether or not a message does.
 
-def resampled(messages: DataFrame, every: str = "100 milliseconds", late: str = "5 seconds") -> DataFrame:
-    """The last held row of each tumbling window; rows behind the watermark are dropped."""
-    held = held_values(messages).withWatermark("ts", late)
-    fields = [c for c in held.columns if c not in ("flight_id", "ts", "msg_type")]
-    return (held.groupBy("flight_id", F.window("ts", every).alias("_w"))
-            .agg(F.max_by(F.struct("ts", *fields), "ts").alias("_r"))
-            .select("flight_id", F.col("_w.end").alias("tick"), "_r.*"))
+    Ticks begin with a flight's first message and go on until it is idle. ``time_s`` counts from the first,
+    ``age_s`` from the last position; ``stale`` is 1 if that is older than ``max_age_s`` (or there is none),
+    ``connection_ok`` 1 if any message is younger than MAX_AGE_S; ``seen_ts`` is that message's instant and
+    ``last_update_iso`` the last position's.
+    """
+    scaled = scaled_messages(messages)
+    memory = [*_hold_memory(scaled.schema), *[T.StructField(n, T.LongType()) for n in ("_first", "_seen", "_fix")]]
+    added = [T.StructField("time_s", T.DoubleType()), T.StructField("age_s", T.DoubleType()), T.StructField("stale", T.IntegerType()),
+             T.StructField("connection_ok", T.IntegerType()), T.StructField("seen_ts", T.TimestampType()),
+             T.StructField("fix_ts", T.TimestampType())]
+
+    def run(rows: pd.DataFrame, past: Memory) -> tuple[pd.DataFrame, Memory]:
+        out, new = _held(rows, past)
+        at, ticks = rows["ts"].to_numpy(np.int64), (rows["msg_type"] == TICK).to_numpy()
+        new["_first"] = past.get("_first") if past.get("_first") is not None else int(at[0])
+        for name, kind in (("_seen", ~ticks), ("_fix", (rows["msg_type"] == POSITION).to_numpy())):
+            out[name] = _following(pd.Series(np.where(kind, at, np.nan)), past.get(name))
+            new[name] = None if np.isnan(out[name].iloc[-1]) else int(out[name].iloc[-1])
+        age, quiet = (at - out["_fix"]) / 1e6, (at - out["_seen"]) / 1e6
+        out = out.assign(time_s=np.round((at - new["_first"]) / 1e6, 3), age_s=age, stale=(~(age <= max_age_s)).astype("int32"),
+                         connection_ok=(quiet <= MAX_AGE_S).astype("int32"), seen_ts=out["_seen"].astype("Int64"), fix_ts=out["_fix"].astype("Int64"))
+        return out[ticks], new
+
+    step = Step(run, added, T.StructType(memory))
+    ticks = ordered(scaled, step, delay, idle_s, every_s=1 / hz, asks=POSITION)
+    return ticks.filter(f"{LATE} = 0").withColumn("last_update_iso", F.date_format("fix_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).drop("msg_type", "fix_ts")
 
 
 def message_counts(messages: DataFrame, width: str = "5 seconds", late: str = "5 seconds") -> DataFrame:
@@ -114,23 +141,30 @@ def message_counts(messages: DataFrame, width: str = "5 seconds", late: str = "5
             .agg(F.count(F.lit(1)).alias("n")).select(F.col("_w.start").alias("window_start"), "msg_type", "n"))
 
 
+def late_rows(stepped: DataFrame) -> DataFrame:
+    """The rows of a stepped stream that came too late to be stepped: they can be kept and counted."""
+    return stepped.filter(f"{LATE} = 1")
+
+
 def smooth_step(column: str, alpha: float = SMOOTHING) -> Step:
-    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        seed = [memory["last"]] if "last" in memory else []
-        series = pd.Series([*seed, *rows[column].astype(float)])
-        rows = rows.assign(smoothed=series.ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(seed):])
-        return rows, {"last": float(rows["smoothed"].iloc[-1])}
-    return step
+    def run(rows: pd.DataFrame, memory: Memory) -> tuple[pd.DataFrame, Memory]:
+        last, x = memory.get("last"), rows[column].astype(float).to_numpy()
+        known = ~np.isnan(x)
+        values = np.full(len(x), np.nan)
+        if known.any():
+            values[known] = states_after(x[known], alpha, last)
+        values = _following(pd.Series(values), last)  # an unknown value keeps the state
+        return rows.assign(smoothed=values), {"last": values[-1]}
+    return Step(run, [T.StructField("smoothed", T.DoubleType())], T.StructType([T.StructField("last", T.DoubleType())]))
 
 
-def smoothed(stream: DataFrame, column: str, alpha: float = SMOOTHING) -> DataFrame:
-    schema = T.StructType([*stream.schema.fields, T.StructField("smoothed", T.DoubleType())])
-    return stateful(stream, smooth_step(column, alpha), schema)
+def smoothed(stream: DataFrame, column: str, alpha: float = SMOOTHING, delay: str = DELAY, idle_s: float = IDLE_S) -> DataFrame:
+    return ordered(stream, smooth_step(column, alpha), delay, idle_s)
 
 
 def debounce_step(column: str, count: int, default: str) -> Step:
-    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        recent, before = memory.get("recent", []), memory.get("active", default)
+    def run(rows: pd.DataFrame, memory: Memory) -> tuple[pd.DataFrame, Memory]:
+        recent, before = list(memory.get("recent") or []), memory.get("active") or default
         values = pd.Series([*recent, *rows[column]], dtype=object)
         sure = np.arange(len(values)) >= count - 1
         for i in range(1, count):
@@ -139,84 +173,95 @@ def debounce_step(column: str, count: int, default: str) -> Step:
         switched = (active != active.shift(1, fill_value=before)).astype("int32")
         out = rows.assign(active=active.to_numpy(), switched=switched.to_numpy())
         return out, {"recent": values.tolist()[-count:], "active": active.iloc[-1]}
-    return step
+    return Step(run, [T.StructField("active", T.StringType()), T.StructField("switched", T.IntegerType())],
+                T.StructType([T.StructField("recent", T.ArrayType(T.StringType())), T.StructField("active", T.StringType())]))
 
 
-def debounced(stream: DataFrame, column: str = "terrain", count: int = DEBOUNCE, default: str = "flat") -> DataFrame:
-    schema = T.StructType([*stream.schema.fields, T.StructField("active", T.StringType()),
-                           T.StructField("switched", T.IntegerType())])
-    return stateful(stream, debounce_step(column, count, default), schema)
+def debounced(stream: DataFrame, column: str = "terrain", count: int = DEBOUNCE, default: str = "flat",
+              delay: str = DELAY, idle_s: float = IDLE_S) -> DataFrame:
+    return ordered(stream, debounce_step(column, count, default), delay, idle_s)
 
 
 def stale_step(repeats: int = 2) -> Step:
-    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        past = memory.get("lats", [])
-        lats = pd.Series([*past, *rows["lat_deg"].astype(float)])
+    def run(rows: pd.DataFrame, memory: Memory) -> tuple[pd.DataFrame, Memory]:
+        past = list(memory.get("lats") or [])
+        lats = pd.Series([*past, *rows["lat_deg"].astype(float)], dtype=float)
         same = np.ones(len(lats), dtype=bool)
         for i in range(1, repeats + 1):
             same &= (lats == lats.shift(i)).to_numpy()
         return rows.assign(live_stale=same[len(past):].astype("int32")), {"lats": lats.tolist()[-repeats:]}
-    return step
+    return Step(run, [T.StructField("live_stale", T.IntegerType())], T.StructType([T.StructField("lats", T.ArrayType(T.DoubleType()))]))
 
 
-def stale(stream: DataFrame, repeats: int = 2) -> DataFrame:
-    schema = T.StructType([*stream.schema.fields, T.StructField("live_stale", T.IntegerType())])
-    return stateful(stream, stale_step(repeats), schema)
+def stale(stream: DataFrame, repeats: int = 2, delay: str = DELAY, idle_s: float = IDLE_S) -> DataFrame:
+    return ordered(stream, stale_step(repeats), delay, idle_s)
+
+
+_VECTOR = T.ArrayType(T.DoubleType())
 
 
 def buffer_step(column: str, length: int) -> Step:
-    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        past = memory.get("rows", [])
-        values = [*past, *[list(map(float, v)) for v in rows[column]]]
-        full = [values[max(0, i + 1 - length):i + 1] for i in range(len(past), len(values))]
-        rows = rows.assign(vector=[[x for r in b for x in r] for b in full])
-        return rows[[len(b) == length for b in full]], {"rows": values[-(length - 1):]}
-    return step
+    def run(rows: pd.DataFrame, memory: Memory) -> tuple[pd.DataFrame, Memory]:
+        new = np.stack([np.asarray(v, float) for v in rows[column]])
+        past = np.asarray(memory.get("rows") or np.empty((0, new.shape[1])), float).reshape(-1, new.shape[1])
+        cells = np.concatenate([past, new])
+        full = np.arange(len(past) + 1, len(cells) + 1) >= length
+        out = rows[full].reset_index(drop=True)
+        if full.any():
+            windows = np.lib.stride_tricks.sliding_window_view(cells, length, axis=0)[-int(full.sum()):]
+            out["vector"] = list(windows.transpose(0, 2, 1).reshape(len(windows), -1))
+        else:
+            out["vector"] = None
+        return out, {"rows": cells[-(length - 1):].tolist() if length > 1 else []}
+    return Step(run, [T.StructField("vector", _VECTOR)], T.StructType([T.StructField("rows", T.ArrayType(_VECTOR))]))
 
 
-def buffered(stream: DataFrame, column: str = "features", length: int = WINDOW_LENGTH) -> DataFrame:
+def buffered(stream: DataFrame, column: str = "features", length: int = WINDOW_LENGTH, delay: str = DELAY,
+             idle_s: float = IDLE_S) -> DataFrame:
     """Rows once ``length`` are known, with the last ``length`` feature rows as ``vector``."""
-    schema = T.StructType([*stream.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    return stateful(stream, buffer_step(column, length), schema)
+    return ordered(stream, buffer_step(column, length), delay, idle_s)
 
 
 WINDOW_SCHEMA = T.StructType([
     T.StructField("flight_id", T.StringType()), T.StructField("ts", T.TimestampType()),
     T.StructField("lat_deg", T.DoubleType()), T.StructField("lon_deg", T.DoubleType()),
-    T.StructField("terrain", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType())),
+    T.StructField("terrain", T.StringType()), T.StructField("features", _VECTOR),
     T.StructField("live_stale", T.IntegerType()), T.StructField("active", T.StringType()),
-    T.StructField("switched", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType())),
+    T.StructField("switched", T.IntegerType()), T.StructField("vector", _VECTOR),
     T.StructField("home_lat", T.DoubleType()), T.StructField("home_lon", T.DoubleType())])
 
 
-def window_step(count: int, default: str, length: int = WINDOW_LENGTH) -> Step:
+def window_step(schema: T.StructType, count: int, default: str, length: int = WINDOW_LENGTH) -> Step:
     """All per-flight memory of live scoring in one state: latest values, origin, stale flag,
     terrain and the rolling buffer (which a terrain switch does not empty)."""
-    parts = {"stale": stale_step(), "terrain": debounce_step("terrain", count, default),
-             "buffer": buffer_step("features", length)}
+    parts = [stale_step(), debounce_step("terrain", count, default), buffer_step("features", length)]
+    memory = [*_hold_memory(schema), T.StructField("home_lat", T.DoubleType()), T.StructField("home_lon", T.DoubleType()),
+              *[f for p in parts for f in p.memory]]
 
-    def step(rows: pd.DataFrame, memory: dict) -> tuple[pd.DataFrame, dict]:
-        held, new_held = hold_step(rows, memory.get("held", {}))
+    def run(rows: pd.DataFrame, past: Memory) -> tuple[pd.DataFrame, Memory]:
+        held, new = _held(rows, past)
         fixes = held[held["msg_type"] == POSITION].reset_index(drop=True)
         if fixes.empty:
-            return fixes.reindex(columns=WINDOW_SCHEMA.names), {**memory, "held": new_held}
-        home = memory.get("home") or [float(fixes["lat_deg"].iloc[0]), float(fixes["lon_deg"].iloc[0])]
-        new = {"held": new_held, "home": home}
-        for name in ("stale", "terrain"):
-            fixes, new[name] = parts[name](fixes, memory.get(name, {}))
+            return fixes, new
+        if new.get("home_lat") is None:
+            new |= {"home_lat": float(fixes["lat_deg"].iloc[0]), "home_lon": float(fixes["lon_deg"].iloc[0])}
+        home = (new["home_lat"], new["home_lon"])
+        for part in parts[:2]:
+            fixes, told = part.run(fixes, past)
+            new |= told
         fixes = fixes.assign(
             x_m=np.radians(fixes["lat_deg"].astype(float) - home[0]) * EARTH_RADIUS_M,
             y_m=np.radians(fixes["lon_deg"].astype(float) - home[1]) * EARTH_RADIUS_M * np.cos(np.radians(home[0])),
             is_stale_repeat=fixes["live_stale"], connection_ok=1.0, home_lat=home[0], home_lon=home[1])
         cells = fixes.reindex(columns=FEATURES).astype(float).fillna({f: FEATURE_DEFAULTS.get(f, 0.0) for f in FEATURES})
-        fixes, new["buffer"] = parts["buffer"](fixes.assign(features=cells.to_numpy().tolist()), memory.get("buffer", {}))
-        return fixes[WINDOW_SCHEMA.names], new
-    return step
+        fixes, told = parts[2].run(fixes.assign(features=list(cells.to_numpy())), past)
+        return fixes, new | told
+    return Step(run, memory=T.StructType(memory), schema=WINDOW_SCHEMA)
 
 
 def live_windows(messages: DataFrame, elevations: DataFrame | None = None, count: int = DEBOUNCE,
-                 default: str = "flat") -> DataFrame:
-    """Messages -> one scoring window per position fix, slide 1.
+                 default: str = "flat", delay: str = DELAY, idle_s: float = IDLE_S) -> DataFrame:
+    """Messages -> one scoring window per position fix, slide 1; late messages leave flagged, without a window.
 
     Ground elevation comes from a join with the static table; without an entry, the altitude.
     """
@@ -227,54 +272,53 @@ def live_windows(messages: DataFrame, elevations: DataFrame | None = None, count
         known = elevations.groupBy("lat_key", "lon_key").agg(F.max("elevation").alias("_elevation"))
         scaled = keyed.join(known, ["lat_key", "lon_key"], "left")
         elevation = F.coalesce("_elevation", elevation)
-    ready = scaled.withColumn("terrain", terrain_of(elevation))
-    return stateful(ready, window_step(count, default), WINDOW_SCHEMA)
+    ready = scaled.withColumn("terrain", terrain_of(elevation)).withColumn("flight_id", F.col("flight_id").cast("string"))
+    return ordered(ready, window_step(ready.schema, count, default), delay, idle_s, asks=POSITION)
+
 
+def scored_windows(windows: DataFrame, models: dict[str, PipelineModel], default: str = "flat",
+                   area: tuple[PipelineModel, tuple[float, float, float, float]] | None = None) -> DataFrame:
+    """Gate, area model at home, else the active terrain's model; before smoothing.
 
-def score_batch(windows: DataFrame, models: dict[str, PipelineModel], default: str = "flat",
-                area: tuple[PipelineModel, tuple[float, float, float, float]] | None = None) -> DataFrame:
-    """Gate, area model at home, else the active terrain's model; before smoothing."""
-    home = F.coalesce(in_box(F.col("home_lat"), F.col("home_lon"), *area[1]), F.lit(False)) if area else F.lit(False)
-    parts = by_routed_model(windows, models, default, home, area[0] if area else None)
+    Every model adds its probability as a column, so the stream is read once however many there are.
+    """
+    home = F.coalesce(in_box(F.col("home_lat"), F.col("home_lon"), *area[1]), F.lit(False)) if area else None
+    rows = routed_model(windows.filter(f"{LATE} = 0").drop(LATE), models, default, home)
+    chosen = F.lit(None).cast("double")
+    for i, (name, model) in enumerate([*models.items(), *([("area", area[0])] if area else [])]):
+        rows = predicted(model, rows, name.endswith(":nn")).drop("prediction").withColumnRenamed("anom_proba", f"_proba{i}")
+        chosen = F.when(F.col("model") == name, F.col(f"_proba{i}")).otherwise(chosen)
     at = lambda f: F.element_at("features", FEATURES.index(f) + 1)
-    return parts.withColumn("raw_proba", ground_gate(at("armed"), at("rel_alt_m"), at("vel_m_s"), F.col("anom_proba")))
+    gated = ground_gate(at("armed"), at("rel_alt_m"), at("vel_m_s"), chosen)
+    return rows.withColumn("raw_proba", gated).drop(*[c for c in rows.columns if c.startswith("_proba")])
 
 
-def score_stream(windows: DataFrame, models: dict[str, PipelineModel], folder: str, default: str = "flat",
-                 area=None, threshold: float = ALERT_THRESHOLD, alpha: float = SMOOTHING):
-    """Start scoring: per micro-batch, scores to ``folder/scores`` and alerts to ``folder/alerts``.
+def live_scores(windows: DataFrame, models: dict[str, PipelineModel], default: str = "flat", area=None,
+                alpha: float = SMOOTHING, idle_s: float = IDLE_S) -> DataFrame:
+    """Windows scored and smoothed, all inside the stream: window state, models and smoothing state are chained.
 
-    The smoothed value that each flight ended with is written as one table per batch; a
-    repeated batch reads its predecessor's table again, so results do not depend on retries.
+    The windows come in order of time from the first state, so the second holds nothing back.
     """
+    scored = scored_windows(windows, models, default, area).select(
+        "flight_id", "ts", "lat_deg", "lon_deg", "model_terrain", "model_type", "switched", "features", "raw_proba")
+    return ordered(scored, smooth_step("raw_proba", alpha), None, idle_s).drop(LATE)
+
+
+def score_stream(windows: DataFrame, models: dict[str, PipelineModel], folder: str, default: str = "flat",
+                 area=None, threshold: float = ALERT_THRESHOLD, alpha: float = SMOOTHING):
+    """Start scoring: per micro-batch, log rows to ``folder/scores``, alerts to ``folder/alerts`` and all that is
+    known to ``folder/windows``. A repeated batch overwrites its own files; state is only in the checkpoint."""
     def flush(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # Every model reads the batch; without this each read would repeat the state step.
-        batch.persist()
-        scored = score_batch(batch, models, default, area)
-        if number > 0:
-            past = spark.read.schema("flight_id string, last double").parquet(f"{folder}/state/{number - 1}")
-        else:
-            past = spark.createDataFrame([], "flight_id string, last double")
-        seeded = scored.join(past, "flight_id", "left")
-        schema = T.StructType([*seeded.schema.fields, T.StructField("smoothed", T.DoubleType())])
-        step = smooth_step("raw_proba", alpha)
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            last = rows["last"].iloc[0]
-            return step(rows.sort_values("ts", kind="stable"), {} if pd.isna(last) else {"last": last})[0]
-        keep = ["flight_id", "ts", "lat_deg", "lon_deg", "model_terrain", "model_type", "switched", "features", "smoothed"]
-        seeded.groupBy("flight_id").applyInPandas(run, schema).select(*keep).write.mode("overwrite").parquet(
-            f"{folder}/smoothed/{number}")
-        batch.unpersist()
-        done = spark.read.parquet(f"{folder}/smoothed/{number}")
-        ends = done.groupBy("flight_id").agg(F.max_by("smoothed", "ts").alias("_new"))
-        (past.join(ends, "flight_id", "full_outer").select("flight_id", F.coalesce("_new", "last").alias("last"))
-         .write.mode("overwrite").parquet(f"{folder}/state/{number}"))
-        log_format(_log_rows(done)).write.mode("overwrite").option("header", True).csv(f"{folder}/scores/batch={number}")
-        (done.filter(alert(F.col("smoothed"), threshold)).select("flight_id", "ts", F.col("smoothed").alias("anom_proba"))
-         .write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}"))
-    return (windows.writeStream.foreachBatch(flush).option("checkpointLocation", f"{folder}/checkpoint"))
+        batch.persist()  # three writes, one run of the models
+        try:
+            batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={number}")
+            log_format(_log_rows(batch)).write.mode("overwrite").option("header", True).csv(f"{folder}/scores/batch={number}")
+            (batch.filter(alert(F.col("smoothed"), threshold)).select("flight_id", "ts", F.col("smoothed").alias("anom_proba"))
+             .write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}"))
+        finally:
+            batch.unpersist()
+    return (live_scores(windows, models, default, area, alpha).writeStream.foreachBatch(flush)
+            .option("checkpointLocation", f"{folder}/checkpoint"))
 
 
 def _log_rows(done: DataFrame) -> DataFrame:
