@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, join_facts, lane, running_sum, with_chunk, with_halo, with_prefix, without_halo)
+    CHUNK, KEYS, join_facts, lane, latest, running_sum, with_chunk, with_halo, with_prefix, without_halo)
 from flightwatch.schema import ALERT_THRESHOLD, GROUND_PROBABILITY, SMOOTHING
 
 
@@ -32,52 +33,79 @@ def states_after(y: np.ndarray, gain: float, start: float | None) -> np.ndarray:
     return pd.Series(np.concatenate([[start], y])).ewm(alpha=gain, adjust=False).mean().to_numpy()[1:]
 
 
+#: As many values at a flight's beginning are followed one by one.
+HEAD = 16
+
+
 def _recurrence(df: DataFrame, column: str, out: str, gain: float, seed: float | None,
                 order: str, axis: Column | None) -> DataFrame:
-    """state = gain * x + (1 - gain) * state, along each flight; a null keeps the state as it is.
-
-    Over a chunk the state is an affine function of the state before it, so a chunk is first reduced to
-    (number of values, state from zero, state from its own first value). These few numbers are followed
-    chunk by chunk, and every chunk then starts from its exact state: results do not depend on the chunk
-    width. ``seed`` is the state before the first row; None starts from the first value itself. Only keys,
-    order and value pass through Python; ``order`` must be unique within a flight.
+    """state = gain * x + keep * state with keep = 1 - gain, along each flight; an unknown x keeps the state as it is.
+
+    Known values of a chunk are numbered and cut into blocks short enough that keep ** -j stays a fine double: in a
+    block the state is keep ** j * (state before + running sum of gain * x * keep ** -j), a plain window sum. Each
+    block is one affine map (keep ** n, offset). The maps of a flight, one row per block, are folded up to each
+    block over those before it that still count: beyond ``reach`` values keep ** n is less than any double can
+    show. So results do not depend on the chunk width. The first HEAD values of a flight, where the state is still
+    a short decimal, are followed one by one, so that they round as in a plain loop. ``seed`` is the state before the first row; with None the
+    first known value is its own state, and rows before it have none. ``order`` must be unique within a flight.
     """
+    if not 0 < gain <= 1:
+        raise ValueError("the gain must be above 0 and at most 1")
     rows = with_chunk(df, axis)
-    narrow = rows.select(*KEYS, CHUNK, F.col(order).alias("_order"), F.col(column).cast("double").alias("_x"))
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    place = ", ".join(f"{k} {kinds[k]}" for k in (*KEYS, CHUNK))
-
-    def reduce(chunk: pd.DataFrame) -> pd.DataFrame:
-        y = chunk.sort_values("_order", kind="stable")["_x"].dropna().to_numpy()
-        head = chunk[[*KEYS, CHUNK]].head(1)
-        last = lambda s: s[-1] if len(s) else np.nan
-        return head.assign(_n=len(y), _zero=last(states_after(y, gain, 0.0)), _own=last(states_after(y, gain, None)))
-
-    ends = narrow.groupBy(*KEYS, CHUNK).applyInPandas(reduce, f"{place}, _n long, _zero double, _own double")
-
-    def follow(chunks: pd.DataFrame) -> pd.DataFrame:
-        state, starts = np.nan if seed is None else seed, []
-        chunks = chunks.sort_values(CHUNK)
-        for n, zero, own in zip(chunks["_n"], chunks["_zero"], chunks["_own"], strict=True):
-            starts.append(state)
-            if n:
-                state = own if np.isnan(state) else (1 - gain) ** n * state + zero
-        return chunks[[*KEYS, CHUNK]].assign(_start=starts)
-
-    starts = ends.groupBy(*KEYS).applyInPandas(follow, f"{place}, _start double")
-
-    def scan(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values("_order", kind="stable")
-        known = chunk["_x"].notna().to_numpy()
-        start = chunk["_start"].iloc[0]
-        state = np.full(len(chunk), np.nan)
-        state[known] = states_after(chunk["_x"].to_numpy()[known], gain, start)
-        return chunk[[*KEYS, CHUNK, "_order"]].assign(_state=pd.Series(state, chunk.index).ffill().fillna(start))
-
-    states = narrow.join(starts.hint("shuffle_hash"), [*KEYS, CHUNK]).groupBy(*KEYS, CHUNK).applyInPandas(
-        scan, f"{place}, _order {kinds['_order']}, _state double")
-    states = states.select(*KEYS, CHUNK, F.col("_order").alias(order), F.nanvl("_state", F.lit(None)).alias(out))
-    return rows.join(states, [*KEYS, CHUNK, order], "left").drop(CHUNK).select(*df.drop(CHUNK).columns, out)
+    x = F.col(column).cast("double")
+    x = F.when(x.isNotNull() & ~F.isnan(x), x)
+    if gain == 1:
+        last = with_prefix(rows, {out: latest(x)}, order)
+        return last.select(*df.drop(CHUNK).columns, F.coalesce(out, F.lit(seed)).alias(out))
+    keep = 1.0 - gain
+    fade = -math.log(keep)
+    block, reach = max(1, int(230 / fade)), max(1, math.ceil(700 / fade))
+    power = lambda n: F.pow(F.lit(keep), n)
+    w = lane(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = (rows.withColumn("_n", F.count(x).over(upto))
+                .withColumn("_block", F.floor(F.greatest(F.col("_n") - 1, F.lit(0)) / block).cast("int"))
+                .withColumn("_j", (F.col("_n") - F.col("_block") * block).cast("double")))
+    grown = gain * x * power(-F.col("_j"))
+
+    # One row per block: its map, how many values lie before it, and the flight's first value.
+    maps = (numbered.groupBy(*KEYS, CHUNK, "_block")
+            .agg(F.count(x).alias("_k"), F.sum(grown).alias("_sum"), F.min_by(x, F.when(x.isNotNull(), F.col(order))).alias("_own"),
+                 F.collect_list(F.when(x.isNotNull() & (F.col("_j") <= HEAD), F.struct(F.col(order).alias("at"), x.alias("x")))).alias("_few")))
+    along = Window.partitionBy(*KEYS).orderBy(CHUNK, "_block")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.select(*KEYS, CHUNK, "_block", "_k", "_few",
+                       F.coalesce(F.col("_sum") * power(F.col("_k")), F.lit(0.0)).alias("_offset"),
+                       F.sum("_k").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_known"),
+                       (F.lit(seed) if seed is not None else F.first("_own", ignorenulls=True).over(
+                           along.rowsBetween(Window.unboundedPreceding, 0))).cast("double").alias("_seed"))
+    near = Window.partitionBy(*KEYS).orderBy("_known").rangeBetween(-(reach + block), -1)
+    folded = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("_known", "_k", "_offset")).over(near)),
+        F.when(F.col("_known") - F.col("_k") <= reach, F.col("_seed")).otherwise(0.0),
+        lambda state, m: power(m["_k"]) * state + m["_offset"])
+    after = F.when(F.col("_k") > 0, power(F.col("_k")) * F.col("_before") + F.col("_offset"))
+    starts = (maps.withColumn("_before", folded).withColumn("_after", after)
+              .withColumn("_start", F.coalesce(F.last("_after", ignorenulls=True).over(past), "_seed"))
+              .groupBy(*KEYS, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_block", "_start"))).alias("_starts"),
+                                         F.min(F.col("_known") - F.col("_k")).alias("_earlier")))
+    # As many blocks with values as may hold the first HEAD ones.
+    heads = (maps.filter("_k > 0").withColumn("_nth", F.row_number().over(along)).filter(F.col("_nth") <= HEAD)
+             .groupBy(*KEYS).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_few"))), 1, HEAD)["x"].alias("_few")))
+    first = F.struct(F.lit(seed).cast("double").alias("state"), F.array().cast("array<double>").alias("states"))
+    step = lambda past, v: F.coalesce(gain * v + keep * past["state"], v)
+    states = F.aggregate("_few", first, lambda past, v: F.struct(
+        step(past, v).alias("state"), F.concat(past["states"], F.array(step(past, v))).alias("states")), lambda done: done["states"])
+    starts = starts.join(heads.select(*KEYS, states.alias("_head")), [*KEYS], "left")
+    within = Window.partitionBy(*KEYS, CHUNK, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = numbered.withColumn("_sum", F.sum(grown).over(within))
+    begun = F.element_at("_starts", F.col("_block") + 1)["_start"]
+    # Before a flight's first value there is no state but the seed.
+    state = (F.when(F.col("_earlier") + F.col("_n") == 0, F.lit(seed).cast("double")).when(F.col("_j") == 0, begun)
+             .when(F.col("_earlier") + F.col("_n") <= HEAD, F.element_at("_head", (F.col("_earlier") + F.col("_n")).cast("int")))
+             .otherwise(power(F.col("_j")) * (begun + F.col("_sum"))))
+    return (local.join(starts.hint("shuffle_hash"), [*KEYS, CHUNK], "left")
+            .select(*df.drop(CHUNK).columns, state.alias(out)))
 
 
 def smooth(df: DataFrame, column: str, alpha: float = SMOOTHING, out: str = "smoothed",

@@ -113,3 +113,27 @@ def test_split_of_flights_with_like_names(spark):
     got = chronological_split(spark.createDataFrame(rows, "flight_id string, win long")).collect()
     assert [(r["flight_id"], r["win"]) for r in sorted(got, key=lambda r: r["ordinal"])] == sorted(rows)
     assert sorted(r["ordinal"] for r in got) == list(range(len(rows)))
+
+
+@pytest.mark.parametrize("gain, seed", [(0.3, None), (0.05, 1.0), (0.999, None), (1.0, None), (1.0, 0.5)])
+def test_recurrence_is_free_of_chunk_width(spark, gain, seed):
+    import random
+
+    from flightwatch.operators.scoring import _recurrence
+    from flightwatch.operators.timeline import chunk_width
+    rng = random.Random(3)
+    rows = [("a", i * 0.1, None if i < 3 or rng.random() < 0.3 or 900 < i < 1200 else rng.choice([0.0, 1.0, -5.0, float("nan"), 1e9])) for i in range(3000)]
+    rows += [("b", 1.0, None), ("b", 2.0, None), ("c", 5.0, 2.0)]
+    want, state, flight = {}, None, None
+    for f, t, x in rows:
+        state = seed if f != flight else state
+        flight = f
+        if x is not None and x == x:
+            state = x if state is None else gain * x + (1 - gain) * state
+        want[f, t] = state
+    df = spark.createDataFrame(rows, "flight_id string, time_s double, x double").repartition(3).cache()
+    for width in (0.7, 7.0, 3600.0):
+        with chunk_width(width):
+            got = {(r["flight_id"], r["time_s"]): r["y"] for r in _recurrence(df, "x", "y", gain, seed, "time_s", None).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == (None if v is None else pytest.approx(v, rel=1e-9, abs=1e-12)) for k, v in want.items())
