@@ -95,7 +95,7 @@ pieces AS (SELECT flight_id, seg, max(seq) AS b, greatest(min(seq) - 1, 0) AS a
 """, recursive=True))
 def w14(spark, sf):
     t = raw(spark, sf).withColumn("terrain", T.terrain_of(F.col("alt_m")))
-    return terrain_segments(t, 0.1, stretches_per_block=3).select(
+    return terrain_segments(t, 0.1).select(
         "flight_id", "segment_id", r6("start_time_s"), r6("end_time_s"), F.round("start_lat", 8).alias("start_lat"),
         F.round("end_lat", 8).alias("end_lat"), "distance_km", "terrain_type")
 

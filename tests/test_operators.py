@@ -119,7 +119,7 @@ def test_path_cuts_equal_a_loop(spark, blocks):
                 start = d
                 want.add((f, float(i)))
     df = spark.createDataFrame(data, "flight_id int, time_s double, path_km double")
-    got = {(r["flight_id"], r["time_s"]) for r in path_cuts(df, 0.25, stretches_per_block=blocks).collect()}
+    got = {(r["flight_id"], r["time_s"]) for r in path_cuts(df, 0.25, block_rows=blocks, fan=2).collect()}
     assert got == want
 
 
