@@ -168,8 +168,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, shard_blocks
                      F.explode(F.sequence(F.floor(begin / full), F.floor((begin + F.greatest(F.col("size"), F.lit(1)) - 1) / full)))
                      .alias("shard")))
     known = settled(known)
-    plans = _plans(known.filter("size > 0").groupBy("place", "shard").agg(
-        F.first("source_size").alias("source_size"), F.first("quota").alias("quota")), block, shard_blocks, repeats, seed)
+    # Few bytes, much work: a stated number of partitions is not put together again by size.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = known.filter("size > 0").groupBy("place", "shard").agg(
+        F.first("source_size").alias("source_size"), F.first("quota").alias("quota"))
+    plans = settled(_plans(shards.repartition(spread, "place", "shard"), block, shard_blocks, repeats, seed))
+    known = known.repartition(spread, "place", "shard")
     plans = plans.withColumnsRenamed({"place": "_place", "shard": "_shard"})
     low = F.greatest(F.col("begin"), F.col("shard") * full)
     high = F.least(F.col("begin") + F.col("size"), (F.col("shard") + 1) * full)
