@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightwatch.operators.timeline import CHUNK, running_sum, whole_sum, with_prefix
+from flightwatch.operators.timeline import CHUNK, running_sum, settled, whole_sum, with_prefix
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -55,20 +55,22 @@ def overall_report(matrix: DataFrame) -> DataFrame:
         F.col("accuracy") - F.col("_chance"), 1 - F.col("_chance")), F.lit(0.0))).drop("_one", "_chance")
 
 
-def roc_points(df: DataFrame, score: str = "score", label: str = "label", cells: int = 1000) -> DataFrame:
+def roc_points(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row per distinct score, highest first: true and false positives so far.
 
-    Rows collapse to distinct scores before anything is ordered; scores are then ordered
-    inside cells of the score range, and only one row per cell is ordered globally.
+    Rows collapse to distinct scores before anything is ordered. These are dealt into ranges by sampled bounds, so
+    that scores crowding in a narrow band spread as well as any others; sums run inside a range, and only one row
+    per range is ordered globally. Scores that are null count as no score and are left out.
     """
-    counts = (df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("_y"))
-              .groupBy("score").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
-              .withColumn("_down", -F.col("score")))
-    axis = F.floor(F.col("_down") * cells).cast("long")
-    return with_prefix(counts, {
+    counts = settled(df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("_y"))
+                     .filter("score IS NOT NULL").groupBy("score")
+                     .agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
+                     .withColumn("_down", -F.col("score")))
+    ranged = settled(counts.repartitionByRange("_down").withColumn(CHUNK, F.spark_partition_id()))
+    return with_prefix(ranged, {
         "tp": running_sum(F.col("pos")), "fp": running_sum(F.col("neg")),
         "positives": whole_sum(F.col("pos")), "negatives": whole_sum(F.col("neg"))},
-        order="_down", axis=axis, keys=()).drop("_down", CHUNK)
+        order="_down", keys=()).drop("_down", CHUNK)
 
 
 def ranking_report(points: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwatch.operators.timeline import (
-    CHUNK, KEYS, join_facts, lane, time_axis, with_halo, without_halo)
+    CHUNK, KEYS, Prefix, chunk_seconds, join_facts, lane, row_number, settled, time_axis, with_halo, with_prefix, without_halo)
 
 
 def segments(df: DataFrame, label: str = "label", reason: Column | None = None) -> DataFrame:
@@ -58,31 +60,83 @@ def _cells(start: Column, end: Column, cell_s: float) -> Column:
     return F.sequence(first, F.greatest(first, F.floor(end / F.lit(cell_s)).cast("long")))
 
 
-def labels_from_segments(df: DataFrame, segs: DataFrame, closed: str = "left",
-                         order: str = "start_s", cell_s: float = 60.0, shared: bool = False,
-                         salts: int = 32) -> DataFrame:
+#: Dyadic levels of a flight's boundaries: enough for 2^40 of them.
+_LEVELS = 40
+
+
+def _dyadic(first: Column, after: Column) -> Column:
+    """The aligned nodes (level, number of its size) that make up the places first .. after - 1: two per level at most."""
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        low, high = F.ceil(first / size), F.floor(after / size)
+        node = lambda n, wanted: F.when((low < high) & wanted, F.struct(level.cast("int").alias("level"), n.cast("long").alias("node")))
+        return F.array(node(low, low % 2 == 1), node(high - 1, high % 2 == 1))
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), at)), lambda n: n.isNotNull())
+
+
+def winning_stretches(segs: DataFrame, closed: str = "left", order: str = "start_s", keys: Sequence[str] = KEYS) -> DataFrame:
+    """``time_s, won``: from that instant on, until the next one of the flight, the segment that is last by ``order``
+    among those that hold has this label; 0 where none holds or its label is not a number.
+
+    A segment costs two boundaries however long it is. Boundaries are numbered along the flight; between two of
+    them the same segments hold. A segment is laid on the few aligned nodes that cover its numbers, each place asks
+    the nodes above it, and the greatest answer wins: any depth of overlap, no list of open segments.
+    """
+    end = F.col("end_s").cast("double")
+    # Closed segments end just after their last instant: at the next double.
+    end = end if closed == "left" else end + F.greatest(F.abs(end) * (0.75 * 2.0 ** -52), F.lit(5e-324))
+    held = settled(segs.select(*keys, F.col("start_s").cast("double").alias("_from"), end.alias("_to"), F.struct(
+        F.col(order).alias("no"), F.col("start_s").alias("a"), F.col("end_s").alias("b"), label_number(F.col("label")).alias("v")).alias("_s"))
+        .filter("_from < _to").distinct())
+    edges = held.select(*keys, F.explode(F.array("_from", "_to")).alias("time_s")).distinct()
+    numbered = settled(with_prefix(edges, {"_r": row_number()}, keys=keys).drop(CHUNK))
+    most = numbered.agg(F.max("_r")).first()[0] or 1
+    place = lambda name: numbered.withColumnsRenamed({"time_s": name, "_r": f"{name}_r"})
+    spans = held.join(place("_from"), [*keys, "_from"]).join(place("_to"), [*keys, "_to"])
+    nodes = (spans.select(*keys, "_s", F.explode(_dyadic(F.col("_from_r"), F.col("_to_r"))).alias("_n"))
+             .groupBy(*keys, F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).agg(F.max("_s").alias("_s")))
+    above = numbered.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(most.bit_length()))))
+    above = above.withColumn("_node", F.expr("shiftright(_r, _level)"))
+    return (above.join(nodes, [*keys, "_level", "_node"], "left").groupBy(*keys, "time_s")
+            .agg(F.max("_s").alias("_s")).select(*keys, "time_s", F.coalesce("_s.v", F.lit(0)).alias("won")))
+
+
+def _since(df: DataFrame, stretches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``won`` of the latest stretch that began at or before the row's time."""
+    rows = df.withColumn("_asks", F.lit(1)).unionByName(stretches.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+    known = F.when(F.col("_asks") == 0, F.col("won"))
+    latest_won = Prefix(
+        part=lambda at: F.max_by(known, F.when(known.isNotNull(), F.col("time_s"))),
+        carry=lambda p, w: F.last(p, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        local=lambda w: F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        merge=lambda loc, car: F.coalesce(loc, car))
+    carried = with_prefix(rows.withColumn("_at", F.struct("time_s", "_asks")), {"_won": latest_won}, order="_at", axis=time_axis(df), keys=keys)
+    return carried.filter("_asks = 1").select(*df.columns, F.col("_won").alias("won"))
+
+
+def labels_from_segments(df: DataFrame, segs: DataFrame, closed: str = "left", order: str = "start_s",
+                         shared: bool = False) -> DataFrame:
     """Label of the last segment (by ``order``) holding the row's time, else 0.
 
-    Segments are cut into time cells and gathered per (flight, cell), so rows find theirs by
-    an equality join and are moved once. ``shared`` segments hold for every flight; their
-    cells are copied ``salts`` times because all flights meet in the same cells.
+    Segments become stretches that do not overlap (``winning_stretches``), and every row takes the latest one that
+    has begun: one pass over rows and boundaries together, in chunks. ``shared`` segments hold for every flight;
+    their boundaries are then copied to the chunks of time in which a flight has rows, with what holds at its start.
     """
-    group = ["_cell", "_salt"] if shared else [*KEYS, "_cell"]
-    pieces = segs.withColumn("_cell", F.explode(_cells(F.col("start_s"), F.col("end_s"), cell_s)))
-    rows = df.drop("label").withColumn("_cell", F.floor(F.col("time_s") / F.lit(cell_s)).cast("long"))
-    if shared:
-        pieces = pieces.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int"))
-    # Copies of a segment collapse before anything is gathered.
-    single = pieces.select(*group, F.struct(
-        F.col(order).alias("no"), F.col("start_s").alias("a"), F.col("end_s").alias("b"),
-        label_number(F.col("label")).alias("v")).alias("_s")).distinct()
-    per_cell = single.groupBy(*group).agg(F.sort_array(F.collect_list("_s")).alias("_segs"))
-    t = F.col("time_s")
-    holding = F.filter("_segs", lambda s: (t >= s["a"]) & ((t < s["b"]) if closed == "left" else (t <= s["b"])))
-    return (rows.join(per_cell, group, "left")
-            .withColumn("label", F.coalesce(F.try_element_at(holding, F.lit(-1))["v"], F.lit(0)))
-            .drop("_segs", "_cell", "_salt"))
+    rows = df.drop("label")
+    plain = rows.withColumnRenamed(CHUNK, "_chunk_before") if CHUNK in rows.columns else rows
+    if not shared:
+        stretches = winning_stretches(segs, closed, order)
+    else:
+        width = F.lit(chunk_seconds(df))
+        whole = settled(winning_stretches(segs, closed, order, keys=()))
+        met = settled(plain.select(*KEYS, time_axis(df).alias("_met")).distinct())
+        starts = met.select("_met").distinct().withColumn("time_s", (F.col("_met") * width).cast("double"))
+        opening_ = _since(starts, whole, keys=()).filter("won IS NOT NULL")
+        inside = met.join(whole.withColumn("_met", time_axis(whole)), "_met")
+        begun = met.join(opening_, "_met").join(whole.select("time_s").withColumn("_edge", F.lit(1)), "time_s", "left").filter("_edge IS NULL")
+        stretches = inside.select(*KEYS, "time_s", "won").unionByName(begun.select(*KEYS, "time_s", "won"))
+    labelled = _since(plain, stretches, KEYS).withColumn("label", F.coalesce(F.col("won"), F.lit(0))).drop("won")
+    return labelled.withColumnRenamed("_chunk_before", CHUNK) if CHUNK in rows.columns else labelled
 
 
 def windows_with_rows(windows: DataFrame, rows: DataFrame, cell_s: float = 4.0) -> DataFrame:

@@ -70,7 +70,7 @@ for _closed, _op in (("left", "<"), ("both", "<=")):
  GROUP BY t.flight_id, seq""", extra=_SEGMENTS_SQL))
     def interval(spark, sf, closed=_closed):
         t = telemetry(spark, sf)
-        return S.labels_from_segments(t, _segments(t), closed=closed, cell_s=7.0).select(*KEY, "label")
+        return S.labels_from_segments(t, _segments(t), closed=closed).select(*KEY, "label")
 
 
 @query("j04_a11_windows_with_rows", sql("windows", """

@@ -190,3 +190,23 @@ def test_features_have_the_model_order(spark):
     import flightwatch.plans.all_queries  # noqa: F401
     columns = QUERIES["p20_p23_message_features"](spark, SF).columns
     assert columns[-34:] == FEATURES
+
+
+def test_overlapping_segments_equal_a_loop(spark):
+    """Nested, equal, crossing, touching, empty and year-long segments; labels that are no numbers; both ends open or closed."""
+    rng = random.Random(11)
+    segs = [(f, a, a + rng.choice([0.0, 0.5, 3.0, 40.0, 3e7]), rng.choice(["0", "1", "2", "ignore"])) for f in ("a", "b")
+            for a in [rng.randrange(0, 80) / 2 for _ in range(40)]]
+    segs += [("a", None, 5.0, "1"), ("b", 3.0, None, "1"), ("c", 9.0, 4.0, "1")]
+    rows = [(f, i / 4) for f in ("a", "b", "c", "d") for i in range(-8, 400)]
+    df = spark.createDataFrame(rows, "flight_id string, time_s double").withColumn("kept", F.col("time_s") * 2)
+    sdf = spark.createDataFrame(segs, "flight_id string, start_s double, end_s double, label string")
+    number = {"0": 0, "1": 1, "2": 2, "ignore": None}
+    for closed in ("left", "both"):
+        for shared in (False, True):
+            got = {(r["flight_id"], r["time_s"]): r["label"] for r in G.labels_from_segments(df, sdf, closed=closed, shared=shared).collect()}
+            for f, t in rows:
+                holding = [(a, a, b, -1 if number[v] is None else number[v]) for g, a, b, v in segs if (shared or g == f) and a is not None
+                           and b is not None and a <= t and (t < b if closed == "left" else t <= b)]
+                want = max(max(holding)[3], 0) if holding else 0
+                assert got[f, t] == want, (closed, shared, f, t)
