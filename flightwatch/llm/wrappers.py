@@ -16,6 +16,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ APART_NAMES = set("ad ads adv advert advertisement advertising sponsor sponsored
                   "overlay promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment "
                   "comments reply replies respond disqus discussion share sharing social related recommended newsletter "
                   "subscribe subscription signup login notice notices alert widget pagination pager toolbar skip".split())
+#: These names also hold where an article begins inside; elements of the text itself are never judged by their name.
+READERS = set("comment comments reply replies respond disqus discussion".split())
+TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption td th tr tbody thead table body html".split())
 APART_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -54,44 +58,67 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|$)", re.I)
 
 
-def _look(attributes: str) -> tuple[str, bool]:
-    """The class of an element and whether its attributes set it apart from the text."""
+#: How an element is set apart: not, by the name of its class or id, by a name that means readers' words, by its role.
+OPEN, NAMED, READ, CLOSED = range(4)
+
+
+def _look(tag: str, attributes: str) -> tuple[str, int]:
+    """The class of an element and how its attributes set it apart from the text. Only whole names count."""
     if not attributes.strip(" /\n\t"):
-        return "", False
-    name, apart = "", False
+        return "", OPEN
+    name, apart = "", OPEN
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "class":
             name = " ".join(value.split())
         if key in ("class", "id"):
-            apart |= not APART_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
-        elif key == "role":
-            apart |= value in APART_ROLES
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (
+            if tag not in TEXT and tag not in INLINE:
+                names = set(value.split())
+                apart = max(apart, OPEN if APART_NAMES.isdisjoint(names) else NAMED if READERS.isdisjoint(names) else READ)
+        elif (key == "role" and value in APART_ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (
                 key == "style" and re.search(r"display\s*:\s*none", value)):
-            apart = True
+            apart = CLOSED
     return name, apart
 
 
+def step(path: int, key: str) -> int:
+    """The path of a child: a hash, so that paths cost the same however deep they are."""
+    return xxhash.xxh64_intdigest(key, path)
+
+
 class Element:
-    __slots__ = ("apart", "children", "key", "link", "path", "tag", "texts")
+    """``path`` is a hash of the keys from the root; ``block`` the nearest element that is not inline, itself included;
+    ``inside`` tells whether it lies in the wrapper's place, ``article`` in an article."""
+
+    __slots__ = ("apart", "article", "block", "children", "inside", "key", "link", "path", "tag", "texts")
 
-    def __init__(self, tag: str, key: str, path: str, apart: bool, link: bool):
+    def __init__(self, tag: str, key: str, path: int, apart: int, link: bool, up: Element | None = None):
         self.tag, self.key, self.path, self.apart, self.link = tag, key, path, apart, link
+        self.inside = up is not None and up.inside
+        self.article = tag in ("article", "main") or (up is not None and up.article)
+        self.block = up.block if up is not None and tag in INLINE else self
         self.children: list[Element] = []
         self.texts: list[str] = []
 
 
-def read_page(html: str, tree: bool = False):
+def read_page(html: str, tree: bool = False, place: int | None = None):
     """The blocks of a page in order, each ``(element, text, share of it in links)``; with ``tree`` also its root.
 
     A block is the text between two tags that are not inline. Missing end tags are supplied as browsers do for
-    paragraphs, list items and table cells; a page that breaks off is read as far as it goes.
+    paragraphs, list items and table cells; a page that breaks off is read as far as it goes. Work and memory grow
+    with the page's length alone, however deep it nests. At ``place`` (the path of the wrapper's place), and where
+    an article begins, names of the elements around no longer set apart.
     """
-    root = Element("", "", "", False, False)
+    root = Element("", "", 0, OPEN, False)
     stack, blocks, part, linked = [root], [], [], 0
+    open_tags: dict[str, int] = {}
     owner = root
 
+    def cut(at: int):
+        for gone in stack[at:]:
+            open_tags[gone.tag] -= 1
+        del stack[at:]
+
     def close_block():
         nonlocal part, linked
         if part:
@@ -107,7 +134,7 @@ def read_page(html: str, tree: bool = False):
         if text is not None:
             top = stack[-1]
             if not part:
-                owner = next(e for e in reversed(stack) if e.tag not in INLINE)
+                owner = top.block
             part.append(text)
             if top.link:
                 linked += len(text)
@@ -128,9 +155,9 @@ def read_page(html: str, tree: bool = False):
         if tag not in INLINE:
             close_block()
         if m[2] or m[5]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break
@@ -138,55 +165,72 @@ def read_page(html: str, tree: bool = False):
         attributes = m[4] or m[7] or ""
         if tag in CLOSES_P or tag in ENDS_LIKE:
             ends = ENDS_LIKE.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_tags.get(t) for t in ends) else ():
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in HOLDERS:
                     break
         if tag in VOID or attributes.endswith("/") and tag not in CONTAINERS:
             continue
         up = stack[-1]
-        name, apart = _look(attributes)
+        name, apart = _look(tag, attributes)
         key = f"{tag}.{name}" if name else tag
-        new = Element(tag, key, up.path if tag in INLINE else f"{up.path}/{key}", up.apart or apart or tag in APART,
-                      up.link or tag == "a")
+        path = up.path if tag in INLINE else step(up.path, key)
+        above = up.apart
+        if (path == place and tag not in INLINE) or (above == NAMED and tag in ("article", "main")):
+            above = apart = OPEN
+        new = Element(tag, key, path, max(above, CLOSED if tag in APART else apart), up.link or tag == "a", up)
+        new.inside |= path == place and tag not in INLINE
         if tree and tag not in INLINE:
-            next(e for e in reversed(stack) if e.tag not in INLINE).children.append(new)
+            up.block.children.append(new)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         stack.append(new)
     close_block()
     return (blocks, root) if tree else blocks
 
 
+def _table(a: Element, b: Element, sizes: dict) -> list[list[int]]:
+    """Best sizes of matching the first i children of one with the first j of the other."""
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + sizes.get((id(x), id(y)), 0))
+    return best
+
+
 def match_trees(a: Element, b: Element) -> tuple[int, list[tuple[Element, Element]]]:
-    """Size and pairs of the best simple tree matching: roots agree, children match in order."""
+    """Size and pairs of the best simple tree matching: roots agree, children match in order. Without recursion:
+    pairs of nodes are sized from the leaves up, then the matching is read from the roots down."""
     if a.key != b.key:
         return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    found = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            size, pairs = match_trees(a.children[i - 1], b.children[j - 1])
-            found[i, j] = size, pairs
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size)
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        size, below = found[i, j]
-        if size and best[i][j] == best[i - 1][j - 1] + size:
-            pairs += below
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, pairs
-
-
-def _walk(e: Element):
-    yield e
-    for c in e.children:
-        yield from _walk(c)
+    met = [(a, b)]
+    for x, y in met:  # grows while it is read
+        met += [(c, d) for c in x.children for d in y.children if c.key == d.key]
+    sizes: dict[tuple[int, int], int] = {}
+    for x, y in reversed(met):
+        sizes[id(x), id(y)] = _table(x, y, sizes)[-1][-1] + 1
+    pairs = [(a, b)]
+    for x, y in pairs:
+        best, i, j = _table(x, y, sizes), len(x.children), len(y.children)
+        while i and j:
+            size = sizes.get((id(x.children[i - 1]), id(y.children[j - 1])), 0)
+            if size and best[i][j] == best[i - 1][j - 1] + size:
+                pairs.append((x.children[i - 1], y.children[j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return sizes[id(a), id(b)], pairs
+
+
+def _walk(e: Element) -> list[Element]:
+    """The element and all below it, each before its children."""
+    out = [e]
+    for x in out:
+        out += x.children
+    return out
 
 
 def induce(pages: list[str]) -> dict:
@@ -196,7 +240,7 @@ def induce(pages: list[str]) -> dict:
     for page in pages:
         blocks, root = read_page(page, tree=True)
         seen = {t for _, t, _ in blocks}
-        nodes = sum(1 for _ in _walk(root))
+        nodes = len(_walk(root))
         # Pages that share most of their text are copies and say nothing about what varies.
         if nodes <= SAMPLE_NODES and all(2 * sum(map(len, seen & s)) < max(1, sum(map(len, seen | s))) for s, _, _ in kept):
             kept.append((seen, root, nodes))
@@ -210,21 +254,25 @@ def induce(pages: list[str]) -> dict:
     for _, other, _ in kept[1:]:
         for mine, theirs in match_trees(base, other)[1]:
             texts[id(mine)].append(theirs.texts)
-    steady, varying = [], {}
-    for e in _walk(base):
+    steady, varying, named = [], {}, {}
+    order = _walk(base)
+    for e in order:
         seen = texts[id(e)]
         if len(seen) >= STEADY and e.texts and all(s == seen[0] for s in seen):
             steady += [[e.path, t] for t in e.texts]
-        elif not e.apart:
-            varying[id(e)] = sum(len(t) for s in seen for t in s)
+        elif e.apart < CLOSED:
+            (named if e.apart else varying)[id(e)] = sum(len(t) for s in seen for t in s)
+    # Names do not set apart what holds most of the text that varies.
+    if sum(named.values()) > 4 * sum(varying.values()):
+        varying |= named
     total = sum(varying.values())
-
-    def volume(e: Element) -> int:
-        return varying.get(id(e), 0) + sum(volume(c) for c in e.children)
+    volumes: dict[int, int] = {}
+    for e in reversed(order):
+        volumes[id(e)] = varying.get(id(e), 0) + sum(volumes[id(c)] for c in e.children)
 
     root, at = None, base
     while total:
-        heavy = [c for c in at.children if volume(c) >= 0.8 * total]
+        heavy = [c for c in at.children if volumes[id(c)] >= 0.8 * total]
         if not heavy:
             break
         at = heavy[0]
@@ -240,11 +288,11 @@ def main_text(html: str | None, wrapper: dict | None = None) -> str:
     anywhere where they are not mostly links; those that are not set apart and not template."""
     if not html:
         return ""
-    blocks = [b for b in read_page(html) if not b[0].apart]
     root = wrapper["root"] if wrapper else None
     steady = wrapper["steady"] if wrapper else ()
-    inside = [b for b in blocks if root and (b[0].path == root or b[0].path.startswith(root + "/"))]
-    articles = [b for b in blocks if re.search(r"/(?:article|main)(?=[./]|$)", b[0].path)]
+    blocks = [b for b in read_page(html, place=root) if not b[0].apart]
+    inside = [b for b in blocks if b[0].inside]
+    articles = [b for b in blocks if b[0].article]
     blocks = inside or articles or [b for b in blocks if b[2] < 0.5]
     return " ".join(t for e, t, _ in blocks if (e.path, t) not in steady)
 

@@ -239,8 +239,9 @@ def test_pages(spark):
 def test_wrapper_learns_template_text():
     pages = [f"<body><div class=top>My site</div><article><p>text {k} {'abc' * (9 + k)}</p><p>All rights reserved</p></article></body>" for k in range(8)]
     wrapper = wrappers.induce(pages)
-    assert wrapper["root"] == "/body/article"
-    assert ["/body/article/p", "All rights reserved"] in wrapper["steady"]
+    article = wrappers.step(wrappers.step(0, "body"), "article")
+    assert wrapper["root"] == article
+    assert [wrappers.step(article, "p"), "All rights reserved"] in wrapper["steady"]
     kept = {"root": wrapper["root"], "steady": {tuple(x) for x in wrapper["steady"]}}
     assert wrappers.main_text(pages[3], kept) == "text 3 " + "abc" * 12
     assert wrappers.induce(pages[:1])["root"] is None and wrappers.induce([pages[0]] * 5)["steady"] == []
@@ -287,3 +288,34 @@ def test_linked_text_in_the_place_stays(spark):
     for k in range(12):
         assert got[k] == f"Linked head {k} " + " ".join(f"page {k} says {i} {'xyz' * (k % 5 + 9)}" for i in range(6)) + f" Reference {k}"
     assert got[60] == "plain"
+
+
+@pytest.mark.parametrize("around", [
+    '<body class="has-sidebar"><article>{}</article></body>', '<body class="sidebar"><div class="widget wide"><article>{}</article></div></body>',
+    '<body><article class="post comments-open">{}</article></body>', '<body><div id="share" class="page"><div class="text">{}</div></div></body>'])
+def test_names_do_not_empty_an_article(spark, around):
+    """Class names of everyday pages around and inside the text; real comments, adverts and menus still go."""
+    def body(k):
+        return (f'<h1>Title {k}</h1><p class="social">page {k} {"abc " * (k % 4 + 5)}</p><p id="related">more {k * 7}</p>'
+                f'<div class="ad">buy {k}</div>')
+    rows = [(k, f"https://n.example/{k}", f'<nav>Home {k}</nav>{around.format(body(k))}<div class="comments"><p>first! {k}</p></div>') for k in range(12)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == f"Title {k} page {k} {' '.join(['abc'] * (k % 4 + 5))} more {k * 7}"
+
+
+def test_deep_and_broken_pages(spark):
+    """Deep nesting, open inline elements, stray end tags: read to the end, in time, and learned from without recursion."""
+    import time
+    deep = lambda k, n: "<div>" * n + f"<p>deep text {k} {'xyz' * (k + 9)}</p>" + "</div>" * n
+    odd_pages = ["<b>" * 5000 + "start" + "</i></div>" * 20_000 + "<p>end", "<h1>" * 5000 + "start" + "<p>mid</p>" * 3000 + "end",
+                 "<div>" * 20_000 + "bottom", "<ul>" + "<li>x" * 5000, "<p><b>" * 3000 + "y"]
+    rows = [(k, f"https://deep.example/{k}", deep(k, 1200)) for k in range(3)]
+    rows += [(10 + k, f"https://deep2.example/{k}", deep(k, 60)) for k in range(8)]
+    rows += [(100 + k, f"https://odd.example/{k}", page) for k, page in enumerate(odd_pages)]
+    start = time.time()
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - start < 60
+    assert all(got[k] == f"deep text {k} {'xyz' * (k + 9)}" for k in range(3)) and all(got[10 + k] == f"deep text {k} {'xyz' * (k + 9)}" for k in range(8))
+    assert got[100] == "start end" and got[101].startswith("start mid") and got[101].endswith("mid end") and got[102] == "bottom"
+    assert got[103] == " ".join(["x"] * 5000) and got[104] == "y"
