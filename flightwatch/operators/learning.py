@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
@@ -17,7 +19,7 @@ from flightwatch.operators.scoring import alert, ground_gate, smooth
 from flightwatch.operators.terrain import debounce, route, terrain_of, with_elevation
 from flightwatch.operators.timeline import KEYS, join_facts, row_axis, settled
 from flightwatch.operators.windows import chronological_split, first_flights, window_dataset
-from flightwatch.operators.metrics import confusion
+from flightwatch.operators.metrics import class_report, confusion, roc_points
 from flightwatch.operators.reports import training_summary
 from flightwatch.schema import FEATURES, TERRAINS, WINDOW_LENGTH, WINDOW_STRIDE
 
@@ -184,20 +186,29 @@ def fit_terrain_identifier(windows: DataFrame, trees: int = 100, depth: int = 15
     return model, predicted(model, test).withColumn("label", F.col("terrain_no").cast("int"))
 
 
-def leave_one_flight_out(windows: DataFrame, per_terrain: int = 5, trees: int = 100, depth: int = 15) -> DataFrame:
+def leave_one_flight_out(windows: DataFrame, per_terrain: int = 5, trees: int = 100, depth: int = 15,
+                         at_once: int = 4) -> DataFrame:
     """Pooled predictions; each chosen flight is predicted by a forest fitted on the others.
 
-    At most ``per_terrain`` flights per terrain are folds, so the number of fits is fixed.
+    At most ``per_terrain`` flights per terrain are folds, so the number of fits is fixed; ``at_once`` of them run
+    side by side, so that one fit's last tasks do not leave the cluster idle.
     """
     chosen = first_flights(windows.select("terrain", *KEYS).distinct(), "terrain", per_terrain)
     folds = [r["flight_id"] for r in chosen.select(*KEYS).orderBy(*KEYS).collect()]
-    data = windows.filter(F.col("flight_id").isin(folds))
-    pooled = None
-    for flight in folds:
+    data = settled(windows.filter(F.col("flight_id").isin(folds)))
+
+    def fold(flight) -> DataFrame:
         model = fit_forest(data.filter(F.col("flight_id") != flight), trees, depth=depth)
-        part = predicted(model, data.filter(F.col("flight_id") == flight))
-        pooled = part if pooled is None else pooled.unionByName(part)
-    return pooled
+        return predicted(model, data.filter(F.col("flight_id") == flight))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return functools.reduce(DataFrame.unionByName, pool.map(fold, folds))
+
+
+def pool_report(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Report by class and points of the ROC curve of pooled predictions."""
+    kept = settled(pool.select("label", "prediction", "anom_proba"))
+    return class_report(confusion(kept)), roc_points(kept, "anom_proba")
 
 
 def probability_trace(windows: DataFrame, flight, trees: int = 100, depth: int = 15) -> DataFrame:

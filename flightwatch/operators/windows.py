@@ -121,7 +121,7 @@ def chronological_split(windows: DataFrame, train: float = 0.7, val: float = 0.1
 
 def flight_split(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """Whole flights to one split, by a hash that never changes."""
-    u = F.pmod(F.xxhash64("flight_id"), F.lit(1000000)) / F.lit(1000000.0)
+    u = F.conv(F.substring(F.md5(F.col("flight_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 

@@ -90,17 +90,47 @@ def m08(spark, sf):
     return pooled.selectExpr("flight_id", "win", "label", _VALID)
 
 
+@query("m08_pool_report", _true("""
+ , pool AS (SELECT label FROM true_windows JOIN (
+   SELECT flight_id FROM (SELECT flight_id, row_number() OVER (PARTITION BY flight_id % 3 ORDER BY flight_id) AS nth
+     FROM (SELECT DISTINCT flight_id FROM true_windows)) WHERE nth <= 5) USING (flight_id))
+ SELECT (SELECT count(*) FROM pool WHERE label = 0) AS support_0, (SELECT count(*) FROM pool WHERE label = 1) AS support_1,
+   (SELECT count(*) FROM pool WHERE label = 1) AS last_tp, (SELECT count(*) FROM pool WHERE label = 0) AS last_fp, true AS valid"""))
+def m08_report(spark, sf):
+    """The report has every window of the folds, and the curve ends where all of them are taken."""
+    report, points = L.pool_report(L.leave_one_flight_out(_windows(spark, sf), trees=TREES, depth=DEPTH))
+    of = lambda c: F.coalesce(F.max(F.when(F.col("class") == c, F.col("support"))), F.lit(0)).cast("long").alias(f"support_{c}")
+    ends = points.agg(F.max("tp").cast("long").alias("last_tp"), F.max("fp").cast("long").alias("last_fp"))
+    areas = E.ranking_report(points).select(F.coalesce("auc", F.lit(0.0)).between(0, 1).alias("valid"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(report.agg(of(0), of(1))).join(one(ends), "_one").join(one(areas), "_one").drop("_one")
+
+
 @query("m09_scored_flights", _true("""
- SELECT flight_id, win AS window_idx, win * 15 AS start_row, win * 15 + 29 AS end_row, label, true AS valid FROM true_windows"""))
+ SELECT flight_id, win AS window_idx, win * 15 AS start_row, win * 15 + 29 AS end_row, label, true AS valid,
+   CASE WHEN win >= 4 THEN terrain ELSE 'flat' END AS terrain, CASE WHEN win >= 4 THEN terrain ELSE 'flat' END AS model,
+   win = 4 AND terrain <> 'flat' AS switched_terrain FROM true_windows"""))
 def m09(spark, sf):
+    return _scored(spark, sf).selectExpr("flight_id", "window_idx", "start_row", "end_row", "label", _VALID, "terrain", "model", "switched_terrain")
+
+
+@query("m09_home_area", _true("""
+ SELECT flight_id, win AS window_idx, CASE WHEN flight_id % 3 = 0 THEN 'area' WHEN win >= 4 THEN terrain ELSE 'flat' END AS model, true AS valid FROM true_windows"""))
+def m09_home(spark, sf):
+    """Flights that begin inside the area's box are scored by its model, all along, whatever the terrain says."""
+    box = (47.0, 48.0, 8.0, 9.0)
+    model = L.train_area(_windows(spark, sf), box, TREES, DEPTH)
+    return _scored(spark, sf, area=(model, box), use_home=True).selectExpr("flight_id", "window_idx", "model", _VALID)
+
+
+def _scored(spark, sf, **how):
     rows = labelled(spark, sf).withColumn("label", F.col("truth"))
     windows = _windows(spark, sf)
     forests = {t: L.fit_forest(windows.filter(F.col("terrain") == t), TREES, depth=DEPTH)
               for t in sorted(r["terrain"] for r in windows.select("terrain").distinct().collect())}
     elevations = (rows.groupBy(cell(F.col("lat_deg")).alias("lat_key"), cell(F.col("lon_deg")).alias("lon_key"))
                   .agg(F.max("alt_m").alias("elevation")))
-    return L.score_flights(rows, forests, elevations, default=sorted(forests)[0]).selectExpr(
-        "flight_id", "window_idx", "start_row", "end_row", "label", _VALID)
+    return L.score_flights(rows, forests, elevations, default=sorted(forests)[0], **how)
 
 
 @query("m10_probability_trace", _true("""

@@ -12,9 +12,9 @@ from flightwatch.operators import segments as S
 from flightwatch.operators import windows as W
 from flightwatch.operators.labels import require_columns
 from flightwatch.operators.quality import check_columns
-from flightwatch.operators.timeline import KEYS, settled, shared_folder
+from flightwatch.operators.timeline import KEYS, row_number, running_sum, settled, shared_folder, with_prefix
 from flightwatch.plans.catalog import ORACLES, cleaned, labelled, query, r6, raw, sql
-from flightwatch.schema import LABELLED_COLUMNS
+from flightwatch.schema import LABELLED_COLUMNS, SCORE_LOG_COLUMNS
 from flightwatch.sources import logs
 
 
@@ -93,6 +93,33 @@ def s09(spark, sf):
     return spark.read.parquet(path).select(F.col("flight_id").cast("long").alias("flight_id"), "seq", r6("dt"), "mode")
 
 
+@query("s07_newest_log", sql(None, """
+ SELECT ROUND(score, 6) AS anom_proba, flight_id % 8 AS part, count(*) AS n FROM telemetry
+ WHERE flight_id % 8 = (SELECT max(flight_id % 8) FROM telemetry) GROUP BY 1, 2"""))
+def s07_newest(spark, sf):
+    """Scores in up to eight files; only the one with the greatest name is read."""
+    t = raw(spark, sf)
+    path = _folder(t, "logs")
+    scores = t.select(*[F.round("score", 6).cast("string").alias("anom_proba") if c == "anom_proba" else
+                        (F.col("flight_id") % 8).cast("string").alias(c) if c == "switched_terrain" else F.lit("0").alias(c) for c in SCORE_LOG_COLUMNS],
+                      (F.col("flight_id") % 8).cast("int").alias("_part"))
+    scores.repartitionById(8, "_part").drop("_part").write.option("header", True).csv(path)
+    return logs.read_scores(spark, path, latest_only=True, pattern="part-*.csv").groupBy(
+        r6("anom_proba"), F.col("switched_terrain").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s09_bucketed_table", sql("cleaned", """
+ SELECT flight_id, seq, row_number() OVER (PARTITION BY flight_id ORDER BY time_s) AS nth, ROUND(sum(dt) OVER (PARTITION BY flight_id ORDER BY time_s), 6) AS flown_s
+ FROM cleaned"""))
+def s09_bucketed(spark, sf):
+    """Cleaned rows in buckets of (flight, chunk), read again by an ordered operator."""
+    rows = cleaned(spark, sf)
+    name = f"cleaned_{uuid.uuid4().hex}"
+    logs.write_rows_bucketed(rows, name, 16, _folder(rows, "bucketed"))
+    placed = with_prefix(spark.table(name), {"nth": row_number(), "flown_s": running_sum(F.col("dt"))})
+    return placed.select("flight_id", "seq", "nth", r6("flown_s"))
+
+
 @query("s11_window_dataset", sql("windows", " SELECT flight_id, win, label FROM windows"))
 def s11(spark, sf):
     windows = settled(W.window_dataset(labelled(spark, sf)))
@@ -104,17 +131,19 @@ def s11(spark, sf):
 @query("s01_u02_mixed_layouts", sql(None, """
  SELECT CAST(flight_id AS VARCHAR) AS flight_id, CAST(row_number() OVER (PARTITION BY flight_id ORDER BY seq) AS INTEGER) AS nth,
    ROUND(time_s, 6) AS time_s, ROUND(lat_deg, 6) AS lat_deg, CASE WHEN flight_id % 2 = 0 THEN ROUND(vel_m_s, 6) END AS vel_m_s,
-   CASE WHEN flight_id % 2 = 1 THEN ROUND(eph_m, 6) END AS eph_m, trim(mode) AS mode FROM telemetry"""))
+   CASE WHEN flight_id % 2 = 1 THEN ROUND(eph_m, 6) END AS eph_m, trim(mode) AS mode,
+   CASE WHEN flight_id % 2 = 1 THEN ROUND(rollspeed_radps * 100, 6) END AS ax_mps2 FROM telemetry"""))
 def s01_mixed(spark, sf):
-    """Two layouts in one folder: other columns, in another order."""
-    t = raw(spark, sf)
+    """Two layouts in one folder: other columns, in another order; one has a sensor that only old logs have."""
+    t = raw(spark, sf).withColumn("ax_mps2", F.col("rollspeed_radps") * 100)
     path = _folder(t, "mixed")
-    for rest, names in ((0, ["time_s", "lat_deg", "vel_m_s", "mode"]), (1, ["time_s", "eph_m", "mode", "lat_deg"])):
+    for rest, names in ((0, ["time_s", "lat_deg", "vel_m_s", "mode"]), (1, ["time_s", "eph_m", "ax_mps2", "mode", "lat_deg"])):
         (t.filter(F.col("flight_id") % 2 == rest).repartition("flight_id").sortWithinPartitions("flight_id", "seq")
          .select("flight_id", *names).write.mode("append").partitionBy("flight_id").option("header", True).csv(path))
     w = Window.partitionBy("flight_id").orderBy("row_no")
-    read = logs.read_mixed_logs(spark, path, ["time_s", "lat_deg", "vel_m_s", "eph_m", "mode"])
-    return read.select("flight_id", F.row_number().over(w).alias("nth"), r6("time_s"), r6("lat_deg"), r6("vel_m_s"), r6("eph_m"), "mode")
+    read = logs.read_mixed_logs(spark, path, ["time_s", "lat_deg", "vel_m_s", "eph_m", "mode", "ax_mps2"])
+    return read.select("flight_id", F.row_number().over(w).alias("nth"), r6("time_s"), r6("lat_deg"), r6("vel_m_s"), r6("eph_m"), "mode",
+                       r6("ax_mps2"))
 
 
 @query("s06_elevation_cache", sql(None, """
@@ -125,10 +154,8 @@ def s06(spark, sf):
     path = _folder(t, "elevations")
     cells = (t.groupBy(F.bround("lat_deg", 2).alias("lat"), F.bround("lon_deg", 3).alias("lon"))
              .agg(F.max(F.col("flight_id") % 3 * 100.0).alias("elevation")))
-    # The cache is one JSON object by its format.
-    entry = F.struct(F.format_string("%.4f_%.4f", "lat", "lon"), "elevation")
-    cells.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.text(path)
-    return logs.read_elevations(spark, path)
+    logs.write_elevations(cells, path)
+    return logs.read_elevations(spark, path, lines=True)
 
 
 @query("s08_replay", sql(None, """

@@ -189,10 +189,11 @@ def w22(spark, sf):
 
 
 @query("w23_flight_isolated_split", sql(None, """
- SELECT DISTINCT flight_id, CAST(1 AS BIGINT) AS splits, true AS known FROM telemetry"""))
+ SELECT flight_id, CAST(1 AS BIGINT) AS splits, CASE WHEN u < 0.7e0 THEN 'train' WHEN u < 0.85e0 THEN 'val' ELSE 'test' END AS split, n_rows FROM (
+   SELECT flight_id, CAST('0x' || substr(md5(CAST(flight_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0e0 AS u, count(*) AS n_rows FROM telemetry GROUP BY 1)"""))
 def w23(spark, sf):
     return W.flight_split(telemetry(spark, sf)).groupBy("flight_id").agg(
-        F.countDistinct("split").alias("splits"), F.min("split").isin("train", "val", "test").alias("known"))
+        F.countDistinct("split").alias("splits"), F.min("split").alias("split"), F.count(F.lit(1)).alias("n_rows"))
 
 
 _TERRAIN = "CASE WHEN alt_m > 800 THEN 'mountain' WHEN alt_m > 0 THEN 'flat' ELSE 'sea' END"

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from flightwatch.functions.modes import number
 from flightwatch.operators.clean import coerce_numbers, strip_text
-from flightwatch.operators.timeline import CHUNK, KEYS
+from flightwatch.operators.timeline import CHUNK, KEYS, with_chunk
 from flightwatch.schema import (
     CLEANING_REPORT_SCHEMA, NUMERIC_COLUMNS, OLD_SENSOR_COLUMNS, RAW_COLUMNS, SCORE_LOG_COLUMNS, SEGMENT_SCHEMA)
 
@@ -165,31 +165,45 @@ def terrain_registry(training_report: DataFrame) -> DataFrame:
         "s.rf_val_f1", "s.cnn_val_f1", F.col("s.n_windows").alias("n_train"))
 
 
-def read_elevations(spark: SparkSession, path: str) -> DataFrame:
-    """The elevation cache: one JSON object "lat_lon" -> metres, as key columns."""
-    entries = (spark.read.option("wholetext", True).text(path)
+def read_elevations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The elevation cache: JSON objects "lat_lon" -> metres, as key columns.
+
+    A file is one object, however it is broken into lines; with ``lines`` each line is one, so that a large cache
+    is read by many tasks.
+    """
+    entries = (spark.read.option("wholetext", not lines).text(path)
                .select(F.explode(F.from_json("value", "map<string, double>")).alias("key", "elevation")))
     part = lambda i: F.bround(F.split("key", "_")[i].cast("double") * 10000).cast("long")
     return entries.select(part(0).alias("lat_key"), part(1).alias("lon_key"), "elevation")
 
 
+def write_elevations(cells: DataFrame, path: str, per_line: int = 1000, mode: str = "overwrite") -> None:
+    """``lat, lon, elevation`` as a cache of JSON lines with about ``per_line`` cells each."""
+    count = cells.count()
+    line = F.pmod(F.xxhash64("lat", "lon"), F.lit(max(1, -(-count // per_line))))
+    entry = F.struct(F.format_string("%.4f_%.4f", "lat", "lon"), "elevation")
+    (cells.groupBy(line.alias("_line")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+     .select("value").write.mode(mode).text(path))
+
+
 def read_scores(spark: SparkSession, path: str, latest_only: bool = False, pattern: str = "live_*.csv",
                 numbers: Sequence[str] = ("unix_time", "anom_proba")) -> DataFrame:
     """Scoring logs; unreadable values become null, absent or empty files give no rows.
 
-    ``latest_only`` keeps the file with the greatest name.
+    ``latest_only`` reads the file with the greatest name and no other: names are listed without opening files,
+    and a filter on the name prunes the scan.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in SCORE_LOG_COLUMNS])
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         return _typed_scores(spark.createDataFrame([], T.StructType([*schema, T.StructField("file_name", T.StringType())])), numbers)
     rows = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("pathGlobFilter", pattern).csv(path)
-            .select("*", F.col("_metadata.file_name").alias("file_name")))
+            .option("pathGlobFilter", pattern).csv(path))
     if latest_only:
-        newest = rows.agg(F.max("file_name").alias("file_name"))
-        rows = rows.join(F.broadcast(newest), "file_name", "left_semi")
-    return _typed_scores(rows, numbers)
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
+        newest = listed.agg(F.max(F.substring_index("path", "/", -1))).first()[0]
+        rows = rows.filter(F.col("_metadata.file_name") == F.lit(unquote(newest or "")))
+    return _typed_scores(rows.select("*", F.col("_metadata.file_name").alias("file_name")), numbers)
 
 
 def _typed_scores(rows: DataFrame, numbers: Sequence[str]) -> DataFrame:
@@ -216,10 +230,15 @@ def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy(*KEYS).parquet(path))
 
 
-def write_rows_bucketed(df: DataFrame, table: str, buckets: int = 512) -> None:
-    """Table bucketed by (flight, chunk): later ordered operators read it without a shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, *KEYS, CHUNK).sortBy(*KEYS, CHUNK, "time_s")
-     .format("parquet").saveAsTable(table))
+def write_rows_bucketed(df: DataFrame, table: str, buckets: int = 512, path: str | None = None) -> None:
+    """Table bucketed by (flight, chunk): later ordered operators read it without moving its rows.
+
+    Rows go to their bucket first, so there is one file per bucket; ``path`` makes it an external table there.
+    """
+    rows = with_chunk(df)
+    writer = (rows.repartition(buckets, *KEYS, CHUNK).write.mode("overwrite").bucketBy(buckets, *KEYS, CHUNK)
+              .sortBy(*KEYS, CHUNK, "time_s").format("parquet"))
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_labels(labelled: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flightwatch.operators.learning import fit_forest, predicted
 from flightwatch.operators.terrain import with_elevation
+from flightwatch.operators import timeline as TL
 from flightwatch.sources import logs, models
 
 
@@ -103,3 +104,31 @@ def test_ignored_segments(spark, tmp_path):
     (tmp_path / "f_auto_segments.json").write_text('[{"start_s": 1, "end_s": 2, "label": "ignore"}, {"start_s": 3, "end_s": 4, "label": 1}]')
     got = logs.read_segments(spark, str(tmp_path)).orderBy("start_s").collect()
     assert [r["ignored"] for r in got] == [True, False]
+
+
+def test_bucketed_rows_are_read_without_moving(spark, tmp_path):
+    rows = spark.createDataFrame([(f, float(t), t * 0.5) for f in ("a", "b") for t in range(40)], "flight_id string, time_s double, x double")
+    logs.write_rows_bucketed(rows, "bucketed_rows", 4, str(tmp_path / "bucketed"))
+    ordered = spark.table("bucketed_rows").withColumn("before", F.lag("x").over(TL.lane()))
+    plan = ordered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert ordered.filter("before IS NOT NULL AND before <> x - 0.5").count() == 0 and ordered.count() == 80
+    spark.sql("DROP TABLE bucketed_rows")
+
+
+def test_only_the_newest_log_is_read(spark, tmp_path):
+    for name in ("live_1.csv", "live_2 late.csv", "live_2.csv", "other_9.csv"):
+        (tmp_path / name).write_text(",".join(["timestamp", "unix_time", "anom_proba"]) + f"\nx,{len(name)},0.5\n")
+    rows = logs.read_scores(spark, str(tmp_path), latest_only=True)
+    assert [(r["unix_time"], r["file_name"]) for r in rows.collect()] == [(10.0, "live_2.csv")]
+    plan = rows._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    assert plan.collectLeaves().head().metrics().apply("numFiles").value() == 1
+    assert logs.read_scores(spark, str(tmp_path / "none"), latest_only=True).count() == 0
+
+
+def test_elevation_cache_of_many_lines(spark, tmp_path):
+    cells = spark.createDataFrame([(47.0 + i / 100, 8.0 + i / 1000, float(i)) for i in range(50)], "lat double, lon double, elevation double")
+    logs.write_elevations(cells, str(tmp_path / "cache"), per_line=7)
+    assert len(spark.read.text(str(tmp_path / "cache")).collect()) > 3
+    assert sorted(r["elevation"] for r in logs.read_elevations(spark, str(tmp_path / "cache"), lines=True).collect()) == [float(i) for i in range(50)]
