@@ -404,9 +404,23 @@ def t11(spark, sf):
     return M.interpolated_fixes(m, at).select("flight_id", F.unix_millis("ts").alias("ms"), F.round("lat_deg", 7).alias("lat_deg"))
 
 
-@query("p20_p23_message_features")
+@query("p20_p23_message_features", sql(None, """
+ SELECT p.flight_id, CAST(epoch_ms(p.ts) AS BIGINT) AS ms, ROUND(radians(p.lat / 1e7 - p.lat0 / 1e7) * 6371000.0e0, 4) AS x_m,
+   ROUND(p.vx / 100.0e0, 6) AS vel_m_s, CAST(coalesce(CASE WHEN q.satellites_visible <> 255 THEN q.satellites_visible END, 10) AS DOUBLE) AS satellites_visible,
+   ROUND(coalesce(CASE WHEN q.eph <> 65535 THEN q.eph / 100.0e0 END, 0), 6) AS eph_m, ROUND(a.rollspeed, 6) AS rollspeed_radps,
+   CAST(CASE WHEN h.base_mode & 128 > 0 THEN 1 ELSE 0 END AS DOUBLE) AS armed, ROUND(coalesce(g.hdg / 100.0e0, 0), 6) AS hdg_deg,
+   CAST(CASE WHEN p.lat = p.lat1 AND p.lat1 = p.lat2 THEN 1 ELSE 0 END AS DOUBLE) AS is_stale_repeat, 1.0e0 AS connection_ok, 0.0e0 AS vibration_z
+ FROM (SELECT *, first_value(lat) OVER w AS lat0, lag(lat) OVER w AS lat1, lag(lat, 2) OVER w AS lat2 FROM msgs WHERE msg_type = 'GLOBAL_POSITION_INT'
+       WINDOW w AS (PARTITION BY flight_id ORDER BY ts)) p
+ ASOF LEFT JOIN (SELECT * FROM msgs WHERE msg_type = 'GPS_RAW_INT') q ON q.flight_id = p.flight_id AND p.ts >= q.ts
+ ASOF LEFT JOIN (SELECT * FROM msgs WHERE msg_type = 'ATTITUDE') a ON a.flight_id = p.flight_id AND p.ts >= a.ts
+ ASOF LEFT JOIN (SELECT * FROM msgs WHERE msg_type = 'HEARTBEAT') h ON h.flight_id = p.flight_id AND p.ts >= h.ts
+ ASOF LEFT JOIN (SELECT * FROM msgs WHERE msg_type = 'GLOBAL_POSITION_INT' AND hdg <> 65535) g ON g.flight_id = p.flight_id AND p.ts >= g.ts""",
+                                       extra=_MESSAGES_SQL))
 def p23(spark, sf):
-    return M.message_features(settled(_messages(spark, sf))).drop("ts")
+    return M.message_features(settled(_messages(spark, sf))).select(
+        "flight_id", F.unix_millis("ts").alias("ms"), F.round("x_m", 4).alias("x_m"), r6("vel_m_s"), "satellites_visible", r6("eph_m"),
+        r6("rollspeed_radps"), "armed", r6("hdg_deg"), "is_stale_repeat", "connection_ok", "vibration_z")
 
 
 @query("a16_message_counts", sql(None, """

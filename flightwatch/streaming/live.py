@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightwatch.functions.geo import in_box
-from flightwatch.operators.learning import model_registry, predicted, routed_model
-from flightwatch.operators.messages import (
-    FEATURE_DEFAULTS, HELD, MAX_AGE_S, MOTION_FIELDS, POSITION, known_messages, scaled_messages)
+from flightwatch.operators.learning import predicted, routed_model
+from flightwatch.operators.messages import FEATURE_DEFAULTS, HELD, MAX_AGE_S, POSITION, scaled_messages
 from flightwatch.operators.scoring import alert, ground_gate, states_after
-from flightwatch.operators.terrain import cell, route, terrain_of
+from flightwatch.operators.terrain import cell, terrain_of
 from flightwatch.schema import (
     ALERT_THRESHOLD, DEBOUNCE, EARTH_RADIUS_M, FEATURES, MESSAGE_SCHEMA, MESSAGE_TYPES, SMOOTHING, WINDOW_LENGTH)
 from flightwatch.sources.logs import log_format
