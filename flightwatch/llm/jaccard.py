@@ -6,14 +6,15 @@ leaves out what cannot reach the threshold, and only the pairs that survive are
 
 So that no point has to meet all others, points are dealt out by shingles. Two sets that reach the threshold
 share one of the first shingles of either in any common order (the prefix filter), and shingles that many
-texts share stand last in it. Equal sets are one point. In each block of points with a shingle in common:
+texts share stand last in it; of the smaller set, a shorter beginning is enough. Rows of a block without a partner
+of fitting size go before anything moves on. Equal sets are one point. In each block of points with a shingle in common:
 
 1. every point is compared with two leaders of its block; that joins the bulk of large groups of near copies
    with a number of comparisons linear in their size;
 2. points of one component need not be compared again, so the trees search what is left: pairs of a block
-   from different components.
+   from different components. Blocks with the same members are searched once.
 
-Blocks larger than a tile are cut into tiles and every pair of tiles is searched, so no task holds a block
+Pairs are looked at by few coarse counts first, and by the full ones if these allow the threshold. Blocks larger than a tile are cut into tiles and every pair of tiles is searched, so no task holds a block
 whole and no pair is lost.
 """
 
@@ -36,8 +37,12 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles that count as frequent when seen in so many of a run of texts, and how many of them are known at most.
 #: They only decide the order of shingles: any order gives the same result.
-FREQUENT, FREQUENT_KNOWN = 8, 100_000
+FREQUENT, FREQUENT_KNOWN = 3, 400_000
+FREQUENT_RUN = 4_000_000
+#: Shingles of prefixes that a task holds before it sends them.
 RUN = 1_000_000
+#: Sizes of sets are told to blocks by the floor of SIZE_STEPS * log n: those that fit differ by SIZE_REACH at most.
+SIZE_STEPS, SIZE_REACH = 500, 144
 #: Bytes of text that are hashed at a time; a longer text is alone.
 HASHED_BYTES = 1 << 19
 #: Groups for each shingle of a set, at least; logarithms of the least and largest number of groups.
@@ -134,6 +139,42 @@ def counts_of(s: np.ndarray) -> bytes:
     return (counts[0::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
 
 
+def coarse_of(s: np.ndarray) -> bytes:
+    """Counts of an eighth or less of the groups, four bits each, never more than 15."""
+    k = max(LEAST_LOG, min(MOST_LOG, max(1, len(s)).bit_length() - 2))
+    counts = np.minimum(np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 15).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def unpacked(blobs: list[bytes], bits: int) -> np.ndarray:
+    """Counts of blobs of one length as rows of a matrix."""
+    packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    parts = [(packed >> np.uint8(k)) & np.uint8((1 << bits) - 1) for k in range(0, 8, bits)]
+    return np.stack(parts, axis=2).reshape(len(blobs), -1)
+
+
+def most_shared(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, bits: int) -> np.ndarray:
+    """For each pair of counts the most shingles that the sets can share.
+
+    Finer counts added up are cut off again, as the coarser ones are: then both sides leave out exactly what a
+    group holds beyond the limit, and no pair shares more of that than either side left out.
+    """
+    out = np.zeros(len(a), np.int64)
+    widths = np.asarray([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    limit = np.uint8((1 << bits) - 1)
+    for wa, wb in np.unique(widths, axis=0).tolist():
+        alike = np.flatnonzero((widths[:, 0] == wa) & (widths[:, 1] == wb))
+        width, step = min(wa, wb) * 8 // bits, max(1, CELLS // 32 // max(wa, wb))
+        for at in range(0, len(alike), step):
+            rows = alike[at:at + step]
+            p, q = (unpacked([x[i] for i in rows], bits) for x in (a, b))
+            p, q = (np.minimum(x.reshape(len(rows), width, -1).sum(axis=2, dtype=np.uint32), limit).astype(np.uint8)
+                    if x.shape[1] > width else x for x in (p, q))
+            spare = np.minimum(na[rows] - p.sum(axis=1, dtype=np.int64), nb[rows] - q.sum(axis=1, dtype=np.int64))
+            out[rows] = np.minimum(p, q).sum(axis=1, dtype=np.int64) + spare
+    return out
+
+
 def points_of(blobs: list[bytes], width: int | None = None) -> np.ndarray:
     """Counts as rows of one matrix, the finer ones added up to ``width``, or else to the coarsest."""
     width = width or 4 * min(map(len, blobs))
@@ -208,31 +249,32 @@ class CountTree:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """A row for each text (``kind`` 0: doc_id, n, sid, counts) and for each frequent shingle of a run of texts
-    (``kind`` 1: shingle in ``sid``, texts in ``n``)."""
-    ddl = "kind int, doc_id long, n long, sid long, counts binary"
+    """A row for each text (``kind`` 0: doc_id, n, sid, counts, coarse) and for each frequent shingle of a run of
+    texts (``kind`` 1: shingle in ``sid``, texts in ``n``)."""
+    ddl = "kind int, doc_id long, n long, sid long, counts binary, coarse binary"
     schema = arrow_schema(ddl)
 
-    def batch(kind, ids, n, sids, counts):
-        cols = [[kind] * len(sids), ids, n, sids, counts]
+    def batch(kind, ids, n, sids, counts, coarse):
+        cols = [[kind] * len(sids), ids, n, sids, counts, coarse]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     def frequent(run: dict[int, np.ndarray]):
         found, n = np.unique(np.concatenate(list(run.values())), return_counts=True)
         found, n = found[n >= FREQUENT], n[n >= FREQUENT]
-        return batch(1, [None] * len(n), n.tolist(), found.astype(np.int64).tolist(), [None] * len(n))
+        return batch(1, [None] * len(n), n.tolist(), found.astype(np.int64).tolist(), [None] * len(n), [None] * len(n))
 
     def describe(batches):
         hasher, run, held = Hasher(), {}, 0
         for ids, texts in slices(batches, "doc_id", "text"):
             sets = hasher.sets(texts)
             sids = [set_id(s) if len(s) else None for s in sets]
-            yield batch(0, ids, [len(s) for s in sets], sids, [counts_of(s) if len(s) else None for s in sets])
+            yield batch(0, ids, [len(s) for s in sets], sids, [counts_of(s) if len(s) else None for s in sets],
+                        [coarse_of(s) if len(s) else None for s in sets])
             for i, s in zip(sids, sets, strict=True):
                 if i is not None and i not in run:
                     run[i] = s
                     held += len(s)
-            if held > RUN:
+            if held > FREQUENT_RUN:
                 yield frequent(run)
                 run, held = {}, 0
         if run:
@@ -241,68 +283,100 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, ddl)
 
 
+def paired(block: np.ndarray, fact: np.ndarray) -> np.ndarray:
+    """Numbers of the rows of blocks of which another row of the block may be the partner: its size fits and the
+    smaller one is early. ``fact``: step of the size, early, stands for several. Of a block with a row that stands
+    for several sets all rows are kept. A row of ``block`` alone is never kept, marked or not: what it stands for
+    goes another way, itself included."""
+    size, early, several = (fact >> 2).astype(np.int64), (fact & 2) > 0, (fact & 1) > 0
+    by = np.lexsort((~early, size, block))
+    b, n, e = block[by], size[by], early[by]
+    begin = np.concatenate([[True], b[1:] != b[:-1]])
+    number = np.cumsum(begin) - 1
+    at = np.arange(len(b))
+    # Early ones stand first among equal sizes: the nearest early row before a row is its best smaller partner.
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(e, at, -1))[:-1]])
+    up = (before >= 0) & (b[before] == b) & (n - n[before] <= SIZE_REACH)
+    after = np.minimum(at + 1, len(b) - 1)
+    down = e & (after > at) & (b[after] == b) & (n[after] - n <= SIZE_REACH)
+    whole = np.zeros(number[-1] + 1, bool)
+    whole[number[several[by]]] = True
+    alone = begin & np.concatenate([begin[1:], [True]])
+    return np.sort(by[~alone & (up | down | whole[number])])
+
+
 def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``block, sid`` of texts that share a shingle of their prefixes with a different set.
+    """``block, sid, size, early`` of texts that share a shingle of their prefixes with a different set.
+
+    ``size`` is the step of the set's size; ``early`` says that the shingle lies in the beginning that is enough for the
+    smaller set of a pair. A row of a block is kept if there is another row with which it may be a pair.
 
     Tasks send (shingle, set) pairs to buckets, packed. A shingle that a task has seen in several sets is known to
     be shared: its sets go straight on, and only one of them to the bucket. So a bucket gets a shingle once from
-    each run of texts, however many texts have it.
+    each run of texts, however many texts have it. As it stands for several sizes, nothing of its block is left out.
     """
     frequent_sorted = np.sort(frequent)
     rank = np.argsort(frequent, kind="stable").astype(np.uint64)
-    seen_bits = np.zeros(1 << 20, bool)
-    seen_bits[(frequent_sorted >> np.uint64(44)).astype(np.int64)] = True
-    mapped = "bucket int, straight boolean, shingles binary, sids binary"
+    mapped = "bucket int, straight boolean, shingles binary, sids binary, facts binary"
     mapped_schema = arrow_schema(mapped)
 
-    def prefix(s: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set's first shingles and a fact for each: step of the size, early or not, two bits from the right."""
         n = len(s)
         length = n - (-(-NUMERATOR * n // DENOMINATOR)) + 1
+        beginning = n - needed(n, n) + 1
         key = _mix(s ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-        maybe = np.flatnonzero(seen_bits[(s >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(seen[(s >> np.uint64(40)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(frequent_sorted, s[maybe]), len(frequent_sorted) - 1)
             hit = frequent_sorted[at] == s[maybe]
             key[maybe[hit]] = np.uint64(1 << 63) + rank[at[hit]]
-        return s[np.argpartition(key, length - 1)[:length]] if length < n else s
-
-    def emit(run: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shingle = np.concatenate(list(run.values()))
-        sid = np.repeat(np.fromiter(run, np.int64, len(run)), [len(v) for v in run.values()])
+        first = np.argpartition(key, length - 1)[:length] if length < n else np.arange(n)
+        last = np.partition(key[first], beginning - 1)[beginning - 1]
+        step = int(SIZE_STEPS * np.log(n)) << 2
+        return s[first], np.where(key[first] <= last, step | 2, step).astype(np.uint16)
+
+    def emit(run: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        shingle = np.concatenate([v[0] for v in run.values()])
+        fact = np.concatenate([v[1] for v in run.values()])
+        sid = np.repeat(np.fromiter(run, np.int64, len(run)), [len(v[0]) for v in run.values()])
         by = np.argsort(shingle, kind="stable")
-        shingle, sid = shingle[by], sid[by]
+        shingle, sid, fact = shingle[by], sid[by], fact[by]
         first = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         alone = first & np.concatenate([first[1:], [True]])
         low = (shingle // np.uint64(buckets)).astype(np.uint32)
         bucket = (shingle % np.uint64(buckets)).astype(np.int64)
         block = (bucket << 32) | low.astype(np.int64)
-        rows = [[], [], [], []]
+        rows = [[], [], [], [], []]
+
+        def add(straight, part, shingles):
+            for column, value in zip(rows, (int(bucket[part[0]]), straight, shingles[part].tobytes(), sid[part].tobytes(),
+                                            fact[part].tobytes()), strict=True):
+                column.append(value)
+
         shared = np.flatnonzero(~alone)
         for at in range(0, len(shared), 65_536):
-            part = shared[at:at + 65_536]
-            rows[0].append(int(bucket[part[0]]))
-            rows[1].append(True)
-            rows[2].append(block[part].tobytes())
-            rows[3].append(sid[part].tobytes())
+            add(True, shared[at:at + 65_536], block)
+        # The one that stands for several is marked.
+        fact = fact | np.where(alone, 0, 1).astype(np.uint16)
         firsts = np.flatnonzero(first)
         firsts = firsts[np.argsort(bucket[firsts], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[firsts])) + 1
         for part in np.split(firsts, cuts):
-            rows[0].append(int(bucket[part[0]]))
-            rows[1].append(False)
-            rows[2].append(low[part].tobytes())
-            rows[3].append(sid[part].tobytes())
+            add(False, part, low)
         for at in range(0, len(rows[0]), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 64], t) for c, t in zip(rows, mapped_schema.types, strict=True)],
                                              schema=mapped_schema)
 
     def sign(batches):
+        seen = np.zeros(1 << 24, bool)
+        seen[(frequent_sorted >> np.uint64(40)).astype(np.int64)] = True
         hasher, run, held = Hasher(), {}, 0
         for (texts,) in slices(batches, "text"):
             for s in hasher.sets(texts):
                 if len(s) and (i := set_id(s)) not in run:
-                    run[i] = prefix(s)
-                    held += len(run[i])
+                    run[i] = prefix(s, seen)
+                    held += len(run[i][0])
             if held > RUN:
                 yield from emit(run)
                 run, held = {}, 0
@@ -313,51 +387,48 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
         straight = group.straight.to_numpy(bool)
         block = [np.frombuffer(x, np.int64) for x in group.shingles[straight]]
         sid = [np.frombuffer(x, np.int64) for x in group.sids[straight]]
+        fact = [np.frombuffer(x, np.uint16) for x in group.facts[straight]]
         if (~straight).any():
-            low = np.concatenate([np.frombuffer(x, np.uint32) for x in group.shingles[~straight]])
-            who = np.concatenate([np.frombuffer(x, np.int64) for x in group.sids[~straight]])
-            by = np.lexsort((who, low))
-            low, who = low[by], who[by]
+            low, who, what = (np.concatenate([np.frombuffer(x, t) for x in group[c][~straight]])
+                              for c, t in (("shingles", np.uint32), ("sids", np.int64), ("facts", np.uint16)))
+            # Of a set that came several times the marked row is kept.
+            by = np.lexsort((~what, who, low))
+            low, who, what = low[by], who[by], what[by]
             new = np.concatenate([[True], (low[1:] != low[:-1]) | (who[1:] != who[:-1])])
-            low, who = low[new], who[new]
-            first = np.concatenate([[True], low[1:] != low[:-1]])
-            shared = ~(first & np.concatenate([first[1:], [True]]))
-            block.append((int(group.bucket.iloc[0]) << 32) | low[shared].astype(np.int64))
-            sid.append(who[shared])
-        return pd.DataFrame({"block": np.concatenate(block), "sid": np.concatenate(sid)})
+            kept = paired(low[new], what[new])
+            block.append((int(group.bucket.iloc[0]) << 32) | low[new][kept].astype(np.int64))
+            sid.append(who[new][kept])
+            fact.append(what[new][kept])
+        fact = np.concatenate(fact).astype(np.int32)
+        return pd.DataFrame({"block": np.concatenate(block), "sid": np.concatenate(sid), "size": fact >> 2, "early": (fact & 2) > 0})
 
     packed = docs.select("text").mapInArrow(sign, mapped)
     # Rows of known sharing are spread: they need no meeting.
     key = F.when(F.col("straight"), F.xxhash64("shingles", "sids")).otherwise(F.col("bucket").cast("long"))
-    return packed.withColumn("_key", key).groupBy("_key", "straight").applyInPandas(share, "block long, sid long")
-
+    return packed.withColumn("_key", key).groupBy("_key", "straight").applyInPandas(share, "block long, sid long, size int, early boolean")
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose sizes and counts allow the threshold.
 
-    Finer counts added up are cut off at 3 again, as the coarser ones are: then both sides leave out exactly what a
-    group holds beyond 3, and no pair shares more of that than either side left out.
-    """
+def _bounded(pairs: DataFrame, points: DataFrame, counts: str = "counts", bits: int = 2) -> DataFrame:
+    """The pairs ``u, v`` whose sizes and counts allow the threshold."""
     ddl = "u long, v long"
     schema = arrow_schema(ddl)
 
     def bound(batches):
-        for us, vs, a, b, na, nb in slices(batches, "u", "v", "a", "b", "na", "nb", rows=4096):
-            kept = []
-            for i in range(len(us)):
-                p = np.minimum(points_of([a[i], b[i]]), 3)
-                most = int(np.minimum(p[0], p[1]).sum(dtype=np.int64)) + min(
-                    na[i] - int(p[0].sum(dtype=np.int64)), nb[i] - int(p[1].sum(dtype=np.int64)))
-                if most >= needed(na[i], nb[i]):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (us, vs)], schema=schema)
+        for us, vs, a, b, na, nb in slices(batches, "u", "v", "a", "b", "na", "nb", rows=1024):
+            na, nb = np.asarray(na, np.int64), np.asarray(nb, np.int64)
+            kept = np.flatnonzero(most_shared(a, b, na, nb, bits) >= needed(na, nb))
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)[kept]) for x in (us, vs)], schema=schema)
 
     fits = (F.least("na", "nb") * DENOMINATOR >= F.greatest("na", "nb") * NUMERATOR)
-    # Sizes alone leave out most pairs; only the rest is joined with counts.
-    sized = (pairs.join(points.select(F.col("sid").alias("u"), F.col("n").alias("na")), "u")
-             .join(points.select(F.col("sid").alias("v"), F.col("n").alias("nb")), "v").filter(fits))
-    return (sized.join(points.select(F.col("sid").alias("u"), F.col("counts").alias("a")), "u")
-            .join(points.select(F.col("sid").alias("v"), F.col("counts").alias("b")), "v").mapInArrow(bound, ddl))
+    return (pairs.join(points.select(F.col("sid").alias("u"), F.col("n").alias("na"), F.col(counts).alias("a")), "u")
+            .join(points.select(F.col("sid").alias("v"), F.col("n").alias("nb"), F.col(counts).alias("b")), "v")
+            .filter(fits).mapInArrow(bound, ddl))
+
+
+def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` that coarse counts allow, and then full ones: only what the former leave is joined with the
+    latter, which are larger."""
+    return _bounded(settled(_bounded(pairs, points, "coarse", 4)), points)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
@@ -402,75 +473,80 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
 
 
 def _leaf_pairs(rows: DataFrame, keys: int) -> DataFrame:
-    """Pairs ``u, v`` of different components and fitting sizes in blocks of at most LEAF rows: ``rows`` of block,
-    sid, component, n. Such a block is a single leaf; its pairs, mostly met in several blocks, are made distinct
+    """Pairs ``u, v`` of different components and fitting sizes, the smaller one early, in blocks of at most LEAF
+    rows: ``rows`` of block, sid, component, size, early. Such a block is a single leaf; its pairs, mostly met in several blocks, are made distinct
     before their counts are looked at."""
     def search(group: pd.DataFrame) -> pd.DataFrame:
         by = np.argsort(group.block.to_numpy(), kind="stable")
-        block, sid, component, n = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "n"))
+        block, sid, component, size, early = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "size", "early"))
+        size = size.astype(np.int64)
         found = [np.zeros((0, 2), np.int64)]
         for d in range(1, LEAF):
             i = np.flatnonzero(block[d:] == block[:-d])
             if not len(i):
                 break
             j = i + d
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            fits = (component[i] != component[j]) & (DENOMINATOR * low >= NUMERATOR * high)
+            # Of sets in one step either may be the smaller one.
+            fits = ((component[i] != component[j]) & (np.abs(size[i] - size[j]) <= SIZE_REACH)
+                    & ((early[i] & (size[i] <= size[j])) | (early[j] & (size[j] <= size[i]))))
             pair = np.stack([sid[i[fits]], sid[j[fits]]], axis=1)
             found.append(np.unique(np.sort(pair, axis=1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return (rows.select(F.pmod("block", F.lit(keys)).alias("_key"), "block", "sid", "component", "n").groupBy("_key")
+    return (rows.select(F.pmod("block", F.lit(keys)).alias("_key"), "block", "sid", "component", "size", "early")
+            .groupBy("_key")
             .applyInPandas(search, "u long, v long").distinct())
 
 
-def _search(rows: DataFrame, keys: int) -> DataFrame:
-    """Pairs ``u, v`` that the trees let through: ``rows`` of block, sid, component, n, counts, size (rows of the
-    block) and blocks (all blocks of the set in ``rows``, packed). Blocks of a tile at most share ``keys`` groups.
-    A pair that has several blocks in common is given by the first of them alone."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+def _search(rows: DataFrame, points: DataFrame, keys: int) -> DataFrame:
+    """Pairs ``u, v`` that the trees let through, perhaps repeated: ``rows`` of block, sid, component, members (rows of
+    the block). Blocks of a tile at most share ``keys`` groups; a set and its counts go once to a group, with the list
+    of its blocks there."""
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")
     dealt = (rows.withColumn("tiles", tiles).withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
              .withColumn("key", F.when(F.col("tiles") > 1, F.col("block")).otherwise(F.pmod("block", F.lit(keys)))))
+    listed = (dealt.groupBy("key", "x", "y", "sid").agg(F.first("component").alias("component"), F.first("mine").alias("mine"),
+                                                        F.collect_list("block").alias("blocks"))
+              .join(points.select("sid", "n", "counts"), "sid"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        us, vs = [], []
+        found = [np.zeros((0, 2), np.int64)]
         across = group.x.iloc[0] != group.y.iloc[0]
-        by = np.argsort(group.block.to_numpy(), kind="stable")
-        block, sids, components_, sizes_, mines = (group[c].to_numpy()[by] for c in ("block", "sid", "component", "n", "mine"))
-        blobs = [group["counts"].iloc[i] for i in by]
-        lists = [frozenset(x) for x in group["blocks"].iloc[by]]
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        for b, e in zip(cuts, cuts[1:]):
-            component, sid, mine, here = components_[b:e], sids[b:e], mines[b:e], int(block[b])
+        sids, components_, sizes_, mines = (group[c].to_numpy() for c in ("sid", "component", "n", "mine"))
+        blobs = group["counts"].tolist()
+        lists = [np.asarray(x, np.int64) for x in group["blocks"]]
+        row, block = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+        by = np.argsort(block, kind="stable")
+        row, block = row[by], block[by]
+        for rows_ in np.split(row, np.flatnonzero(np.diff(block)) + 1):
+            component, sid, mine = components_[rows_], sids[rows_], mines[rows_]
             if (component == component[0]).all():
                 continue
-            sizes = sizes_[b:e].astype(np.int64)
-            width = np.asarray([len(x) for x in blobs[b:e]])
+            sizes = sizes_[rows_].astype(np.int64)
+            width = np.asarray([len(blobs[i]) for i in rows_])
             # Sets that can reach the threshold have as many groups or half as many: a tree for each number of groups.
             for w in np.unique(width).tolist():
                 inside = np.flatnonzero((width == w) | (width == 2 * w))
                 cells = 4 * w
                 while cells > 64 and len(inside) * cells > CELLS:
                     cells //= 2
-                tree = CountTree(points_of([blobs[b + i] for i in inside], cells), sizes[inside])
+                tree = CountTree(points_of([blobs[rows_[i]] for i in inside], cells), sizes[inside])
                 for k in np.flatnonzero(width[inside] == w).tolist():
                     i = inside[k]
                     j = inside[tree.search(k)]
                     j = j[((width[j] > w) | (sid[j] > sid[i])) & (component[j] != component[i])]
                     if across:
                         j = j[mine[j] != mine[i]]
-                    for m in j.tolist():
-                        if min(lists[b + i] & lists[b + m]) == here:
-                            us.append(min(sid[i], sid[m]))
-                            vs.append(max(sid[i], sid[m]))
-        return pd.DataFrame({"u": np.asarray(us, np.int64), "v": np.asarray(vs, np.int64)})
+                    if len(j):
+                        found.append(np.sort(np.stack([np.full(len(j), sid[i]), sid[j]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return (dealt.select("key", "x", "y", "block", "blocks", "sid", "component", "n", "counts", "mine").groupBy("key", "x", "y")
-            .applyInPandas(search, "u long, v long"))
+    return listed.groupBy("key", "x", "y").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -487,7 +563,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = described.filter("kind = 0").drop("kind")
     linked = rows.filter("doc_id IS NOT NULL")
     points = settled(texts.filter("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")))
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse")))
     known = (described.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n"))
              .orderBy(F.desc("n"), "sid").limit(FREQUENT_KNOWN).collect())
     # The most frequent come last in the order of shingles.
@@ -495,24 +571,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles = points.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = settled(_signatures(linked, frequent, max(1, shingles // (4 * BUCKET_ROWS) + 1)).distinct())
 
-    leaders = blocks.groupBy("block").agg(F.min("sid").alias("l1"), F.min_by("sid", F.xxhash64("sid")).alias("l2"))
-    stars = (blocks.join(leaders, "block").select(F.col("sid").alias("u"), F.explode(F.array("l1", "l2")).alias("v"))
-             .filter("u <> v").distinct())
-    first = settled(_verified(settled(_bounded(stars, points)), linked, points))
+    # Only pairs with a leader whose size may fit.
+    leaders = blocks.groupBy("block").agg(F.min(F.struct("sid", "size")).alias("l1"),
+                                          F.min_by(F.struct("sid", "size"), F.xxhash64("sid")).alias("l2"))
+    stars = (blocks.join(leaders, "block").select(F.col("sid").alias("u"), "size", F.explode(F.array("l1", "l2")).alias("l"))
+             .filter(F.col("u") != F.col("l.sid")).filter(F.abs(F.col("size") - F.col("l.size")) <= SIZE_REACH)
+             .select("u", F.col("l.sid").alias("v")).distinct())
+    first = settled(_verified(settled(_allowed(stars, points)), linked, points))
     group = components(first)
-    placed = (blocks.join(group.withColumnRenamed("node", "sid"), "sid", "left")
-              .withColumn("component", F.coalesce("component", "sid")))
-    placed = settled(placed)
-    open_blocks = (placed.groupBy("block").agg(F.min("component").alias("_a"), F.max("component").alias("_b"),
-                                               F.count(F.lit(1)).alias("size")).filter("_a <> _b").select("block", "size"))
-    open_rows = open_blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    placed = settled(blocks.join(group.withColumnRenamed("node", "sid"), "sid", "left")
+                     .withColumn("component", F.coalesce("component", "sid")))
+    open_blocks = (placed.groupBy("block").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("sid")).alias("_f"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("_g")).filter("_a <> _b"))
+    # Of large blocks with the same members one is searched.
+    open_blocks = settled(open_blocks.groupBy("members", F.when(F.col("members") <= LEAF, F.col("block")).alias("_h"), "_f", "_g")
+                          .agg(F.min("block").alias("block")).select("block", "members"))
+    open_rows = open_blocks.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     keys = open_rows // (16 * TILE) + 1
-    left = placed.join(open_blocks, "block").join(points.select("sid", "n"), "sid")
-    small = _bounded(_leaf_pairs(left.filter(F.col("size") <= LEAF), keys), points)
-    wide = left.filter(F.col("size") > LEAF)
-    # A set has at most as many blocks as its prefix has shingles.
-    every = wide.groupBy("sid").agg(F.collect_list("block").alias("blocks"))
-    large = _search(wide.join(every, "sid").join(points.select("sid", "counts"), "sid"), keys)
+    left = placed.join(open_blocks, "block")
+    small = _allowed(_leaf_pairs(left.filter(F.col("members") <= LEAF), keys), points)
+    large = _search(left.filter(F.col("members") > LEAF), points, keys)
     second = _verified(settled(small.unionByName(large).distinct()), linked, points)
     links = settled(first.unionByName(second).distinct())
     group = settled(components(links))
