@@ -273,3 +273,65 @@ def test_near_duplicates_at_the_threshold_across_numbers_of_groups(spark):
         rows.append((2 * k + 1, " ".join(shared + [f"b{k}x{i}" for i in range(12)])))
     found = near(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(found) == sorted((i, 64 if i % 2 == 0 else 69, i - i % 2) for i, _ in rows)
+
+
+@pytest.mark.parametrize("column, bits", [("counts_of", 2), ("coarse_of", 4)])
+def test_counts_never_promise_less_than_is_shared(column, bits):
+    """Sets of unlike sizes, with crowded groups, against their real intersections."""
+    rng = np.random.default_rng(6)
+    count = getattr(jaccard, column)
+    left, right = [], []
+    for size in (1, 2, 5, 16, 17, 64, 250, 1000):
+        for _ in range(60):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+            base[: size // 3] >>= np.uint64(int(rng.integers(0, 40)))
+            own = rng.integers(0, 1 << 63, int(rng.integers(1, size + 1)), dtype=np.uint64)
+            left.append(np.unique(base))
+            right.append(np.unique(np.concatenate([rng.choice(base, int(rng.integers(1, size + 1))), own])))
+    sizes = [np.asarray([len(s) for s in side]) for side in (left, right)]
+    shared = np.asarray([len(np.intersect1d(a, b)) for a, b in zip(left, right, strict=True)])
+    most = jaccard.most_shared([count(s) for s in left], [count(s) for s in right], *sizes, bits)
+    assert (most >= shared).all() and (most <= np.minimum(*sizes)).all()
+    unlike = jaccard.most_shared([count(s) for s in left[-60:]], [count(s) for s in left[-1:] * 60], sizes[0][-60:], sizes[0][-1:].repeat(60), bits)
+    assert (unlike[:-1] < jaccard.needed(1000, 1000)).all()
+
+
+def test_rows_without_a_partner_go():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        block = rng.integers(0, 40, 150).astype(np.uint32)
+        size = rng.integers(2000, 2900, 150)
+        early, several = rng.random(150) < 0.5, rng.random(150) < 0.03
+        kept = jaccard.paired(block, (size << 2 | early << 1 | several).astype(np.uint16))
+        want = []
+        for i in range(150):
+            others = [j for j in range(150) if j != i and block[j] == block[i]]
+            pair = [abs(size[i] - size[j]) <= jaccard.SIZE_REACH and (early[i] and size[i] <= size[j] or early[j] and size[j] <= size[i])
+                    for j in others]
+            if any(pair) or others and (several[i] or any(several[j] for j in others)):
+                want.append(i)
+        assert kept.tolist() == want
+
+
+def test_sizes_that_fit_are_within_reach():
+    n = np.arange(1, 200_000)
+    largest = n * jaccard.DENOMINATOR // jaccard.NUMERATOR
+    step = lambda x: (jaccard.SIZE_STEPS * np.log(x)).astype(np.int64)
+    assert (step(largest) - step(n)).max() <= jaccard.SIZE_REACH
+
+
+def test_rows_to_search_grow_in_proportion(spark, monkeypatch):
+    """Forty texts just below the threshold that share the same shingles: one block of forty is searched, or a few,
+    however long the texts are."""
+    seen, search = [], jaccard._search
+
+    def counting(rows, *more):
+        seen.append(rows.count())
+        return search(rows, *more)
+
+    monkeypatch.setattr(jaccard, "_search", counting)
+    for words in (200, 800):
+        shared = [f"s{k}" for k in range(words * 84 // 100)]
+        rows = [(i, " ".join(shared + [f"o{i}x{k}" for k in range(words - len(shared))])) for i in range(40)]
+        assert near(spark.createDataFrame(rows, "doc_id long, text string")) == [(i, words - 4, i) for i in sorted(range(40), key=str)]
+    assert 0 < seen[0] and seen[1] <= 4 * seen[0]
