@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from flightwatch.operators import learning as L
 from flightwatch.operators.terrain import terrain_of
@@ -49,12 +50,26 @@ def _arrive(df: DataFrame, jitter_s: float = JITTER_S, slices: int = SLICES, clo
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
+def _to_the_end(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Run a stream until its input is read.
+
+    A micro-batch has a task for every partition of state, however little is in it, and each reports to the driver;
+    they are fixed for a checkpoint and never coalesced. So there are no more of them than cores.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        running = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    running.awaitTermination()
+
+
 def _finish(stream: DataFrame) -> DataFrame:
     folder = f"{shared_folder(stream)}/stream-{uuid.uuid4().hex}"
-    running = (stream.writeStream.format("parquet").option("path", f"{folder}/rows")
-               .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
-               .trigger(availableNow=True).start())
-    running.awaitTermination()
+    _to_the_end(stream.writeStream.format("parquet").option("path", f"{folder}/rows")
+                .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append"), stream.sparkSession)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -181,7 +196,7 @@ def t07(spark, sf):
     messages = _messages(spark, sf).withColumn("vx", F.when(slow & F.col("vx").isNotNull(), 200.0).otherwise(F.col("vx")))
     folder = f"{shared_folder(messages)}/scores-{uuid.uuid4().hex}"
     stream = live.live_windows(_arrive(messages), default=sorted(models)[0])
-    live.score_stream(stream, models, folder, default=sorted(models)[0]).trigger(availableNow=True).start().awaitTermination()
+    _to_the_end(live.score_stream(stream, models, folder, default=sorted(models)[0]), spark)
     done = settled(spark.read.parquet(f"{folder}/windows").drop("batch"))
     alerts = spark.read.parquet(f"{folder}/alerts").select("flight_id", "ts", F.lit(True).alias("_alert"))
     logged = spark.read.option("header", True).csv(f"{folder}/scores").select(
@@ -208,8 +223,8 @@ def t10(spark, sf):
     rows = _timed(spark, sf).select("ts", terrain_of(F.col("alt_m")).alias("terrain"), F.col("score").alias("anom_proba"))
     folder = f"{shared_folder(rows)}/dashboard-{uuid.uuid4().hex}"
     flush = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/{number:09d}")
-    (live.dashboard(_arrive(rows, closing=False)).writeStream.outputMode("complete").foreachBatch(flush)
-     .option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination())
+    _to_the_end(live.dashboard(_arrive(rows, closing=False)).writeStream.outputMode("complete").foreachBatch(flush)
+                .option("checkpointLocation", f"{folder}-checkpoint"), spark)
     newest = spark.read.parquet(f"{folder}/*").select("*", F.col("_metadata.file_path").alias("_file"))
     last = newest.groupBy("terrain").agg(F.max_by(F.struct("rows", "mean_anom_proba"), "_file").alias("r"))
     return last.select("terrain", "r.rows", F.round("r.mean_anom_proba", 6).alias("mean_anom_proba"))

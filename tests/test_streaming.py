@@ -2,6 +2,7 @@
 
 import time
 import uuid
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -106,3 +107,21 @@ def test_latest_values_are_those_of_the_batch_operator(spark):
             a, b = batch[c].astype(object).where(batch[c].notna(), None).tolist(), stream[c].astype(object).where(stream[c].notna(), None).tolist()
             assert a == b, (c, a, b)
     assert batch["vel_m_s"].notna().any() and batch["mode"].notna().any()
+
+
+def test_state_has_no_more_partitions_than_cores(spark):
+    """Every partition of state is a task a micro-batch that reports to the driver; the session's number stays."""
+    from flightwatch.plans import stream_queries as Q
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.createDataFrame([(START + i * 1000, f"k{i % 3}") for i in range(100)], "ms long, msg_type string")
+        stream = live.message_counts(Q._arrive(rows.select(F.timestamp_millis("ms").alias("ts"), "msg_type"), closing=False))
+        told = []
+        original = spark.sparkContext.defaultParallelism
+        Q._finish(stream).count()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        for folder in Path(Q.shared_folder(rows).removeprefix("file:")).glob("stream-*/checkpoint/state/0"):
+            told.append(len([f for f in folder.iterdir() if f.name.isdigit()]))
+        assert told and max(told) <= original
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
