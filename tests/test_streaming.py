@@ -7,6 +7,7 @@ from pathlib import Path
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightwatch.operators import messages as M
 from flightwatch.streaming import live
@@ -109,6 +110,49 @@ def test_latest_values_are_those_of_the_batch_operator(spark):
     assert batch["vel_m_s"].notna().any() and batch["mode"].notna().any()
 
 
+def test_steps_of_many_flights_at_once_are_those_of_each_alone():
+    """Half of the rows at a time, what is remembered in between; flights that come in one half only."""
+    n = 240
+    rows = pd.DataFrame({"flight_id": [f"f{i * i % 11}" for i in range(n)], "ts": [START + i for i in range(n)],
+                         "x": [None if i % 13 == 0 else float(i % 7) for i in range(n)], "lat_deg": [float(i // 40) for i in range(n)],
+                         "terrain": ["sea" if i // 50 % 2 else "flat" for i in range(n)], "features": [[float(i), 1.0] for i in range(n)]})
+    rows.loc[rows.index < 60, "flight_id"] = "early"
+    rows.loc[rows.index >= 200, "flight_id"] = "later"
+
+    def in_halves(step, part):
+        memory, outs = pd.DataFrame(), []
+        for half in (part[part["ts"] < START + 100], part[part["ts"] >= START + 100]):
+            if len(half):
+                out, new = step.run(half.sort_values(["flight_id", "ts"], kind="stable", ignore_index=True), memory)
+                memory = pd.concat([memory[~memory.index.isin(new.index)], new]) if len(memory) else new
+                outs.append(out)
+        return pd.concat(outs)
+
+    for step, columns in ((live.smooth_step("x"), ["smoothed"]), (live.debounce_step("terrain", 3, "flat"), ["active", "switched"]),
+                          (live.stale_step(), ["live_stale"]), (live.buffer_step("features", 4), ["vector"])):
+        told = lambda df: {r["ts"]: str([list(r[c]) if c == "vector" else r[c] for c in columns]) for r in df.to_dict("records")}
+        alone = {}
+        for _, part in rows.groupby("flight_id"):
+            alone |= told(in_halves(step, part))
+        assert told(in_halves(step, rows)) == alone and len(alone) > 200 - 4 * 8
+
+
+def test_state_is_kept_by_lane_and_not_by_flight(spark, tmp_path):
+    """A micro-batch calls the step once for the flights of a lane: the number of calls does not follow the flights."""
+    spark.conf.set("flightwatch.stream.lanes", "2")
+    try:
+        many = [(f"f{i % 40}", START + i * 100, float(i % 7)) for i in range(400)]
+        arrive(spark, str(tmp_path / "in"), [many, END])
+
+        def count(rows, memory):
+            return rows.assign(met=rows["flight_id"].nunique()), memory
+        step = live.Step(count, [T.StructField("met", T.LongType())])
+        got = run(spark, str(tmp_path / "in"), 1, str(tmp_path / "out"), lambda s: live.ordered(s, step, "60 seconds"))
+        assert got.count() == 400 and got.agg(F.min("met")).first()[0] > 5
+    finally:
+        spark.conf.unset("flightwatch.stream.lanes")
+
+
 def test_state_has_no_more_partitions_than_cores(spark):
     """Every partition of state is a task a micro-batch that reports to the driver; the session's number stays."""
     from flightwatch.plans import stream_queries as Q
