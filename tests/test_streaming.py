@@ -169,3 +169,17 @@ def test_state_has_no_more_partitions_than_cores(spark):
         assert told and max(told) <= original
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_logged_scores_meet_by_instant_and_value(spark):
+    """As a comparison of all pairs tells; values at the borders of ranges, unknown ones, and equal instants."""
+    from flightwatch.plans import stream_queries as Q
+    values = [0.0, 1e-5, 0.999999e-5, 1.0000004e-5, 0.30000049, 0.2999999, 1.0, None]
+    rows = [(f"f{i}", 100 * (i % 2), v) for i in range(6) for v in values]
+    logged = [(0, round(v, 6)) for v in values if v is not None] + [(100, 0.3), (100, 0.000011)]
+    met = Q._with_logged(spark.createDataFrame(rows, "flight_id string, ms long, smoothed double"),
+                         spark.createDataFrame(logged, "_ms long, _logged double").distinct())
+    told = {(r["flight_id"], r["ms"], r["smoothed"]): r["has"] for r in met.groupBy("flight_id", "ms", "smoothed").agg(
+        F.bool_or(F.col("_logged").isNotNull()).alias("has")).collect()}
+    assert told == {(f, ms, v): any(m == ms and v is not None and abs(v - x) <= 1e-6 for m, x in logged) for f, ms, v in rows}
+    assert "_step" in next(line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
