@@ -6,7 +6,9 @@ which label, and that every one has a probability.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ TREES = 100
 DEPTH = 15
 
 
-def _windows(spark, sf):
-    """Windows of cleaned, labelled rows; the label is the true one, the terrain the flight's."""
-    rows = labelled(spark, sf).withColumn("label", F.col("truth"))
+def _rows(spark, sf):
+    """Cleaned, labelled rows; the label is the true one."""
+    return labelled(spark, sf).withColumn("label", F.col("truth"))
+
+
+def _windows(spark, sf, rows=None):
+    """Windows of ``_rows`` (made here if not given); the terrain is the flight's."""
+    rows = _rows(spark, sf) if rows is None else rows
     windows = L.scoring_windows(rows)
     terrain = majority(rows.withColumn("terrain", terrain_of(F.col("alt_m"))), "terrain")
     return settled(windows.join(terrain, "flight_id"))
@@ -118,19 +125,25 @@ def m09(spark, sf):
  SELECT flight_id, win AS window_idx, CASE WHEN flight_id % 3 = 0 THEN 'area' WHEN win >= 4 THEN terrain ELSE 'flat' END AS model, true AS valid FROM true_windows"""))
 def m09_home(spark, sf):
     """Flights that begin inside the area's box are scored by its model, all along, whatever the terrain says."""
-    box = (47.0, 48.0, 8.0, 9.0)
-    model = L.train_area(_windows(spark, sf), box, TREES, DEPTH)
-    return _scored(spark, sf, area=(model, box), use_home=True).selectExpr("flight_id", "window_idx", "model", _VALID)
-
-
-def _scored(spark, sf, **how):
-    rows = labelled(spark, sf).withColumn("label", F.col("truth"))
-    windows = _windows(spark, sf)
-    forests = {t: L.fit_forest(windows.filter(F.col("terrain") == t), TREES, depth=DEPTH)
-              for t in sorted(r["terrain"] for r in windows.select("terrain").distinct().collect())}
+    return _scored(spark, sf, box=(47.0, 48.0, 8.0, 9.0), use_home=True).selectExpr("flight_id", "window_idx", "model", _VALID)
+
+
+def _scored(spark, sf, box=None, **how):
+    """All windows scored by a forest for each terrain, and by one for ``box`` if given. Rows and windows are made once."""
+    rows = _rows(spark, sf)
+    windows = _windows(spark, sf, rows)
+    terrains = sorted(r["terrain"] for r in windows.select("terrain").distinct().collect())
+    fits = [functools.partial(L.fit_forest, windows.filter(F.col("terrain") == t), TREES, depth=DEPTH) for t in terrains]
+    if box:
+        fits.append(functools.partial(L.train_area, windows, box, TREES, DEPTH))
+    # Side by side, so that one fit's last tasks do not leave the cluster idle.
+    with ThreadPoolExecutor(4) as pool:
+        fitted = [f.result() for f in [pool.submit(fit) for fit in fits]]
+    forests = dict(zip(terrains, fitted))
     elevations = (rows.groupBy(cell(F.col("lat_deg")).alias("lat_key"), cell(F.col("lon_deg")).alias("lon_key"))
                   .agg(F.max("alt_m").alias("elevation")))
-    return L.score_flights(rows, forests, elevations, default=sorted(forests)[0], **how)
+    area = (fitted[-1], box) if box else None
+    return L.score_flights(rows, forests, elevations, default=terrains[0], area=area, **how)
 
 
 @query("m10_probability_trace", _true("""

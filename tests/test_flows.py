@@ -52,3 +52,14 @@ class _Nothing:
     def transform(self, df):
         from pyspark.ml.functions import array_to_vector
         return df.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5)))).withColumn("prediction", F.lit(0.0))
+
+
+def test_home_area_makes_rows_and_windows_once(spark, monkeypatch):
+    from flightwatch.plans import model_queries as Q
+    made = []
+    for name in ("labelled", "_windows"):
+        original = getattr(Q, name)
+        monkeypatch.setattr(Q, name, lambda *a, name=name, original=original: made.append(name) or original(*a))
+    monkeypatch.setattr(Q, "TREES", 2)
+    assert Q.m09_home(spark, "/root/testdata/sf0.001").count() > 0
+    assert made == ["labelled", "_windows"]
