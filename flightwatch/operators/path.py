@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightwatch.operators.terrain import path_length
-from flightwatch.operators.timeline import CHUNK, KEYS, lane, settled, with_chunk
+from flightwatch.operators.timeline import CHUNK, KEYS, row_number, settled, with_chunk, with_prefix
 
 BLOCK_ROWS = 4096
 FAN = 64
@@ -116,7 +116,7 @@ def _stretches(km: float):
     points = ["time_s", "lat_deg", "lon_deg", "path_km"]
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("time_s", kind="stable", ignore_index=True)
+        block = block.sort_values("time_s", kind="stable", na_position="first", ignore_index=True)
         cuts = _cuts_of(block["path_km"].to_numpy(), block["before_km"].iloc[0], km)
         number = block["before_cuts"].to_numpy() + np.searchsorted(cuts, np.arange(len(block)), "right") - 1
         row, stretch = np.concatenate([np.arange(len(block)), cuts]), np.concatenate([number, number[cuts] - 1])
@@ -139,12 +139,12 @@ def _blocks(measured: DataFrame, km: float, block_rows: int, fan: int) -> DataFr
     """The rows with the number of their block along the flight, ``_rank``, the last cut before that block,
     ``before_km``, and how many there are, ``before_cuts``."""
     kind = measured.schema["flight_id"].dataType.simpleString()
-    block = F.struct(F.col(CHUNK).alias("chunk"), F.floor((F.row_number().over(lane()) - 1) / block_rows).alias("part"))
-    blocked = settled(with_chunk(measured).withColumn("_block", block))
-    # One row per block.
-    ranks = blocked.groupBy(*KEYS, "_block").agg(F.count(F.lit(1)).alias("_rows")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy("_block")).cast("long") - 1).drop("_rows")
-    ranked = settled(blocked.join(ranks, [*KEYS, "_block"]).drop("_block", CHUNK))
+    # Blocks are of equal numbers of rows, whatever the width of chunks: narrow chunks do not make many small blocks.
+    # Flights without an id have no cuts; rows without a time come first.
+    rows = with_chunk(measured).filter(" AND ".join(f"{k} IS NOT NULL" for k in KEYS))
+    rows = settled(rows.withColumn(CHUNK, F.coalesce(CHUNK, F.lit(-(1 << 63)))))
+    placed = with_prefix(rows, {"_nth": row_number()})
+    ranked = settled(placed.withColumn("_rank", F.floor((F.col("_nth") - 1) / block_rows).cast("long")).drop("_nth", CHUNK))
     shape = f"flight_id {kind}, _rank long, first_km double, entry_km array<double>, last_km array<double>, cuts array<long>"
     levels = [settled(ranked.groupBy(*KEYS, "_rank").applyInPandas(_block_map(km), shape))]
     group = F.floor(F.col("_rank") / fan).cast("long")
@@ -167,7 +167,7 @@ def _blocks(measured: DataFrame, km: float, block_rows: int, fan: int) -> DataFr
 def path_cuts(measured: DataFrame, segment_km: float = 1.0, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """(flight_id, time_s) of all cuts; ``measured`` has path_km per row."""
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("time_s", kind="stable")
+        block = block.sort_values("time_s", kind="stable", na_position="first")
         at = _cuts_of(block["path_km"].to_numpy(), block["before_km"].iloc[0], segment_km)
         return block.iloc[at][["flight_id", "time_s"]]
 
