@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightwatch.llm import decontamination, jaccard, language, packing, pii
-from flightwatch.llm.tables import shared_root, table
+from flightwatch.llm.tables import settled, shared_root, table
+
+
+#: Numbers (8 bytes each) up to which they are broadcast; beyond, texts move to them.
+BROADCAST_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.recognised(docs, net) if net.languages else docs
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Numbers, written first and broadcast if they are few: then the texts need not move to meet them."""
+    ids = settled(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; of rows with the same id one stays.
     Rows without an id are in no group and stay."""
     found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    losers = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct()
+    losers = _few(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_loser")).distinct())
     kept = docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
     repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if not repeated.take(1):
@@ -40,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     the text alone, so texts are looked up by their hash, and rows without an id are judged as well."""
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontamination.contamination(texts, table(spark, sf_dir, "benchmark"))
-    dirty = found.filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
+    dirty = _few(found.filter("contaminated").select(F.col("doc_id").alias("_dirty")).distinct())
     return docs.join(dirty, F.xxhash64("text") == F.col("_dirty"), "left_anti")
 
 

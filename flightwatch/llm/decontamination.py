@@ -228,6 +228,16 @@ def _windows(pieces, window: int) -> dict[tuple[bytes, ...], list[int]]:
     return {k: sorted(v) for k, v in out.items()}
 
 
+def runs_of(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches [begin, end) in order, those that overlap or touch as one: memory goes with the stretches, not
+    with the positions they lie among."""
+    by = np.argsort(begins, kind="stable")
+    begins, until = begins[by], np.maximum.accumulate(ends[by])
+    apart = begins[1:] > until[:-1]
+    edge = np.ones(min(1, len(begins)), bool)
+    return begins[np.concatenate([edge, apart])], until[np.concatenate([apart, edge])]
+
+
 def _hits(index: DataFrame, asked: dict[tuple[bytes, ...], list[int]], part: int) -> DataFrame:
     """For each document of each shard: runs of hit words and the items found, for one block of windows."""
     ddl = ("shard long, nth int, part int, doc_id long, n_words long, runs array<struct<b:long,e:long>>, items array<long>")
@@ -247,19 +257,18 @@ def _hits(index: DataFrame, asked: dict[tuple[bytes, ...], list[int]], part: int
                 shard = Shard(row)
                 there = np.zeros(len(names), bool)
                 there[[names[t] for t in shard.lists if t in names]] = True
-                edges = np.zeros(shard.end + 1, np.int32)
+                found, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 items: dict[int, set[int]] = {}
                 for n, ws, terms in tables:
                     for k in np.flatnonzero(there[terms].all(axis=1)):  # all its terms occur somewhere in the shard
                         starts = shard.phrase(ws[k])
                         if len(starts):
-                            np.add.at(edges, starts, 1)
-                            np.add.at(edges, starts + n, -1)
+                            found.append(starts)
+                            lengths.append(np.full(len(starts), n))
                             for d in np.unique(shard.document(starts)):
                                 items.setdefault(int(d), set()).update(asked[ws[k]])
-                hit = np.concatenate([[0], np.cumsum(edges) > 0, [0]]).astype(np.int8)
-                change = np.diff(hit)
-                begins, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+                starts = np.concatenate(found)
+                begins, ends = runs_of(starts, starts + np.concatenate(lengths))
                 owner = shard.document(begins)
                 runs: dict[int, list[tuple[int, int]]] = {}
                 for d, b, e in zip(owner, begins - shard.starts[owner], ends - shard.starts[owner], strict=True):
