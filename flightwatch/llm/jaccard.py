@@ -13,6 +13,9 @@ of fitting size go before anything moves on. Equal sets are one point. In each b
    with a number of comparisons linear in their size;
 2. points of one component need not be compared again, so the trees search what is left: pairs of a block
    from different components. Blocks with the same members are searched once.
+3. where the trees let through more pairs than points, no pairs are told: these points are compared with the one that
+   most leaders are linked with, and what is still open where the sets lie, set by set. This tells only the links that
+   join components: never more of them than points.
 
 Pairs are looked at by few coarse counts first, and by the full ones if these allow the threshold. Blocks larger than a tile are cut into tiles and every pair of tiles is searched, so no task holds a block
 whole and no pair is lost.
@@ -51,6 +54,8 @@ GROUPS_EACH, LEAST_LOG, MOST_LOG = 2, 3, 17
 COARSER, CELLS = 8, 1 << 25
 BUCKET_ROWS = 400_000
 TILE, LEAF = 1024, 32
+#: Shingles of the sets of a tile, about.
+TILE_SHINGLES = 2_000_000
 #: Numbers of sets (16 bytes each) up to which they are broadcast to find their texts; beyond, texts move to them.
 BROADCAST_SETS = 1_000_000
 #: Pairs that are compared with one set in a task.
@@ -259,8 +264,12 @@ def _described(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
     def frequent(run: dict[int, np.ndarray]):
-        found, n = np.unique(np.concatenate(list(run.values())), return_counts=True)
-        found, n = found[n >= FREQUENT], n[n >= FREQUENT]
+        every = np.concatenate(list(run.values()))
+        run.clear()
+        every.sort()
+        # Equal ones lie side by side; only what is frequent is counted.
+        found = np.unique(every[FREQUENT - 1:][every[FREQUENT - 1:] == every[:len(every) - FREQUENT + 1]])
+        n = np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")
         return batch(1, [None] * len(n), n.tolist(), found.astype(np.int64).tolist(), [None] * len(n), [None] * len(n))
 
     def describe(batches):
@@ -431,8 +440,8 @@ def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return _bounded(settled(_bounded(pairs, points, "coarse", 4)), points)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose sets, made again from the texts, reach the threshold."""
+def _sets(asked: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
+    """``want, items``: the sets named by ``sid`` in ``asked`` (distinct), made again from the texts."""
     ddl = "sid long, items binary"
     schema = arrow_schema(ddl)
 
@@ -444,11 +453,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)],
                                                  schema=schema)
 
-    asked = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
     wanted = settled(asked.join(points, "sid").select("doc_id", F.col("sid").alias("want")))
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
-    made = docs.join(wanted, "doc_id").select("want", "text").mapInArrow(sets, ddl)
+    return docs.join(wanted, "doc_id").select("want", "text").mapInArrow(sets, ddl)
+
+
+def reaches(head: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets reach the threshold with ``head``."""
+    sizes = np.asarray([len(x) for x in others], np.int64)
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(head, every), len(head) - 1)
+    both = np.add.reduceat(head[at] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return DENOMINATOR * both >= NUMERATOR * (len(head) + sizes - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose sets, made again from the texts, reach the threshold."""
+    asked = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    made = _sets(asked, docs, points).withColumnRenamed("want", "sid")
     # A set with many partners is compared in several places.
     degree = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("_places"))
     dealt = (pairs.join(degree, "v").withColumn("place", F.pmod(F.xxhash64("u"), F.col("_places")).cast("long")))
@@ -499,54 +522,141 @@ def _leaf_pairs(rows: DataFrame, keys: int) -> DataFrame:
             .applyInPandas(search, "u long, v long").distinct())
 
 
-def _search(rows: DataFrame, points: DataFrame, keys: int) -> DataFrame:
-    """Pairs ``u, v`` that the trees let through, perhaps repeated: ``rows`` of block, sid, component, members (rows of
-    the block). Blocks of a tile at most share ``keys`` groups; a set and its counts go once to a group, with the list
-    of its blocks there."""
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
+def _candidates(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Block by block, and a tree for each: a row of the group and those from other components that may be its partners."""
+    across = group.x.iloc[0] != group.y.iloc[0]
+    sids, components_, sizes_, mines = (group[c].to_numpy() for c in ("sid", "component", "n", "mine"))
+    blobs = group["counts"].tolist()
+    lists = [np.asarray(x, np.int64) for x in group["blocks"]]
+    row, block = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    by = np.argsort(block, kind="stable")
+    row, block = row[by], block[by]
+    for rows_ in np.split(row, np.flatnonzero(np.diff(block)) + 1):
+        component, sid, mine = components_[rows_], sids[rows_], mines[rows_]
+        if (component == component[0]).all():
+            continue
+        sizes = sizes_[rows_].astype(np.int64)
+        width = np.asarray([len(blobs[i]) for i in rows_])
+        # Sets that can reach the threshold have as many groups or half as many: a tree for each number of groups.
+        for w in np.unique(width).tolist():
+            inside = np.flatnonzero((width == w) | (width == 2 * w))
+            cells = 4 * w
+            while cells > 64 and len(inside) * cells > CELLS:
+                cells //= 2
+            tree = CountTree(points_of([blobs[rows_[i]] for i in inside], cells), sizes[inside])
+            for k in np.flatnonzero(width[inside] == w).tolist():
+                i = inside[k]
+                j = inside[tree.search(k)]
+                j = j[((width[j] > w) | (sid[j] > sid[i])) & (component[j] != component[i])]
+                if across:
+                    j = j[mine[j] != mine[i]]
+                if len(j):
+                    yield int(rows_[i]), rows_[j]
+
+
+def few_candidates(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs ``u, v`` of a group; if there are more than rows, only its name, with null ``u`` and ``v``."""
+    sids, most = group.sid.to_numpy(), len(group)
+    found, held = [np.zeros((0, 2), np.int64)], 0
+    for i, j in _candidates(group):
+        found.append(np.sort(np.stack([np.full(len(j), sids[i]), sids[j]], axis=1), axis=1))
+        held += len(j)
+        if held > 2 * most + PARTNERS:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = len(found[0])
+            if held > most:
+                break
+    pairs = np.unique(np.concatenate(found), axis=0)
+    dense = len(pairs) > most
+    out = pd.DataFrame({"u": pd.array([None], "Int64"), "v": pd.array([None], "Int64")} if dense else
+                       {"u": pd.array(pairs[:, 0], "Int64"), "v": pd.array(pairs[:, 1], "Int64")})
+    return out.assign(**{c: group[c].iloc[0] for c in ("key", "x", "y")})
+
+
+def joining_links(group: pd.DataFrame) -> pd.DataFrame:
+    """Links ``u, v`` of a group that has its sets (``items``): enough to join all that its links join, and so fewer
+    than rows. Pairs that are joined already are not compared, nor any pair twice."""
+    sids = group.sid.to_numpy()
+    items = [np.frombuffer(x, np.uint64) for x in group["items"]]
+    of = pd.factorize(group.component.to_numpy())[0]
+    parent = np.arange(len(sids))
+    links, seen, new = [], np.zeros(0, np.int64), []
+    for i, j in _candidates(group):
+        code = np.minimum(i, j) * len(sids) + np.maximum(i, j)
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, code), len(seen) - 1)
+            code, j = code[seen[at] != code], j[seen[at] != code]
+        new.append(code)
+        if len(new) >= TILE:
+            seen, new = np.unique(np.concatenate([seen, *new])), []
+        for at in range(0, len(j), PARTNERS):
+            some = j[at:at + PARTNERS]
+            some = some[parent[of[some]] != parent[of[i]]]
+            if not len(some):
+                continue
+            for k in some[reaches(items[i], [items[k] for k in some])].tolist():
+                a, b = parent[of[i]], parent[of[k]]
+                if a != b:
+                    parent[parent == b] = a
+                    links.append((min(sids[i], sids[k]), max(sids[i], sids[k])))
+    pairs = np.asarray(links, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _listed(rows: DataFrame, points: DataFrame, keys: int) -> DataFrame:
+    """``rows`` of block, sid, component, members (rows of the block), shingles (of their sets, about), dealt to groups
+    ``key, x, y``. Blocks of a tile at most share ``keys`` groups; a set and its counts go once to a group, with the
+    list of its blocks there."""
+    tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
     mine = F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")
     dealt = (rows.withColumn("tiles", tiles).withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
              .withColumn("key", F.when(F.col("tiles") > 1, F.col("block")).otherwise(F.pmod("block", F.lit(keys)))))
-    listed = (dealt.groupBy("key", "x", "y", "sid").agg(F.first("component").alias("component"), F.first("mine").alias("mine"),
-                                                        F.collect_list("block").alias("blocks"))
-              .join(points.select("sid", "n", "counts"), "sid"))
+    return (dealt.groupBy("key", "x", "y", "sid").agg(F.first("component").alias("component"), F.first("mine").alias("mine"),
+                                                      F.collect_list("block").alias("blocks"))
+            .join(points.select("sid", "n", "counts"), "sid"))
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 2), np.int64)]
-        across = group.x.iloc[0] != group.y.iloc[0]
-        sids, components_, sizes_, mines = (group[c].to_numpy() for c in ("sid", "component", "n", "mine"))
-        blobs = group["counts"].tolist()
-        lists = [np.asarray(x, np.int64) for x in group["blocks"]]
-        row, block = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
-        by = np.argsort(block, kind="stable")
-        row, block = row[by], block[by]
-        for rows_ in np.split(row, np.flatnonzero(np.diff(block)) + 1):
-            component, sid, mine = components_[rows_], sids[rows_], mines[rows_]
-            if (component == component[0]).all():
-                continue
-            sizes = sizes_[rows_].astype(np.int64)
-            width = np.asarray([len(blobs[i]) for i in rows_])
-            # Sets that can reach the threshold have as many groups or half as many: a tree for each number of groups.
-            for w in np.unique(width).tolist():
-                inside = np.flatnonzero((width == w) | (width == 2 * w))
-                cells = 4 * w
-                while cells > 64 and len(inside) * cells > CELLS:
-                    cells //= 2
-                tree = CountTree(points_of([blobs[rows_[i]] for i in inside], cells), sizes[inside])
-                for k in np.flatnonzero(width[inside] == w).tolist():
-                    i = inside[k]
-                    j = inside[tree.search(k)]
-                    j = j[((width[j] > w) | (sid[j] > sid[i])) & (component[j] != component[i])]
-                    if across:
-                        j = j[mine[j] != mine[i]]
-                    if len(j):
-                        found.append(np.sort(np.stack([np.full(len(j), sid[i]), sid[j]], axis=1), axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return listed.groupBy("key", "x", "y").applyInPandas(search, "u long, v long")
+def _search(rows: DataFrame, points: DataFrame, keys: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``u, v`` that the trees let through, perhaps repeated, and the blocks (``block``) of groups in which they
+    let through more pairs than rows: of those no pairs are told."""
+    listed = _listed(rows, points, keys)
+    found = settled(listed.groupBy("key", "x", "y").applyInPandas(few_candidates, "key long, x int, y int, u long, v long"))
+    dense = found.filter("u IS NULL").select("key", "x", "y")
+    crowded = listed.join(F.broadcast(dense), ["key", "x", "y"], "left_semi") if dense.take(1) else listed.limit(0)
+    return found.filter("u IS NOT NULL").select("u", "v"), crowded.select(F.explode("blocks").alias("block")).distinct()
+
+
+def _joined(rows: DataFrame, points: DataFrame, docs: DataFrame, keys: int) -> DataFrame:
+    """Links ``u, v`` that join all that the links of the blocks join, found where the sets lie: ``rows`` as in ``_listed``."""
+    listed = settled(_listed(rows, points, keys))
+    made = _sets(listed.select("sid").distinct(), docs, points).withColumnRenamed("want", "sid").dropDuplicates(["sid"])
+    return settled(listed.join(made, "sid").groupBy("key", "x", "y").applyInPandas(joining_links, "u long, v long").distinct())
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Blocks of more than one component with their rows, ``members``, and about the ``shingles`` of their sets."""
+    found = placed.groupBy("block").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("members"),
+        F.sum(F.exp((F.col("size") + 1) / SIZE_STEPS)).alias("shingles"),
+        F.bit_xor(F.xxhash64("sid")).alias("_f"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("_g")).filter("_a <> _b")
+    # Of large blocks with the same members one is searched.
+    return settled(found.groupBy("members", F.when(F.col("members") <= LEAF, F.col("block")).alias("_h"), "_f", "_g")
+                   .agg(F.min("block").alias("block"), F.min_by("shingles", "block").alias("shingles"))
+                   .select("block", "members", "shingles"))
+
+
+def _keys(open_blocks: DataFrame) -> int:
+    """Groups that the blocks of a tile at most are dealt to."""
+    members, shingles = open_blocks.agg(*[F.coalesce(F.sum(c).cast("long"), F.lit(0)) for c in ("members", "shingles")]).first()
+    return max(members // (16 * TILE), shingles // (2 * TILE_SHINGLES)) + 1
+
+
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the component of their set."""
+    group = components(links).withColumnRenamed("node", "sid")
+    return settled(rows.join(group, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -578,21 +688,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .filter(F.col("u") != F.col("l.sid")).filter(F.abs(F.col("size") - F.col("l.size")) <= SIZE_REACH)
              .select("u", F.col("l.sid").alias("v")).distinct())
     first = settled(_verified(settled(_allowed(stars, points)), linked, points))
-    group = components(first)
-    placed = settled(blocks.join(group.withColumnRenamed("node", "sid"), "sid", "left")
-                     .withColumn("component", F.coalesce("component", "sid")))
-    open_blocks = (placed.groupBy("block").agg(
-        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("members"),
-        F.bit_xor(F.xxhash64("sid")).alias("_f"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("_g")).filter("_a <> _b"))
-    # Of large blocks with the same members one is searched.
-    open_blocks = settled(open_blocks.groupBy("members", F.when(F.col("members") <= LEAF, F.col("block")).alias("_h"), "_f", "_g")
-                          .agg(F.min("block").alias("block")).select("block", "members"))
-    open_rows = open_blocks.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    keys = open_rows // (16 * TILE) + 1
+    placed = _placed(blocks, first)
+    open_blocks = _open(placed)
+    keys = _keys(open_blocks)
     left = placed.join(open_blocks, "block")
     small = _allowed(_leaf_pairs(left.filter(F.col("members") <= LEAF), keys), points)
-    large = _search(left.filter(F.col("members") > LEAF), points, keys)
+    left = left.filter(F.col("members") > LEAF)
+    large, crowded = _search(left, points, keys)
     second = _verified(settled(small.unionByName(large).distinct()), linked, points)
+    crowd = settled(left.join(crowded, "block", "left_semi").select("block", "sid", "size", "component"))
+    if crowd.take(1):
+        # A large group may gather around a point that is no leader: the one most leaders are linked with.
+        known = first.groupBy(F.col("u").alias("sid")).agg(F.count(F.lit(1)).alias("_links"))
+        hubs = crowd.join(known, "sid").groupBy("block").agg(F.max(F.struct("_links", "sid", "size", "component")).alias("l"))
+        stars = (crowd.join(hubs, "block").filter(F.col("component") != F.col("l.component"))
+                 .filter(F.abs(F.col("size") - F.col("l.size")) <= SIZE_REACH)
+                 .select(F.col("sid").alias("u"), F.col("l.sid").alias("v")).distinct())
+        first = settled(first.unionByName(_verified(settled(_allowed(stars, points)), linked, points)))
+        crowd = _placed(crowd.drop("component"), first)
+        open_blocks = _open(crowd)
+        second = second.unionByName(_joined(crowd.join(open_blocks, "block"), points, linked, _keys(open_blocks)))
     links = settled(first.unionByName(second).distinct())
     group = settled(components(links))
 
