@@ -14,8 +14,8 @@ of fitting size go before anything moves on. Equal sets are one point. In each b
 2. points of one component need not be compared again, so the trees search what is left: pairs of a block
    from different components. Blocks with the same members are searched once.
 3. where the trees let through more pairs than points, no pairs are told: these points are compared with the one that
-   most leaders are linked with, and what is still open where the sets lie, set by set. This tells only the links that
-   join components: never more of them than points.
+   most leaders are linked with, and what is still open where the sets lie, set by set: blocks around one such point, which
+   mostly hold the same sets, as one. This tells only the links that join components: never more of them than points.
 
 Pairs are looked at by few coarse counts first, and by the full ones if these allow the threshold. Blocks larger than a tile are cut into tiles and every pair of tiles is searched, so no task holds a block
 whole and no pair is lost.
@@ -574,10 +574,11 @@ def few_candidates(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def joining_links(group: pd.DataFrame) -> pd.DataFrame:
-    """Links ``u, v`` of a group that has its sets (``items``): enough to join all that its links join, and so fewer
-    than rows. Pairs that are joined already are not compared, nor any pair twice."""
+    """Links ``u, v`` of a group that has its sets (``items``; sizes and counts are told by them): enough to join all that
+    its links join, and so fewer than rows. Pairs that are joined already are not compared, nor any pair twice."""
     sids = group.sid.to_numpy()
     items = [np.frombuffer(x, np.uint64) for x in group["items"]]
+    group = group.assign(n=[len(x) for x in items], counts=[counts_of(x) for x in items])
     of = pd.factorize(group.component.to_numpy())[0]
     parent = np.arange(len(sids))
     links, seen, new = [], np.zeros(0, np.int64), []
@@ -603,38 +604,59 @@ def joining_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _listed(rows: DataFrame, points: DataFrame, keys: int) -> DataFrame:
-    """``rows`` of block, sid, component, members (rows of the block), shingles (of their sets, about), dealt to groups
-    ``key, x, y``. Blocks of a tile at most share ``keys`` groups; a set and its counts go once to a group, with the
-    list of its blocks there."""
+def _keyed(rows: DataFrame, keys: int) -> DataFrame:
+    """``rows`` of block, sid, component, members (rows of the block), shingles (of their sets, about), with the ``tiles`` and
+    the ``key`` of their block. Blocks of a tile at most share ``keys`` groups."""
     tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int")
+    return rows.withColumn("tiles", tiles).withColumn(
+        "key", F.when(F.col("tiles") > 1, F.col("block")).otherwise(F.pmod("block", F.lit(keys))))
+
+
+def _listed(keyed: DataFrame) -> DataFrame:
+    """Rows of ``_keyed`` dealt to groups ``key, x, y``. A set goes once to a group, with the list of its blocks there."""
     mine = F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")
-    dealt = (rows.withColumn("tiles", tiles).withColumn("mine", mine)
+    dealt = (keyed.withColumn("mine", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-             .withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
-             .withColumn("key", F.when(F.col("tiles") > 1, F.col("block")).otherwise(F.pmod("block", F.lit(keys)))))
-    return (dealt.groupBy("key", "x", "y", "sid").agg(F.first("component").alias("component"), F.first("mine").alias("mine"),
-                                                      F.collect_list("block").alias("blocks"))
-            .join(points.select("sid", "n", "counts"), "sid"))
+             .withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")))
+    return dealt.groupBy("key", "x", "y", "sid").agg(F.first("component").alias("component"), F.first("mine").alias("mine"),
+                                                     F.collect_list("block").alias("blocks"))
 
 
 def _search(rows: DataFrame, points: DataFrame, keys: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``u, v`` that the trees let through, perhaps repeated, and the blocks (``block``) of groups in which they
-    let through more pairs than rows: of those no pairs are told."""
-    listed = _listed(rows, points, keys)
+    let through more pairs than rows: of those no pairs are told. ``rows`` as in ``_keyed``."""
+    keyed = _keyed(rows, keys)
+    listed = _listed(keyed).join(points.select("sid", "n", "counts"), "sid")
     found = settled(listed.groupBy("key", "x", "y").applyInPandas(few_candidates, "key long, x int, y int, u long, v long"))
-    dense = found.filter("u IS NULL").select("key", "x", "y")
-    crowded = listed.join(F.broadcast(dense), ["key", "x", "y"], "left_semi") if dense.take(1) else listed.limit(0)
-    return found.filter("u IS NOT NULL").select("u", "v"), crowded.select(F.explode("blocks").alias("block")).distinct()
+    dense = found.filter("u IS NULL").select("key").distinct()
+    crowded = keyed.join(F.broadcast(dense), "key", "left_semi") if dense.take(1) else keyed.limit(0)
+    return found.filter("u IS NOT NULL").select("u", "v"), crowded.select("block").distinct()
 
 
 def _joined(rows: DataFrame, points: DataFrame, docs: DataFrame, keys: int) -> DataFrame:
-    """Links ``u, v`` that join all that the links of the blocks join, found where the sets lie: ``rows`` as in ``_listed``."""
-    listed = settled(_listed(rows, points, keys))
+    """Links ``u, v`` that join all that the links of the blocks join, found where the sets lie: ``rows`` as in ``_keyed``."""
+    listed = settled(_listed(_keyed(rows, keys)))
     made = _sets(listed.select("sid").distinct(), docs, points).withColumnRenamed("want", "sid").dropDuplicates(["sid"])
     return settled(listed.join(made, "sid").groupBy("key", "x", "y").applyInPandas(joining_links, "u long, v long").distinct())
 
 
+def _gathered(crowd: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The rows of ``crowd`` (block, sid, size, component), those of blocks around the same point (``hubs``: block, l; or else
+    the block's first one) as one block, named by the point, where that has no more pairs than the blocks apart. Pairs
+    of it that have no block in common are compared as well, none is lost."""
+    named = (crowd.groupBy("block").agg(F.min("sid").alias("_least"), F.count(F.lit(1)).cast("double").alias("_n"))
+             .join(hubs.select("block", F.col("l.sid").alias("hub")), "block", "left")
+             .select("block", "_n", F.coalesce("hub", "_least").alias("hub")))
+    around = settled(crowd.join(named, "block"))
+    gathered = around.drop("block", "_n").dropDuplicates(["hub", "sid"])
+    apart = around.select("hub", "block", "_n").distinct().groupBy("hub").agg(F.sum(F.col("_n") * F.col("_n")).alias("_apart"))
+    fewer = (gathered.groupBy("hub").agg(F.count(F.lit(1)).cast("double").alias("_together")).join(apart, "hub")
+             .filter(F.col("_together") * F.col("_together") <= F.col("_apart")).select("hub"))
+    rest = around.join(fewer, "hub", "left_anti").select("block", "sid", "size", "component")
+    return settled(rest.unionByName(gathered.join(fewer, "hub", "left_semi")
+                                    .select(F.col("hub").alias("block"), "sid", "size", "component")))
+
+
 def _open(placed: DataFrame) -> DataFrame:
     """Blocks of more than one component with their rows, ``members``, and about the ``shingles`` of their sets."""
     found = placed.groupBy("block").agg(
@@ -700,12 +722,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if crowd.take(1):
         # A large group may gather around a point that is no leader: the one most leaders are linked with.
         known = first.groupBy(F.col("u").alias("sid")).agg(F.count(F.lit(1)).alias("_links"))
-        hubs = crowd.join(known, "sid").groupBy("block").agg(F.max(F.struct("_links", "sid", "size", "component")).alias("l"))
+        hubs = settled(crowd.join(known, "sid").groupBy("block").agg(F.max(F.struct("_links", "sid", "size", "component")).alias("l")))
         stars = (crowd.join(hubs, "block").filter(F.col("component") != F.col("l.component"))
                  .filter(F.abs(F.col("size") - F.col("l.size")) <= SIZE_REACH)
                  .select(F.col("sid").alias("u"), F.col("l.sid").alias("v")).distinct())
         first = settled(first.unionByName(_verified(settled(_allowed(stars, points)), linked, points)))
-        crowd = _placed(crowd.drop("component"), first)
+        # Blocks around one point mostly hold the same sets.
+        crowd = _placed(_gathered(crowd, hubs).drop("component"), first)
         open_blocks = _open(crowd)
         second = second.unionByName(_joined(crowd.join(open_blocks, "block"), points, linked, _keys(open_blocks)))
     links = settled(first.unionByName(second).distinct())

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from flightwatch.llm import decontamination, jaccard
+from flightwatch.llm import decontamination, graph, jaccard
 
 
 class Handed:
@@ -103,3 +103,39 @@ def test_a_group_around_a_text_is_joined_without_a_search(spark, monkeypatch):
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in found} == {0}
     assert all(read == 0 for read, _ in calls)
+
+
+def test_crowded_blocks_with_mostly_the_same_sets_are_searched_as_one(spark, monkeypatch):
+    """A large group of near copies shares many passages, each of them with a few copies left out."""
+    calls = counted(monkeypatch, "_joined")
+    rng = np.random.default_rng(3)
+    core = [f"s{k}" for k in range(160)]
+    rows = []
+    for i in range(120):
+        own = list(core)
+        for k in rng.choice(32, 3, replace=False).tolist():
+            own[5 * k] = f"a{i}x{k}"
+        rows.append((i, " ".join(own)))
+    sets = jaccard.Hasher().sets([t for _, t in rows])
+    name = list(range(120))
+    for i, s in enumerate(sets):
+        for j in np.flatnonzero(jaccard.reaches(s, sets)).tolist():
+            a, b = sorted((name[i], name[j]))
+            name = [a if n == b else n for n in name]
+    assert 1 < len(set(name)) < 120
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(name))
+    assert calls and all(read <= 2 * len(rows) for read, _ in calls)
+
+
+def test_few_edges_are_not_exchanged(spark, monkeypatch):
+    """Paths, a star and a loop, kept in one partition and dealt out."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (200, 201)]
+    want = {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 200: 200, 201: 200}
+    plans, write = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    table = spark.createDataFrame(edges, "u long, v long")
+    assert {r["node"]: r["component"] for r in graph.components(table).collect()} == want
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    monkeypatch.setattr(graph, "FEW_EDGES", -1)
+    assert {r["node"]: r["component"] for r in graph.components(table).collect()} == want
