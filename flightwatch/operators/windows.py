@@ -13,6 +13,9 @@ from flightwatch.operators.timeline import (
 from flightwatch.functions.geo import local_east_m, local_north_m
 from flightwatch.schema import FEATURES, WINDOW_LENGTH, WINDOW_STRIDE
 
+#: Flights (some 40 bytes each) up to which their place in a split is broadcast.
+BROADCAST_FLIGHTS = 400_000
+
 
 def to_local(df: DataFrame) -> DataFrame:
     """``x_m`` north and ``y_m`` east of the flight's first row."""
@@ -108,8 +111,10 @@ def chronological_split(windows: DataFrame, train: float = 0.7, val: float = 0.1
     ranged = settled(flights.repartitionByRange(*within, "flight_id").withColumn("_range", F.spark_partition_id()))
     ranked = with_prefix(ranged, {"_earlier": running_sum(F.col("_windows")), "_total": whole_sum(F.col("_windows"))},
                          order="flight_id", axis=F.col("_range").cast("long"), keys=within).drop("_range")
-    ranked = ranked.withColumn("_earlier", F.col("_earlier") - F.col("_windows")).drop(CHUNK)
-    placed = join_facts(windows, ranked.drop("_windows"), [*within, *KEYS], "inner")
+    ranked = settled(ranked.withColumn("_earlier", F.col("_earlier") - F.col("_windows")).drop(CHUNK, "_windows"))
+    # Few flights are broadcast once: windows are wide, and salted copies would soon make them move.
+    placed = (windows.join(F.broadcast(ranked), [*within, *KEYS], "inner") if ranked.count() <= BROADCAST_FLIGHTS
+              else join_facts(windows, ranked, [*within, *KEYS], "inner"))
     position = F.col("_earlier") + F.col("win")
     cut = F.floor(F.lit(train) * F.col("_total"))
     cut2 = cut + F.floor(F.lit(val) * F.col("_total"))

@@ -210,3 +210,24 @@ def test_overlapping_segments_equal_a_loop(spark):
                            and b is not None and a <= t and (t < b if closed == "left" else t <= b)]
                 want = max(max(holding)[3], 0) if holding else 0
                 assert got[f, t] == want, (closed, shared, f, t)
+
+
+def test_few_flights_do_not_move_the_windows(spark, monkeypatch):
+    """Places of a split reach wide windows without moving them; with many flights both are dealt out, with the same rows."""
+    from flightwatch.operators import windows as W
+    # Many enough that copies for salted joins are too large to be broadcast by their size.
+    flights = spark.range(40).withColumnRenamed("id", "flight_id")
+    wins = flights.withColumn("win", F.explode(F.sequence(F.lit(0), F.col("flight_id") % 7)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = W.chronological_split(wins)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, few.select("flight_id", "win", "ordinal", "split").collect()))
+        monkeypatch.setattr(W, "BROADCAST_FLIGHTS", -1)
+        assert sorted(map(tuple, W.chronological_split(wins).select("flight_id", "win", "ordinal", "split").collect())) == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r[2] for r in got] == list(range(len(got)))
+    n = len(got)
+    assert [r[3] for r in got] == ["train" if i < n * 7 // 10 else "val" if i < n * 7 // 10 + int(n * 0.15) else "test" for i in range(n)]
