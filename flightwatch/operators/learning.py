@@ -6,6 +6,7 @@ import functools
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -182,7 +183,12 @@ def fit_terrain_identifier(windows: DataFrame, trees: int = 100, depth: int = 15
     indexer = StringIndexer(inputCol="terrain", outputCol="terrain_no", stringOrderType="alphabetAsc",
                             handleInvalid="keep").fit(windows)
     train, test = indexer.transform(windows).randomSplit([0.8, 0.2], seed)
-    model = fit_forest(train, trees, seed, depth, balanced=False, label="terrain_no")
+    # A random split sorts whole windows, and a fit reads them five times: on disk they are sorted once.
+    train = train.select("vector", "terrain_no").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = fit_forest(train, trees, seed, depth, balanced=False, label="terrain_no")
+    finally:
+        train.unpersist()
     return model, predicted(model, test).withColumn("label", F.col("terrain_no").cast("int"))
 
 

@@ -231,3 +231,18 @@ def test_few_flights_do_not_move_the_windows(spark, monkeypatch):
     assert [r[2] for r in got] == list(range(len(got)))
     n = len(got)
     assert [r[3] for r in got] == ["train" if i < n * 7 // 10 else "val" if i < n * 7 // 10 + int(n * 0.15) else "test" for i in range(n)]
+
+
+def test_terrain_fit_sorts_its_windows_once(spark, monkeypatch):
+    from flightwatch.operators import learning as L
+    kept = []
+
+    def fit(train, *_, **__):
+        kept.append((train.storageLevel.useDisk, train.count()))
+        raise ValueError("seen")
+
+    monkeypatch.setattr(L, "fit_forest", fit)
+    windows = spark.range(50).selectExpr("id AS flight_id", "0 AS win", "array(float(id)) AS vector", "if(id % 2 = 0, 'flat', 'sea') AS terrain")
+    with pytest.raises(ValueError, match="seen"):
+        L.fit_terrain_identifier(windows)
+    assert kept[0][0] and 25 < kept[0][1] < 50
