@@ -212,6 +212,14 @@ def test_overlapping_segments_equal_a_loop(spark):
                 assert got[f, t] == want, (closed, shared, f, t)
 
 
+def test_median_of_a_list(spark):
+    from flightwatch.operators.learning import middle
+    rows = spark.sql("""SELECT * FROM VALUES (1, 3.0D), (1, 1.0D), (1, null), (2, 0.1D), (2, 0.7D), (2, 0.3D), (2, 1e9D), (3, null),
+      (4, 5.0D), (5, double('NaN')), (5, 1.0D), (5, double('NaN')) AS t(k, x)""")
+    both = rows.groupBy("k").agg(F.median("x").alias("want"), middle(F.collect_list("x")).alias("got"))
+    assert both.filter("NOT want <=> got").count() == 0 and both.filter("want IS NULL").count() == 1
+
+
 def test_few_flights_do_not_move_the_windows(spark, monkeypatch):
     """Places of a split reach wide windows without moving them; with many flights both are dealt out, with the same rows."""
     from flightwatch.operators import windows as W
