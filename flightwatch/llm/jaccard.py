@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from flightwatch.llm.graph import components
 from flightwatch.llm.registry import query
-from flightwatch.llm.tables import arrow_schema, settled, slices, table
+from flightwatch.llm.tables import arrow_schema, settled, slices, small_batches, table
 
 WORDS = 5
 #: The threshold: NUMERATOR / DENOMINATOR.
@@ -44,6 +44,8 @@ FREQUENT, FREQUENT_KNOWN = 3, 400_000
 FREQUENT_RUN = 4_000_000
 #: Shingles of prefixes that a task holds before it sends them.
 RUN = 1_000_000
+#: Bytes of them that are sent at a time, about.
+SENT_BYTES = 4 << 20
 #: Sizes of sets are told to blocks by the floor of SIZE_STEPS * log n: those that fit differ by SIZE_REACH at most.
 SIZE_STEPS, SIZE_REACH = 500, 144
 #: Bytes of text that are hashed at a time; a longer text is alone.
@@ -263,9 +265,7 @@ def _described(docs: DataFrame) -> DataFrame:
         cols = [[kind] * len(sids), ids, n, sids, counts, coarse]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    def frequent(run: dict[int, np.ndarray]):
-        every = np.concatenate(list(run.values()))
-        run.clear()
+    def frequent(every: np.ndarray):
         every.sort()
         # Equal ones lie side by side; only what is frequent is counted.
         found = np.unique(every[FREQUENT - 1:][every[FREQUENT - 1:] == every[:len(every) - FREQUENT + 1]])
@@ -273,21 +273,27 @@ def _described(docs: DataFrame) -> DataFrame:
         return batch(1, [None] * len(n), n.tolist(), found.astype(np.int64).tolist(), [None] * len(n), [None] * len(n))
 
     def describe(batches):
-        hasher, run, held = Hasher(), {}, 0
+        # Shingles of a run lie in one array, which is sorted in place: no set is kept besides.
+        hasher, run, held, seen = Hasher(), np.empty(FREQUENT_RUN, np.uint64), 0, set()
         for ids, texts in slices(batches, "doc_id", "text"):
             sets = hasher.sets(texts)
             sids = [set_id(s) if len(s) else None for s in sets]
             yield batch(0, ids, [len(s) for s in sets], sids, [counts_of(s) if len(s) else None for s in sets],
                         [coarse_of(s) if len(s) else None for s in sets])
             for i, s in zip(sids, sets, strict=True):
-                if i is not None and i not in run:
-                    run[i] = s
+                if i is None or i in seen:
+                    continue
+                if held + len(s) > len(run) and held:
+                    yield frequent(run[:held])
+                    held = 0
+                    seen.clear()
+                # A set that is longer than a run would be alone in it, and none of its shingles frequent.
+                if len(s) <= len(run):
+                    run[held:held + len(s)] = s
                     held += len(s)
-            if held > FREQUENT_RUN:
-                yield frequent(run)
-                run, held = {}, 0
-        if run:
-            yield frequent(run)
+                    seen.add(i)
+        if held:
+            yield frequent(run[:held])
 
     return docs.mapInArrow(describe, ddl)
 
@@ -345,37 +351,45 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
         step = int(SIZE_STEPS * np.log(n)) << 2
         return s[first], np.where(key[first] <= last, step | 2, step).astype(np.uint16)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), mapped_schema.types, strict=True)],
+                                          schema=mapped_schema)
+
     def emit(run: dict[int, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         shingle = np.concatenate([v[0] for v in run.values()])
         fact = np.concatenate([v[1] for v in run.values()])
         sid = np.repeat(np.fromiter(run, np.int64, len(run)), [len(v[0]) for v in run.values()])
+        run.clear()
         by = np.argsort(shingle, kind="stable")
         shingle, sid, fact = shingle[by], sid[by], fact[by]
+        del by
         first = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         alone = first & np.concatenate([first[1:], [True]])
         low = (shingle // np.uint64(buckets)).astype(np.uint32)
         bucket = (shingle % np.uint64(buckets)).astype(np.int64)
-        block = (bucket << 32) | low.astype(np.int64)
-        rows = [[], [], [], [], []]
-
-        def add(straight, part, shingles):
-            for column, value in zip(rows, (int(bucket[part[0]]), straight, shingles[part].tobytes(), sid[part].tobytes(),
-                                            fact[part].tobytes()), strict=True):
-                column.append(value)
-
-        shared = np.flatnonzero(~alone)
-        for at in range(0, len(shared), 65_536):
-            add(True, shared[at:at + 65_536], block)
-        # The one that stands for several is marked.
-        fact = fact | np.where(alone, 0, 1).astype(np.uint16)
-        firsts = np.flatnonzero(first)
-        firsts = firsts[np.argsort(bucket[firsts], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[firsts])) + 1
-        for part in np.split(firsts, cuts):
-            add(False, part, low)
-        for at in range(0, len(rows[0]), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 64], t) for c, t in zip(rows, mapped_schema.types, strict=True)],
-                                             schema=mapped_schema)
+        del shingle
+
+        def parts():
+            shared = np.flatnonzero(~alone)
+            for at in range(0, len(shared), 65_536):
+                part = shared[at:at + 65_536]
+                yield True, part, (bucket[part] << 32) | low[part].astype(np.int64), fact[part]
+            firsts = np.flatnonzero(first)
+            firsts = firsts[np.argsort(bucket[firsts], kind="stable")]
+            cuts = np.flatnonzero(np.diff(bucket[firsts])) + 1
+            for part in np.split(firsts, cuts):
+                # The one that stands for several is marked.
+                yield False, part, low[part], fact[part] | (~alone[part]).astype(np.uint16)
+
+        rows, size = [], 0
+        for straight, part, shingles, facts in parts():
+            rows.append((int(bucket[part[0]]), straight, shingles.tobytes(), sid[part].tobytes(), facts.tobytes()))
+            size += sum(map(len, rows[-1][2:]))
+            if size >= SENT_BYTES or len(rows) == 64:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
 
     def sign(batches):
         seen = np.zeros(1 << 24, bool)
@@ -388,7 +402,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
                     held += len(run[i][0])
             if held > RUN:
                 yield from emit(run)
-                run, held = {}, 0
+                held = 0
         if run:
             yield from emit(run)
 
@@ -690,6 +704,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its own id. A row with a null doc_id links with nothing and has a null component. Rows with equal ids are
     taken one by one. Other columns are not read.
     """
+    # Every step with Python is written before this returns.
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = settled(_described(rows))
     texts = described.filter("kind = 0").drop("kind")

@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes that are handed to Python at a time. A batch lies in the memory of both sides, outside the heap, several
+#: times while it is made: with Spark's 10,000 rows one batch holds all texts of a task.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile hands rows to Python in batches of BATCH_LIMITS at most; lower limits of the session stay."""
+    before = {k: spark.conf.get(k, None) for k in BATCH_LIMITS}
+    try:
+        for k, most in BATCH_LIMITS.items():
+            now = before[k]
+            if not now or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+                spark.conf.set(k, str(most))
+        yield
+    finally:
+        for k, value in before.items():
+            if value is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from flightwatch.llm import decontamination, graph, jaccard
+from flightwatch.llm import decontamination, graph, jaccard, tables
 
 
 class Handed:
@@ -139,3 +139,85 @@ def test_few_edges_are_not_exchanged(spark, monkeypatch):
     assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
     monkeypatch.setattr(graph, "FEW_EDGES", -1)
     assert {r["node"]: r["component"] for r in graph.components(table).collect()} == want
+
+
+def test_rows_are_handed_to_python_in_small_batches(spark, monkeypatch):
+    """A batch lies outside the heap on both sides; by default one holds all texts of a task."""
+    found, write = [], jaccard.settled
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    monkeypatch.setattr(jaccard, "settled", lambda df: (found.append({k: spark.conf.get(k, None) for k in limits}), write(df))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t {i % 3}") for i in range(6)], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.near_duplicates(docs).collect()) == [0] * 6
+    assert found and all(f[k] and 0 < int(f[k]) <= most for f in found for k, most in limits.items())
+    assert {k: spark.conf.get(k, None) for k in limits} == before
+
+
+def test_batches_are_bounded_by_rows_and_bytes_and_lower_limits_stay(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    def most(width):
+        rows = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", f"repeat('x', {width}) AS text")
+        return max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect())
+
+    with tables.small_batches(spark):
+        assert most(1) == 1024 and most(10_000) < 150
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        with tables.small_batches(spark):
+            assert most(1) == 100
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_run_of_texts_keeps_its_shingles_once(spark, monkeypatch):
+    """Shingles of a run are kept in one array, not in an array for each text and then once more."""
+    monkeypatch.setattr(jaccard, "FREQUENT_RUN", 1 << 20)
+    monkeypatch.setattr(jaccard, "HASHED_BYTES", 1 << 13)
+    every = pa.RecordBatch.from_pydict({"doc_id": list(range(18_000)), "text": [" ".join(f"{i}x{k}" for k in range(60)) for i in range(18_000)]})
+    tracemalloc.start()
+    texts = sum(int(not k) for b in jaccard._described(Handed())(iter([every])) for k in b.column("kind").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts == 18_000 and peak < 15 << 20
+
+
+def test_runs_of_texts_tell_frequent_shingles_however_they_are_cut(spark, monkeypatch):
+    """Runs that hold less than a text, one text, some texts and all."""
+    texts = [" ".join(f"w{k}" for k in range(20))] * 2 + [" ".join([f"w{k}" for k in range(20)] + [f"o{i}"]) for i in range(8)] + ["a", "", None]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    for run, want in ((10, 0), (17, 0), (60, 48), (10_000, 16)):
+        monkeypatch.setattr(jaccard, "FREQUENT_RUN", run)
+        made = pa.Table.from_batches(list(jaccard._described(Handed())(iter([rows])))).to_pylist()
+        assert [r["doc_id"] for r in made if r["kind"] == 0] == list(range(len(texts)))
+        told = [r for r in made if r["kind"] == 1]
+        assert len(told) == want and all(3 <= r["n"] <= 9 for r in told), (run, len(told))
+
+
+def test_prefixes_are_sent_in_parts(spark, monkeypatch):
+    """All shingles of the prefixes arrive, a bounded number of bytes at a time."""
+    class Packed(Handed):
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+        def withColumn(self, *_):  # noqa: N802
+            return self
+
+        groupBy = withColumn
+
+        def applyInPandas(self, *_):  # noqa: N802
+            return self.run
+
+    rows = pa.RecordBatch.from_pydict({"text": [" ".join([f"c{k}" for k in range(30)] + [f"{i}x{k}" for k in range(30)]) for i in range(200)]})
+
+    def sent(most):
+        monkeypatch.setattr(jaccard, "SENT_BYTES", most)
+        batches = list(jaccard._signatures(Packed(), np.zeros(1, np.uint64), 50)(iter([rows])))
+        return batches, sorted((r["bucket"], r["straight"], r["shingles"], r["sids"], r["facts"]) for b in batches for r in b.to_pylist())
+
+    (many, a), (few, b) = sent(2000), sent(4 << 20)
+    assert a == b and len(many) > len(few) and all(b.num_rows == 1 or sum(len(r["shingles"]) + len(r["sids"]) + len(r["facts"]) for r in b.to_pylist()[:-1]) < 2000 for b in many)
