@@ -63,3 +63,35 @@ def test_home_area_makes_rows_and_windows_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "TREES", 2)
     assert Q.m09_home(spark, "/root/testdata/sf0.001").count() > 0
     assert made == ["labelled", "_windows"]
+
+
+def test_every_flight_is_left_out_once(spark):
+    """Also those beyond the first five of a terrain, each with a forest that did not see it; rows of no flight stay out."""
+    from flightwatch.operators import learning as L
+    windows = spark.range(28).selectExpr(
+        "id div 4 AS flight_id", "int(id % 4) AS win", "int(id div 4 < 4) AS label", "'flat' AS terrain",
+        "array(float(if(id div 4 < 4, 1, 0)), float(id % 4)) AS vector")
+    windows = windows.unionByName(windows.limit(1).withColumn("flight_id", F.lit(None).cast("long")))
+    pooled = L.leave_one_flight_out(windows, trees=2, depth=2)
+    told = pooled.select("flight_id", "win", "label", "prediction").collect()
+    assert sorted((r["flight_id"], r["win"]) for r in told) == [(f, w) for f in range(7) for w in range(4)]
+    assert all(r["label"] == int(r["flight_id"] < 4) for r in told)
+    assert pooled._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    first = L.leave_one_flight_out(windows, per_terrain=5, trees=2, depth=2)
+    assert sorted({r["flight_id"] for r in first.collect()}) == [0, 1, 2, 3, 4]
+    assert L.leave_one_flight_out(windows.filter("win < 0")).count() == 0
+
+
+def test_a_left_out_flight_is_not_trained_on(spark, monkeypatch):
+    from flightwatch.operators import learning as L
+    windows = spark.range(12).selectExpr("id div 2 AS flight_id", "int(id % 2) AS win", "0 AS label", "'sea' AS terrain", "array(float(id)) AS vector")
+    seen = {}
+
+    def fit(train, *_, **__):
+        ids = sorted(r["flight_id"] for r in train.select("flight_id").distinct().collect())
+        seen[tuple(ids)] = train.count()
+        return _Nothing()
+
+    monkeypatch.setattr(L, "fit_forest", fit)
+    assert L.leave_one_flight_out(windows).count() == 12
+    assert seen == {tuple(f for f in range(6) if f != left): 10 for left in range(6)}
