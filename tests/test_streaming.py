@@ -183,3 +183,97 @@ def test_logged_scores_meet_by_instant_and_value(spark):
         F.bool_or(F.col("_logged").isNotNull()).alias("has")).collect()}
     assert told == {(f, ms, v): any(m == ms and v is not None and abs(v - x) <= 1e-6 for m, x in logged) for f, ms, v in rows}
     assert "_step" in next(line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("kept", [True, False])
+def test_slices_arrive_in_turn(spark, monkeypatch, kept):
+    """Files of a slice are older than those of the next, also where a store keeps no times; no row is lost, the end comes last."""
+    from flightwatch.plans import stream_queries as Q
+    monkeypatch.setattr(Q, "FILE_ROWS", 5)
+    dated = Q._dated
+    monkeypatch.setattr(Q, "_dated", lambda *a: dated(*a) and kept)
+    rows = spark.range(400).select((F.col("id") % 7).alias("flight_id"), F.timestamp_millis(START + F.col("id") * 100).alias("ts"))
+    folder = Path(Q.shared_folder(rows).removeprefix("file:"))
+    had = set(folder.glob("arrivals-*")) if folder.exists() else set()
+    stream = Q._arrive(rows)
+    assert stream.columns == ["flight_id", "ts"]
+    made = sorted(set(folder.glob("arrivals-*")) - had, key=lambda p: len(p.name))[-1]
+    files = [(int(f.parent.parent.name.split("=")[1]), f.stat().st_mtime_ns) for f in made.glob("*/*/*.parquet")]
+    slices = {n for n, _ in files}
+    assert len(slices) >= 400 // (Q.FILES * 5)
+    for n in slices - {max(slices)}:
+        later = min(m for m in slices if m > n)
+        assert max(t for m, t in files if m == n) < min(t for m, t in files if m == later)
+    got = spark.read.parquet(str(made))
+    assert got.filter("flight_id IS NULL").select("_slice").collect() == [(max(slices),)]
+    told = got.filter("flight_id IS NOT NULL").select("flight_id", F.unix_millis("ts").alias("ms"))
+    assert sorted(map(tuple, told.collect())) == sorted((i % 7, START + i * 100) for i in range(400))
+
+
+class _State:
+    """A state of any kind that notes what is written."""
+
+    def __init__(self, written):
+        self.values, self.written = {}, written
+
+    def put(self, key, value):
+        self.values[key] = value
+        self.written.append(len(value[0]))
+
+    get = lambda self: self.values.get("", None)
+    update = lambda self, value: self.put("", value)
+    clear = lambda self: self.values.clear()
+    keys = lambda self: iter(list(self.values))
+    getValue = lambda self, key: self.values[key]
+    updateValue = put
+    removeKey = lambda self, key: self.values.pop(key)
+    appendValue = lambda self, value: self.put(len(self.values), value)
+
+
+class _Handle:
+    def __init__(self):
+        self.rows, self.other, self.timers = [], [], set()
+
+    def getMapState(self, *_):
+        return _State(self.rows)
+
+    def getValueState(self, *_):
+        return _State(self.other)
+
+    def getListState(self, *_):
+        state = _State(self.other)
+        state.get = lambda: list(state.values.values())
+        return state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_waiting_rows_are_written_once(spark):
+    """Batches that wait are not written again at each look at the lane, however many there are, and no row is lost."""
+    import pyarrow as pa
+    from flightwatch.streaming import state as S
+    schema = T.StructType([T.StructField("flight_id", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("x", T.DoubleType()),
+                           T.StructField("_asks", T.IntegerType()), T.StructField("_tie", T.LongType()), T.StructField("_lane", T.LongType())])
+    out = T.StructType([*schema.fields[:3], T.StructField("late", T.IntegerType())])
+    lane, handle = S.Ordered(S.Step(lambda rows, memory: (rows, memory)), schema, out, 600_000_000), _Handle()
+    lane.init(handle)
+    size, told = 0, []
+    # A batch a second; the watermark stays twenty seconds behind.
+    for second in range(60):
+        low = second * 1_000_000
+        rows = pd.DataFrame({"flight_id": range(50), "ts": [low + 10_000 * i for i in range(50)], "x": 1.5, "_asks": 0, "_tie": 0, "_lane": 0})
+        batch = pa.RecordBatch.from_pandas(rows, schema=S._types(schema), preserve_index=False)
+        cells = pa.Table.from_batches(S._deal(schema)(iter([batch]))).to_pandas()
+        size += sum(map(len, cells["rows"]))
+        told += lane.handleInputRows((0,), iter([cells]), _Now((second - 20) * 1000))
+        told += lane.handleExpiredTimer((0,), _Now((second - 20) * 1000), None)
+    told += lane.handleExpiredTimer((0,), _Now(10_000_000), None)
+    assert sum(handle.rows) < 2 * size
+    rows = [pa.ipc.read_record_batch(c, S._types(out)) for frame in told for c in frame["rows"]]
+    assert sum(r.num_rows for r in rows) == 3000 and sum(sum(r.column(3).to_pylist()) for r in rows) == 0
