@@ -130,22 +130,21 @@ def resampled(messages: DataFrame, hz: float = 10.0, max_age_s: float = MAX_AGE_
              T.StructField("connection_ok", T.IntegerType()), T.StructField("seen_ts", T.TimestampType()),
              T.StructField("fix_ts", T.TimestampType())]
 
-    def run(rows: pd.DataFrame, past: Memory) -> tuple[pd.DataFrame, Memory]:
-        out, new = _held(rows, past)
+    def run(rows: Columns, past: Columns) -> tuple[Columns, Columns]:
+        out, new = _hold(rows, past)
         flights = Flights(rows, past)
-        at, ticks = rows["ts"].to_numpy(np.int64), (rows["msg_type"] == TICK).to_numpy()
-        before = flights.number_before("_first")
-        first = np.where(np.isnan(before), at[flights.starts], before)
-        new["_first"] = first
-        for name, kind in (("_seen", ~ticks), ("_fix", (rows["msg_type"] == POSITION).to_numpy())):
-            out[name] = flights.following(np.where(kind, at, np.nan), flights.number_before(name))
-            new[name] = out[name].to_numpy()[flights.ends]
+        at, ticks = rows["ts"], rows["msg_type"] == TICK
+        before = numbers(past["_first"])
+        new["_first"] = first = np.where(np.isnan(before), at[flights.starts], before)
+        for name, kind in (("_seen", ~ticks), ("_fix", rows["msg_type"] == POSITION)):
+            out[name] = flights.following(np.where(kind, at, np.nan), numbers(past[name]))
+            new[name] = out[name][flights.ends]
         age, quiet = (at - out["_fix"]) / 1e6, (at - out["_seen"]) / 1e6
-        out = out.assign(time_s=np.round((at - first[flights.number]) / 1e6, 3), age_s=age, stale=(~(age <= max_age_s)).astype("int32"),
-                         connection_ok=(quiet <= MAX_AGE_S).astype("int32"), seen_ts=out["_seen"].astype("Int64"), fix_ts=out["_fix"].astype("Int64"))
-        return out[ticks], new
+        out |= {"time_s": np.round((at - first[flights.number]) / 1e6, 3), "age_s": age, "stale": (~(age <= max_age_s)).astype("int32"),
+                "connection_ok": (quiet <= MAX_AGE_S).astype("int32"), "seen_ts": out["_seen"], "fix_ts": out["_fix"]}
+        return {c: x[ticks] for c, x in out.items()}, new
 
-    step = Step(run, added, T.StructType(memory))
+    step = Step(run, added, T.StructType(memory), plain=True)
     ticks = ordered(scaled, step, delay, idle_s, every_s=1 / hz, asks=POSITION)
     return ticks.filter(f"{LATE} = 0").withColumn("last_update_iso", F.date_format("fix_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).drop("msg_type", "fix_ts")
 
