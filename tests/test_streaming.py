@@ -277,3 +277,25 @@ def test_waiting_rows_are_written_once(spark):
     assert sum(handle.rows) < 2 * size
     rows = [pa.ipc.read_record_batch(c, S._types(out)) for frame in told for c in frame["rows"]]
     assert sum(r.num_rows for r in rows) == 3000 and sum(sum(r.column(3).to_pylist()) for r in rows) == 0
+
+
+def test_windows_are_cut_from_one_table():
+    """Windows of several flights, with what is remembered of them, equal a loop, and leave as one column without lists in between."""
+    import numpy as np
+    import pyarrow as pa
+    from flightwatch.streaming import state as S
+    rows = {"flight_id": np.array(["a"] * 5 + ["b"] * 2 + ["c"] * 3, object)}
+    cells = np.arange(20, dtype=float).reshape(10, 2)
+    before = [np.array([-4.0, -3.0, -2.0, -1.0]), None, np.array([-9.0, -8.0])]
+    which, vectors, kept = live._rolled(cells, S.Flights(rows), before, 3)
+    want, left = [], []
+    for past, part in zip(before, (cells[:5], cells[5:7], cells[7:]), strict=True):
+        held = [] if past is None else past.reshape(-1, 2).tolist()
+        for row in part.tolist():
+            held.append(row)
+            want.append(sum(held[-3:], []) if len(held) >= 3 else None)
+        left.append(sum(held[-2:], []))
+    assert which.tolist() == [w is not None for w in want] and vectors.tolist() == [w for w in want if w]
+    assert [k.tolist() for k in kept] == left
+    column = S._arrow(vectors, pa.list_(pa.float64()))
+    assert column.to_pylist() == vectors.tolist() and column.flatten().type == pa.float64()
